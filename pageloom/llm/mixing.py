@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WEIGHTS, LIMIT = (5, 2, 1), 3
 #: Rows of a source in one bucket of keys, about; prefix sums run within buckets, then over the buckets' sums.
 BUCKET_ROWS = 4096
@@ -43,7 +45,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     taken over limit times. Empty texts are in the complete epochs only. Rows repeated in docs are mixed as one row each
     (their keys tie, and are told apart by a number). An empty table gives an empty one.
     """
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    rows = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")))
     totals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     counts = rows.groupBy("source").agg(F.count("*").alias("source_rows"))
     per = totals.alias("t").join(counts.alias("c"), F.expr("t.source <=> c.source")).select("t.*", "c.source_rows")

@@ -15,7 +15,7 @@ from .common import bound_batches
 #: Hashed features; bytes of a word that make its prefix feature.
 DIM, PREFIX = 1 << 22, 6
 #: Most confirmed toxic and unlabelled documents that training reads (a hash of doc_id picks them).
-POSITIVES, UNLABELLED, MODELS = 6000, 18000, 3
+POSITIVES, UNLABELLED, MODELS = 4000, 12000, 3
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -68,17 +68,19 @@ def fit_nnpu(rows_p: list[np.ndarray], rows_u: list[np.ndarray], prior: float, r
     Features are those clearly more frequent in positive than in unlabelled documents; when the
     bracket turns negative its gradient is turned round, as the non-negative estimator asks for.
     """
-    count = lambda rows: np.bincount(np.concatenate(rows) if rows else np.zeros(0, np.int64), minlength=DIM)
-    cp, cu = count(rows_p), count(rows_u)
-    rate_p, rate_u = (cp + 0.1) / (len(rows_p) + 1), (cu + 0.1) / (len(rows_u) + 1)
-    names = np.nonzero((cp >= 5) & (rate_p > 4 * rate_u))[0]
-    slot = np.full(DIM, -1)
-    slot[names] = np.arange(len(names))
+    names, cp = np.unique(np.concatenate([*rows_p, np.zeros(0, np.uint32)]), return_counts=True)
+    names, cp = names[cp >= 5], cp[cp >= 5]
 
     def csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        hit = [s[s >= 0] for s in (slot[r] for r in rows)]
+        """The rows' features among the names, as (row, place in names)."""
+        hit = []
+        for r in rows:
+            at = np.minimum(np.searchsorted(names, r), max(len(names) - 1, 0))
+            hit.append(at[names[at] == r] if len(names) else at[:0])
         return np.repeat(np.arange(len(rows)), [len(h) for h in hit]), np.concatenate([*hit, np.zeros(0, np.int64)]).astype(np.int64)
 
+    cu = np.bincount(csr(rows_u)[1], minlength=len(names))
+    names = names[(cp + 0.1) / (len(rows_p) + 1) > 4 * (cu + 0.1) / (len(rows_u) + 1)]
     (ip, jp), (iu, ju) = csr(rows_p), csr(rows_u)
     w, b = np.zeros(len(names)), np.log(prior / (1 - prior))
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
@@ -108,8 +110,8 @@ def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _sample(docs: DataFrame, most: int, total: int) -> list[np.ndarray]:
     share = min(1.0, 1.2 * most / max(total, 1))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(most) if share < 1 else docs.limit(most)
-    return [np.frombuffer(r.f, "<u4").astype(np.int64) for r in picked.select("text").mapInPandas(_gather, "f binary").collect()]
+    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else docs
+    return [np.frombuffer(r.f, "<u4") for r in picked.select("text").mapInPandas(_gather, "f binary").limit(most).collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, seed: int = 42) -> list[tuple[np.ndarray, np.ndarray, float]]:
