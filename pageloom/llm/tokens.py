@@ -6,7 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -18,8 +18,7 @@ from .common import bound_batches, table_path
 from .toxicity import chunks
 
 #: Pieces whose ids a worker keeps, at most; then it starts anew.
-KEPT_PIECES = 300_000
-_UNSAFE = re.compile(r"\s\s|\A\s|\s\Z")
+KEPT_PIECES = 500_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -53,7 +52,11 @@ class Encoder:
     def _pieces(self, text: str) -> list:
         if self.kind == "words":
             return text.encode().lower().split()
-        parts: list = _LONE_SPACE.split(text) if _UNSAFE.search(text) else text.split(" ")
+        words = text.split()
+        gaps = len(words) - 1
+        # every gap is one character, and that a space or a line end: then each space is a lone one
+        lone = gaps + sum(map(len, words)) == len(text) and text.count(" ") + text.count("\n") == gaps
+        parts: list = text.split(" ") if lone else _LONE_SPACE.split(text)
         parts[0] = (parts[0],)  # the first piece has no space before it
         return parts
 
@@ -69,23 +72,30 @@ class Encoder:
             p = self._pieces(t)
             pieces += p
             counts.append(len(p))
-        new = [p for p in set(pieces) if p not in self.slots]
-        if len(self.slots) + len(new) > KEPT_PIECES and self.slots:
-            self.clear()
-            new = list(set(pieces))
+        seen = set(pieces)
+        new = [p for p in seen if p not in self.slots]
+        if len(self.slots) >= KEPT_PIECES and 2 * len(new) > len(seen):
+            self.clear()  # the texts have changed
+            new = list(seen)
+        slots, starts, lengths, ids = self.slots, self.starts, self.lengths, self.ids
         if new:
-            got = self.tool.encode_batch_fast([self._spelt(p) for p in new], add_special_tokens=False)
-            got = [e.ids for e in got]
-            n = np.array([len(x) for x in got], np.int64)
-            base = len(self.starts)
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
-            self.lengths = np.concatenate([self.lengths, n])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))])
-            self.slots.update(zip(new, range(base, base + len(new)), strict=True))
-        slot = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
-        n = self.lengths[slot]
+            got = [e.ids for e in self.tool.encode_batch_fast([self._spelt(p) for p in new], add_special_tokens=False)]
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            base = len(starts)
+            starts = np.concatenate([starts, len(ids) + np.cumsum(n) - n])
+            lengths = np.concatenate([lengths, n])
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))])
+            fresh = dict(zip(new, range(base, base + len(new)), strict=True))
+            if len(slots) < KEPT_PIECES:
+                slots.update(fresh)
+                self.starts, self.lengths, self.ids = starts, lengths, ids
+            else:  # full: what is new serves these texts only
+                fresh.update((p, slots[p]) for p in seen if p not in fresh)
+                slots = fresh
+        slot = np.fromiter(map(slots.__getitem__, pieces), np.int64, len(pieces))
+        n = lengths[slot]
         ends = np.cumsum(n)
-        flat = self.ids[np.repeat(self.starts[slot] - ends + n, n) + np.arange(int(n.sum()))]
+        flat = ids[np.repeat(starts[slot] - ends + n, n) + np.arange(int(n.sum()))]
         before = np.concatenate([[0], ends])
         edges = before[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         return flat, np.diff(edges)
@@ -114,21 +124,29 @@ WIDTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)]
 def pack_ids(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(names, control, data): names holds the ids by falling frequency (ties: smaller id first); the text of ids becomes
     their ranks, of 1 to 4 bytes each; control has two bits for each value, apart from the data."""
-    names, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(names), np.uint32)
-    rank[order] = np.arange(len(names), dtype=np.uint32)
-    value = rank[inverse]
+    if len(ids) and int(ids.max()) < 1 << 24:  # counts by place, as vocabularies are dense
+        counts = np.bincount(ids)
+        names = np.nonzero(counts)[0]
+        order = names[np.argsort(-counts[names], kind="stable")]
+        table = np.empty(len(counts), np.uint32)
+        table[order] = np.arange(len(order), dtype=np.uint32)
+        value = table[ids]
+    else:
+        names, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        place = np.argsort(-counts, kind="stable")
+        order, table = names[place], np.empty(len(names), np.uint32)
+        table[place] = np.arange(len(names), dtype=np.uint32)
+        value = table[inverse]
     width = 1 + (value > 0xFF).astype(np.uint8) + (value > 0xFFFF) + (value > 0xFFFFFF)
     code = np.zeros(-(-len(value) // 4) * 4, np.uint8)
     code[: len(value)] = width - 1
     control = code[0::4] | code[1::4] << 2 | code[2::4] << 4 | code[3::4] << 6
     ends = np.cumsum(width, dtype=np.int64)
     data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(4):
+    for k in range(int(width.max(initial=0))):
         has = width > k
         data[(ends - width)[has] + k] = (value[has] >> np.uint32(8 * k)).astype(np.uint8)
-    return names[order].astype("<u4").tobytes(), control.tobytes(), data.tobytes()
+    return order.astype("<u4").tobytes(), control.tobytes(), data.tobytes()
 
 
 def unpack_ids(n: int, names: bytes, control: bytes, data: bytes) -> np.ndarray:
