@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,10 +91,18 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def _tables(model: DataFrame) -> dict[str, dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]]:
+    """Sorted arrays by language, length and kind, out of Arrow columns (no object per row on the driver)."""
+    rows = model.select("lang", (F.col("k") * 2 + F.when(F.col("kind") == "p", 0).otherwise(1)).cast("int").alias("slot"), "code", "value").toArrow()
+    lang = rows["lang"].combine_chunks().dictionary_encode()
+    slot = lang.indices.to_numpy() * 64 + rows["slot"].to_numpy()
+    code, value = rows["code"].to_numpy(), rows["value"].to_numpy()
+    order = np.lexsort((code, slot))
+    slot, code, value = slot[order], code[order], value[order]
     out: dict[str, dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]] = {}
-    for (lang, k, kind), rows in model.toPandas().groupby(["lang", "k", "kind"]):
-        rows = rows.sort_values("code")
-        out.setdefault(lang, {})[int(k), kind] = (rows["code"].to_numpy(), rows["value"].to_numpy())
+    starts = np.nonzero(np.diff(slot, prepend=-1))[0]
+    for lo, hi in zip(starts, [*starts[1:], len(slot)], strict=True):
+        name, k, kind = lang.dictionary[int(slot[lo]) // 64].as_py(), int(slot[lo]) % 64 // 2, "pb"[int(slot[lo]) % 2]
+        out.setdefault(name, {})[k, kind] = (code[lo:hi].copy(), value[lo:hi].copy())
     return out
 
 
@@ -115,8 +124,7 @@ def log_shares(gram: np.ndarray, tables: dict[tuple[int, str], tuple[np.ndarray,
     return -np.log(p)
 
 
-def _scored_held(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    tables = docs.sparkSession.sparkContext.broadcast(_tables(model))  # at most HELD_ROWS rows
+def _scored_held(docs: DataFrame, tables: Broadcast, order: int) -> DataFrame:
     at_text, at_lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +169,16 @@ def _scored_joined(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
     return named.join(sums, (F.coalesce(named.lang, F.lit("")) == sums._lang) & (named._key == sums._k)).select(*docs.columns, "_nll", "_n")
 
 
-def scored(docs: DataFrame, model: DataFrame, order: int = ORDER, held_rows: int = HELD_ROWS) -> DataFrame:
-    """docs with _nll (the sum of -ln p) and _n (characters and the end) of each text. Held by tasks behind a check of the
-    model's rows; a larger model is joined in its shards. Both ways give the same numbers."""
+def ready(model: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame | Broadcast:
+    """The model as tasks hold it, behind a check of its rows; a larger model stays a table, joined in its shards."""
+    return model.sparkSession.sparkContext.broadcast(_tables(model)) if model.count() <= held_rows else model
+
+
+def scored(docs: DataFrame, model: DataFrame | Broadcast, order: int = ORDER) -> DataFrame:
+    """docs with _nll (the sum of -ln p) and _n (characters and the end) of each text; a model made ready or its table give
+    the same numbers."""
     bound_batches(docs.sparkSession)
-    return (_scored_held if model.count() <= held_rows else _scored_joined)(docs, model, order)
+    return _scored_held(docs, model, order) if isinstance(model, Broadcast) else _scored_joined(docs, model, order)
 
 
 def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -184,12 +197,12 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order
     alone to judge and stay. A language without trusted text has no threshold (null) and its documents stay.
     """
     trusted = trusted_text(docs, labels)
-    model = train(trusted, order)
-    known = cut(scored(trusted, model, order, held_rows).select(F.coalesce("lang", F.lit("")).alias("t_lang"), "_nll", "_n"))
+    model = ready(train(trusted, order), held_rows)
+    known = cut(scored(trusted, model, order).select(F.coalesce("lang", F.lit("")).alias("t_lang"), "_nll", "_n"))
     means = known.groupBy("t_lang").agg((F.sum("_nll") / F.sum("_n")).alias("mean"))
     tempered = lambda: F.exp((F.col("_nll") + TEMPER * F.col("mean")) / (F.col("_n") + TEMPER))
     limits = cut(known.join(means, "t_lang").groupBy("t_lang").agg(F.first("mean").alias("mean"), F.percentile_approx(tempered(), quantile, 100000).alias("threshold")))  # a row for each language
-    rows = scored(docs, model, order, held_rows)
+    rows = scored(docs, model, order)
     both = rows.join(limits, F.coalesce(rows.lang, F.lit("")) == limits.t_lang, "left")
     return both.withColumn("perplexity", tempered()).select(*docs.columns, "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
 

@@ -350,8 +350,8 @@ def brute_kn(train_texts, order):
 def test_quality_model(spark, docs, texts, empty):
     trusted = docs.where("doc_id % 2 = 0 and doc_id < 60")
     model = quality.train(trusted)
-    held = quality.scored(docs, model).collect()
-    joined = {r.doc_id: r for r in quality.scored(docs, model, held_rows=0).collect()}
+    held = quality.scored(docs, quality.ready(model)).collect()
+    joined = {r.doc_id: r for r in quality.scored(docs, quality.ready(model, 0)).collect()}
     by_lang = {lang: brute_kn([t for i, t in enumerate(texts) if i % 2 == 0 and i < 20 and ("en" if i % 3 else "") == lang], 4) for lang in ("en", "")}
     for r in held:
         want, n = by_lang[r.lang or ""](texts[r.doc_id // 3])
