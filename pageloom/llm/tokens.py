@@ -18,7 +18,7 @@ from .common import bound_batches, table_path
 from .toxicity import chunks
 
 #: Pieces whose ids a worker keeps, at most; then it starts anew.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 700_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
