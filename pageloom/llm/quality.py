@@ -93,6 +93,8 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
 def _tables(model: DataFrame) -> dict[str, dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]]:
     """Sorted arrays by language, length and kind, out of Arrow columns (no object per row on the driver)."""
     rows = model.select("lang", (F.col("k") * 2 + F.when(F.col("kind") == "p", 0).otherwise(1)).cast("int").alias("slot"), "code", "value").toArrow()
+    if not rows.num_rows:
+        return {}
     lang = rows["lang"].combine_chunks().dictionary_encode()
     slot = lang.indices.to_numpy() * 64 + rows["slot"].to_numpy()
     code, value = rows["code"].to_numpy(), rows["value"].to_numpy()
