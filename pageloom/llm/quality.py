@@ -204,6 +204,8 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order
     means = known.groupBy("t_lang").agg((F.sum("_nll") / F.sum("_n")).alias("mean"))
     tempered = lambda: F.exp((F.col("_nll") + TEMPER * F.col("mean")) / (F.col("_n") + TEMPER))
     limits = cut(known.join(means, "t_lang").groupBy("t_lang").agg(F.first("mean").alias("mean"), F.percentile_approx(tempered(), quantile, 100000).alias("threshold")))  # a row for each language
+    if limits.count() <= 100_000:  # a few numbers for each language; else a shuffle
+        limits = F.broadcast(limits)
     rows = scored(docs, model, order)
     both = rows.join(limits, F.coalesce(rows.lang, F.lit("")) == limits.t_lang, "left")
     return both.withColumn("perplexity", tempered()).select(*docs.columns, "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
