@@ -8,34 +8,42 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_key, components, cut
+from .common import bound_batches, by_key, components, cut, stored
 
 BITS, SEED = 64, 42
 #: Fingerprints in one tree; a shard with more is cut into parts, and each pair of parts is searched.
 TREE = 2048
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """64 bits: bit i is set if it is set in over half of the shingles' XXH64 values (repeats count)."""
+def shingles(text: str | None, words: int = 4) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; fewer words make one shingle, no word none."""
     tokens = (text or "").encode().lower().split()  # on bytes: A-Z and ASCII white space only
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(words, len(tokens))
     pairs = zip(starts[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    total, n = np.zeros(BITS, np.int64), 0
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype="<u8")
+
+
+def vote(hashes: np.ndarray) -> int:
+    """64 bits: bit i is set if it is set in over half of the hashes."""
+    total = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536]
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        n += len(part)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    return vote(shingles(text, words))
 
 
 class BKTree:
@@ -153,8 +161,162 @@ def simhash_groups(docs: DataFrame, radius: int = 4, words: int = 4, tree: int =
     return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of docs, one for each group: the one with the smallest doc_id. Rows without a doc_id are kept."""
-    gone = simhash_groups(docs, radius, words).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
+    """One row for each group of simhash_groups."""
+    return first_of_groups(docs, simhash_groups(docs, radius, words))
+
+
+# --- groups by the likeness of shingle sets -----------------------------------------------------------------------------
+
+#: Shards are bands of min-hashes: two texts meet in a band if all its rows agree. At a likeness of 0.8 one of 20 bands of
+#: 5 rows does so for 99.97 % of pairs; there fingerprints differ in 9.7 bits on average, in over 20 for 0.03 %.
+BANDS, ROWS, WIDE = 20, 5, 20
+_MIX = np.random.default_rng(SEED).integers(0, 2**63, (3, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(distinct: np.ndarray) -> np.ndarray:
+    """The smallest value of each of 100 hash functions over distinct shingle hashes."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(distinct), 1024):
+        np.minimum(low, ((distinct[None, i : i + 1024] ^ _MIX[0][:, None]) * _MIX[1][:, None]).min(1), out=low)
+    return low
+
+
+def band_keys(low: np.ndarray) -> np.ndarray:
+    mixed = (low * _MIX[2]).reshape(BANDS, ROWS).sum(1, dtype=np.uint64)
+    return ((mixed ^ (mixed >> np.uint64(29))) * _MIX[0][:BANDS]).view(np.int64)
+
+
+PRINTS = "uid long, doc_id long, set_id string, fp long, low binary, bands array<long>, text string"
+
+
+def _prints(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uid = TaskContext.get().partitionId() << 36
+        for b in batches:
+            out = []
+            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+                distinct = np.unique(shingles(text, words))
+                low = sketch(distinct)
+                fp = int(np.uint64(vote(distinct)).view(np.int64))
+                out.append((uid, doc, xxhash.xxh3_128_hexdigest(distinct.tobytes()), fp, (low >> np.uint64(20)).astype("<u2").tobytes(), band_keys(low), text))
+                uid += 1
+            got = pd.DataFrame(out, columns=["uid", "doc_id", "set_id", "fp", "low", "bands", "text"])
+            yield got.assign(doc_id=pd.array([None if pd.isna(x) else int(x) for x in b["doc_id"]], "Int64"))
+
+    return run
+
+
+def widest_forest(edges: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Maximum spanning forest: between two nodes that an edge links, no edge on the forest's path is worse than it."""
+    above: dict[int, int] = {}
+    out = []
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    for edge in sorted(edges, key=lambda e: (-e[0], e[1], e[2])):
+        if (a := top(edge[1])) != (b := top(edge[2])):
+            above[a] = b
+            out.append(edge)
+    return out
+
+
+def _candidates(radius: int, least: float):
+    """For each shard, the forest of the best estimated likenesses among the pairs that its trees find in the radius."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple[float, int, int]] = []
+        for (_, i, j), rows in by_key(batches, ["key", "i", "j"]):
+            uids, part = rows["uid"].to_numpy(), rows["part"].to_numpy()
+            fps = rows["fp"].to_numpy().view(np.uint64).tolist()
+            low = np.frombuffer(b"".join(rows["low"]), "<u2").reshape(len(rows), -1)
+            where: dict[int, list[int]] = {}
+            for at in np.flatnonzero(part == i).tolist():
+                where.setdefault(fps[at], []).append(at)
+            asks: dict[int, list[int]] = {}
+            for at in np.flatnonzero(part == j).tolist():
+                asks.setdefault(fps[at], []).append(at)
+            tree, edges = BKTree(list(where)), []
+            for x, askers in asks.items():
+                near = np.array([at for y in tree.near(x, radius) for at in where[y]], np.int64)
+                for at in askers:
+                    other = near[uids[near] < uids[at]] if i == j else near
+                    likeness = (low[other] == low[at]).mean(1)
+                    good = likeness >= least
+                    for u, v in zip(uids[other[good]].tolist(), likeness[good].tolist(), strict=True):
+                        edges.append((v, min(u, int(uids[at])), max(u, int(uids[at]))))
+                    if len(edges) > 200_000:
+                        edges = widest_forest(edges)
+            found += widest_forest(edges)
+            if len(found) > 50_000:
+                yield pd.DataFrame({"a": [e[1] for e in found], "b": [e[2] for e in found]}, dtype="int64")
+                found = []
+        yield pd.DataFrame({"a": [e[1] for e in found], "b": [e[2] for e in found]}, dtype="int64")
+
+    return run
+
+
+def _alike(words: int, similarity: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            kept = []
+            for left, right in zip(b["text_a"], b["text_b"], strict=True):
+                x, y = np.unique(shingles(left, words)), np.unique(shingles(right, words))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both / max(1, len(x) + len(y) - both) >= similarity)
+            yield b.loc[kept, ["a", "b"]]
+
+    return run
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE, tree: int = TREE) -> DataFrame:
+    """(doc_id, component_id): documents whose sets of shingles have a Jaccard likeness of `similarity` or more, directly or
+    over others.
+
+    Texts with equal sets meet once, before the search. Shards are bands of min-hashes; shards with equal members are searched
+    once. Each has BK-trees of the sets' fingerprints, followed within the radius. Of what they find, a shard hands on the
+    spanning forest of the best estimated likenesses, so a group of n texts gives n - 1 pairs, and joins whatever its links
+    join. Every pair handed on is then checked on the whole texts; no other is a link. A large shard is cut into parts and all
+    pairs of parts are searched. Null, empty and blank texts have the empty set and form one group. component_id is the
+    smallest doc_id in the group (null if all are null). One row for each row of docs; an empty table gives an empty one.
+    """
+    bound_batches(docs.sparkSession)
+    prints = stored(docs.select("doc_id", "text").mapInPandas(_prints(words), PRINTS), "prints")
+    classes = cut(prints.groupBy("set_id").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first_id")))
+    nodes = prints.join(classes.select("uid"), "uid", "left_semi")
+    keyed = nodes.select("uid", F.explode("bands").alias("key"))
+    members = [F.bit_xor(F.xxhash64("uid", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    shards = keyed.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1").groupBy("n", "x1", "x2").agg(F.min("key").alias("key"))
+    parts = F.ceil(F.col("n") / tree).cast("int")
+    spread = (
+        keyed.join(shards, "key")
+        .select("key", "uid", parts.alias("parts"), F.pmod(F.xxhash64("uid"), parts).cast("int").alias("part"))
+        .join(nodes.select("uid", "fp", "low"), "uid")
+        .select("key", "uid", "fp", "low", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        .select("key", "uid", "fp", "low", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    )
+    tasks = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = cut(tasks.mapInPandas(_candidates(radius, similarity - 0.15), "a long, b long").distinct())
+    asked = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+    texts = prints.select("uid", "text").join(asked, "uid", "left_semi")
+    left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(_alike(words, similarity), "a long, b long")
+    roots = components(links)
+    named = classes.join(roots, classes.uid == roots.node, "left").select("set_id", "first_id", F.coalesce("root", "uid").alias("root"))
+    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return prints.select("doc_id", "set_id").join(named.join(ids, "root").select("set_id", "component_id"), "set_id").select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row for each group of similar_groups: the one with the smallest doc_id. Rows without a doc_id are kept."""
+    return first_of_groups(docs, similar_groups(docs, words, similarity))

@@ -80,6 +80,54 @@ def test_simhash_odd_tables(spark, docs, empty):
     assert kept.where("doc_id is not null").count() == n
 
 
+def brute_sets(texts):
+    out = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+def alike(a, b):
+    return a == b or len(a & b) / len(a | b) >= 0.8
+
+
+@pytest.mark.parametrize("tree", [2048, 3])
+def test_similar_groups(spark, docs, texts, empty, tree):
+    r = np.random.default_rng(5)
+    more = []
+    for n in (9, 30, 200, 900):
+        base = [f"v{x}" for x in r.integers(0, 5000, n)]
+        for edits in (0, 1, 2, n // 60, n // 40, n // 25, n // 12, n // 6):
+            changed = list(base)
+            for k in r.integers(0, n, edits):
+                changed[k] = f"e{r.integers(0, 10**6)}"
+            more.append(" ".join(changed))
+    shared = " ".join(f"p{k}" for k in range(60))
+    more += [f"{words(25, 900 + i)} u{i} {shared} z{i}" for i in range(10)]
+    all_texts = dict(enumerate([*texts, *more]))
+    df = spark.createDataFrame([(i, t, "x") for i, t in all_texts.items()], "doc_id long, text string, set_id string").repartition(4)
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(df, tree=tree).collect()}
+    sets = brute_sets(all_texts)
+    assert got == brute_components(all_texts, [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
+    assert simhash.similar_groups(empty).count() == 0
+    twice = docs.unionByName(docs).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    assert simhash.similar_groups(twice).count() == 2 * docs.count() + 1
+    kept = simhash.drop_similar(twice)
+    assert kept.columns == docs.columns
+    assert kept.where("doc_id is not null").count() == simhash.similar_groups(docs).select("component_id").distinct().count()
+
+
+def test_widest_forest():
+    r = np.random.default_rng(2)
+    edges = [(float(v), int(a), int(b)) for v, (a, b) in zip(r.random(400), r.integers(0, 60, (400, 2)), strict=True) if a != b]
+    forest = simhash.widest_forest(edges)
+    assert len(forest) < 60
+    for least in (0.2, 0.5, 0.9):
+        full, thin = ([(a, b) for v, a, b in e if v >= least] for e in (edges, forest))
+        assert brute_components(range(60), full) == brute_components(range(60), thin)
+
+
 def test_bk_tree_against_all_pairs():
     r = np.random.default_rng(0)
     base = [int(x) for x in r.integers(0, 2**63, 20)]
