@@ -17,3 +17,14 @@ def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     h = F.greatest(F.lit(0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
     union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
     return F.when(union > 0, w * h / union).otherwise(F.lit(0.0))
+
+
+def pixels(value: Column, size: Column) -> Column:
+    """0..1000 to pixels, truncated."""
+    return (value / 1000 * size).cast("int")
+
+
+def percent(box: tuple[Column, ...], width: Column, height: Column) -> tuple[Column, ...]:
+    """(x, y, width, height) in percent of the page, for annotation tools."""
+    x0, y0, x1, y1 = box
+    return x0 / width * 100, y0 / height * 100, (x1 - x0) / width * 100, (y1 - y0) / height * 100

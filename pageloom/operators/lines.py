@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,3 +38,58 @@ def label_spans(words: DataFrame, label: str = "label", key: tuple[str, ...] = (
     new = F.coalesce(F.col(label) != F.lag(label).over(w), F.lit(True)).cast("int")
     runs = words.withColumn("new", new).withColumn("run", F.sum("new").over(w))
     return runs.groupBy(*key, "run", F.col(label).alias("span_label")).agg(F.min("word_idx").alias("span_start"), F.max("word_idx").alias("span_end")).drop("run")
+
+
+#: For each mode: columns that order a page's words, the position compared, and the tolerance (None: it depends on the page).
+ANCHORED = {
+    "anchor_center": (["y0", "x0", "word_idx"], "mid_y", 18.0),
+    "anchor_relative": (["y0", "x0", "word_idx"], "mid_y", None),
+    "anchor_reading_order": (["word_idx"], "y0", 20.0),
+    "smoothed": (["mid_y", "x0", "word_idx"], "mid_y", None),
+}
+
+
+def follow(at: list[float], tolerance: float, smooth: bool) -> list[int]:
+    """Line numbers of positions in order: a line begins where one is off the line's mark by more than the tolerance.
+
+    The mark is the line's first position; with smooth, the mean of itself and each position in turn, across lines.
+    """
+    out, mark, line = [], None, 0
+    for y in at:
+        if mark is None:
+            mark = y
+        elif abs(y - mark) > tolerance:
+            line += 1
+            mark = mark if smooth else y
+        if smooth:
+            mark = (mark + y) / 2
+        out.append(line)
+    return out
+
+
+def group_lines(words: DataFrame, mode: str = "gap", key: tuple[str, ...] = ("page_num",), relative: float = 0.015) -> DataFrame:
+    """(key, word_idx, line_id): lines of a page, numbered from 0.
+
+    "gap" is lines_gap. The other modes hold each word against a mark that depends on all words before it, so a page's words
+    meet in one task; a page is the unit, and its word count is bounded by paper. "anchor_relative" needs the column height;
+    its tolerance is `relative` of it. "smoothed" takes 0.8 of the upper median height, 4 at least.
+    """
+    if mode == "gap":
+        return lines_gap(words, key=key).select(*key, "word_idx", "line_id")
+    order, position, fixed = ANCHORED[mode]
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.assign(mid_y=(page["y0"] + page["y1"]) / 2).sort_values(order)
+        tolerance = fixed
+        if mode == "anchor_relative":
+            tolerance = relative * float(page["height"].iat[0])
+        elif mode == "smoothed":
+            heights = sorted((page["y1"] - page["y0"]).astype(int))
+            tolerance = max(4, int(heights[len(heights) // 2] * 0.8))
+        page["line_id"] = follow(page[position].tolist(), tolerance, mode == "smoothed")
+        return page[[*key, "word_idx", "line_id"]]
+
+    columns = [*key, "word_idx", "x0", "y0", "y1", *(["height"] if mode == "anchor_relative" else [])]
+    types = dict(words.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in (*key, "word_idx")) + ", line_id long"
+    return words.select(*columns).groupBy(*key).applyInPandas(run, schema)

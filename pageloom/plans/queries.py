@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions import boxes
-from pageloom.operators import labels, lines, scoring
+from pageloom.operators import labels, lines, scoring, structure
 from pageloom.sources import pages as source
 
 TOK = r"""
@@ -270,3 +270,93 @@ def make_recipe_id(spark, sf):
 @query("SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS status, count(*) AS n_events FROM events GROUP BY user_id")
 def session_status(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("n_events"))
+
+
+# --- structure, boxes back to pages, and lines by other rules -----------------------------------------------------------
+
+STRUCT = LINES + """,
+lc AS (SELECT page_num, line_id, label, count(*) AS n, min(word_idx) AS f FROM ln GROUP BY ALL),
+lm AS (SELECT *, row_number() OVER (PARTITION BY page_num, line_id ORDER BY n DESC, f) AS r FROM lc),
+by_line AS (SELECT page_num, count(*) FILTER (label = 'TITLE') AS title_lines, count(*) FILTER (label = 'INGREDIENT_LINE') AS ingredient_lines, count(*) FILTER (label = 'INSTRUCTION_STEP') AS instruction_lines FROM lm WHERE r = 1 GROUP BY page_num),
+met AS (SELECT t.*, title_lines, ingredient_lines, instruction_lines FROM (SELECT page_num, round(avg(conf) / 100, 6) AS avg_token_conf, count(*) AS total_tokens, round(avg((label IN ('O', 'NOTE'))::INT), 6) AS o_ratio, round(avg((label NOT IN ('O', 'NOTE'))::INT), 6) AS labeled_token_ratio FROM tok GROUP BY page_num) t JOIN by_line USING (page_num)),
+flt AS (SELECT page_num, list_filter([CASE WHEN title_lines < 1 THEN 'no_title' END, CASE WHEN ingredient_lines < 2 THEN 'few_ing' END, CASE WHEN instruction_lines < 2 THEN 'few_instr' END, CASE WHEN avg_token_conf < 0.60 THEN 'low_conf' END,
+  CASE WHEN o_ratio > 0.92 THEN 'high_o_ratio' END, CASE WHEN total_tokens < 80 THEN 'too_short' END, CASE WHEN labeled_token_ratio < 0.03 THEN 'low_labeled_ratio' END], lambda x: x IS NOT NULL) AS reasons FROM met)
+"""
+
+
+def _metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.structural_metrics(lines.lines_gap(_words(spark, sf)))
+
+
+@query(STRUCT + "SELECT page_num, avg_token_conf, total_tokens, o_ratio, labeled_token_ratio, title_lines, ingredient_lines, instruction_lines FROM met")
+def structural_metrics(spark, sf):
+    return _metrics(spark, sf)
+
+
+@query(STRUCT + "SELECT page_num, array_to_string(reasons, ',') AS reject_reasons, len(reasons) = 0 AS keep FROM flt")
+def filter_structural(spark, sf):
+    return structure.filter_structural(_metrics(spark, sf)).select("page_num", F.array_join("reasons", ",").alias("reject_reasons"), "keep")
+
+
+@query(STRUCT + "SELECT reason, count(*) AS pages FROM (SELECT unnest(reasons) AS reason FROM flt) GROUP BY reason")
+def structural_reject_histogram(spark, sf):
+    return structure.reject_histogram(structure.filter_structural(_metrics(spark, sf)))
+
+
+@query(TOK + """, c AS (SELECT count(*) AS n, count(*) FILTER (label <> 'O') AS labelled, count(*) FILTER (label = 'INGREDIENT_LINE') AS ing, count(*) FILTER (label = 'INSTRUCTION_STEP') AS ins FROM tok), t AS (SELECT max(k) AS top FROM (SELECT count(*) AS k FROM tok GROUP BY label))
+SELECT 'error' AS severity, 'no_tokens' AS violation FROM c WHERE n = 0 UNION ALL SELECT 'error', 'low_non_o_ratio' FROM c WHERE n > 0 AND labelled < 0.6 * n UNION ALL SELECT 'error', 'missing_ingredient' FROM c WHERE n > 0 AND ing = 0
+UNION ALL SELECT 'error', 'missing_instruction' FROM c WHERE n > 0 AND ins = 0 UNION ALL SELECT 'warning', 'one_label_dominates' FROM c, t WHERE top > 0.4 * n""")
+def validate_label_distribution(spark, sf):
+    """With strict limits (60 % labelled, 40 % for one label), so that the tables break some."""
+    return structure.label_violations(_words(spark, sf), least=0.6, most=0.4)
+
+
+@query(TOK + "SELECT page_num, word_idx, CAST(trunc(least(1000, x0) / 1000.0 * 850) AS INT) AS px0, CAST(trunc(least(1000, x1) / 1000.0 * 850) AS INT) AS px1 FROM tok")
+def denormalize_bbox(spark, sf):
+    to_pixels = lambda c: boxes.pixels(F.least(F.lit(1000), F.col(c)), F.lit(850))
+    return _words(spark, sf).select("page_num", "word_idx", to_pixels("x0").alias("px0"), to_pixels("x1").alias("px1"))
+
+
+@query(TOK + "SELECT page_num, word_idx, round(x0 / 1000 * 100, 6) AS x_pct, round(y0 / height * 100, 6) AS y_pct, round((x1 - x0) / 1000 * 100, 6) AS w_pct, round((y1 - y0) / height * 100, 6) AS h_pct FROM tok JOIN page USING (page_num)")
+def percent_bbox(spark, sf):
+    parts = boxes.percent(tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), F.lit(1000), F.col("height"))
+    return _with_height(spark, sf).select("page_num", "word_idx", *(F.round(p, 6).alias(n) for p, n in zip(parts, ("x_pct", "y_pct", "w_pct", "h_pct"), strict=True)))
+
+
+def _with_height(spark: SparkSession, sf: str) -> DataFrame:
+    w = _words(spark, sf)
+    return w.join(w.groupBy("page_num").agg((F.lit(100) + 30 * (F.max("line0") + 1)).alias("height")), "page_num")
+
+
+@query(TOK + "SELECT page_num, label, count(*) AS n FROM tok WHERE label <> 'O' AND conf >= 60 GROUP BY ALL")
+def filter_tokens(spark, sf):
+    return _words(spark, sf).where("label <> 'O' AND conf >= 60").groupBy("page_num", "label").agg(F.count("*").alias("n"))
+
+
+@query(TOK + "SELECT page_num, CASE WHEN c >= 0.9 THEN 'High' WHEN c >= 0.75 THEN 'Medium' ELSE 'Low' END AS bucket FROM (SELECT page_num, avg(conf) / 100 + 0.3 AS c FROM tok GROUP BY page_num)")
+def confidence_bucket(spark, sf):
+    mean = _words(spark, sf).groupBy("page_num").agg((F.avg("conf") / 100 + 0.3).alias("c"))
+    return mean.select("page_num", F.when(F.col("c") >= 0.9, "High").when(F.col("c") >= 0.75, "Medium").otherwise("Low").alias("bucket"))
+
+
+# Marks that depend on all words before a word: no SQL; tests/test_lines.py has a brute-force version.
+
+
+@query()
+def lines_anchor_center(spark, sf):
+    return lines.group_lines(_words(spark, sf), "anchor_center")
+
+
+@query()
+def lines_anchor_relative(spark, sf):
+    return lines.group_lines(_with_height(spark, sf), "anchor_relative")
+
+
+@query()
+def lines_anchor_reading_order(spark, sf):
+    return lines.group_lines(_words(spark, sf), "anchor_reading_order")
+
+
+@query()
+def lines_smoothed(spark, sf):
+    return lines.group_lines(_words(spark, sf), "smoothed")
