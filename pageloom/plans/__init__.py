@@ -1 +1,6 @@
-"""plans of the page analytics library."""
+"""Operators as queries; importing a module of this package registers its queries."""
+
+from . import labelling
+from .queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "labelling"]
