@@ -32,11 +32,16 @@ def line_majority_label(lines: DataFrame, key: tuple[str, ...] = ("page_num",))
     return n.withColumn("rank", best).where("rank = 1").select(*key, "line_id", "label", "n")
 
 
-def label_spans(words: DataFrame, label: str = "label", key: tuple[str, ...] = ("page_num",)) -> DataFrame:
-    """Runs of equal labels: (page, label, start, end), end inclusive."""
+def label_runs(words: DataFrame, label: str = "label", key: tuple[str, ...] = ("page_num",)) -> DataFrame:
+    """Add run: words in a row with equal labels share a number."""
     w = Window.partitionBy(*key).orderBy("word_idx")
     new = F.coalesce(F.col(label) != F.lag(label).over(w), F.lit(True)).cast("int")
-    runs = words.withColumn("new", new).withColumn("run", F.sum("new").over(w))
+    return words.withColumn("new", new).withColumn("run", F.sum("new").over(w)).drop("new")
+
+
+def label_spans(words: DataFrame, label: str = "label", key: tuple[str, ...] = ("page_num",)) -> DataFrame:
+    """Runs of equal labels: (page, label, start, end), end inclusive."""
+    runs = label_runs(words, label, key)
     return runs.groupBy(*key, "run", F.col(label).alias("span_label")).agg(F.min("word_idx").alias("span_start"), F.max("word_idx").alias("span_end")).drop("run")
 
 

@@ -1,6 +1,6 @@
 """Operators as queries; importing a module of this package registers its queries."""
 
-from . import labelling
+from . import evaluation, labelling, selection
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "labelling"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "labelling", "selection"]
