@@ -51,6 +51,17 @@ def page_score(features: DataFrame, threshold: float = 0.5) -> DataFrame:
     return out.withColumn("likely", c("score") >= threshold)
 
 
+def page_explain(features: DataFrame) -> DataFrame:
+    """Add reasons: names of the features that speak for or against a page."""
+    c = F.col
+    found = [
+        (c("units"), "ingredient units"), (c("verbs"), "cooking verbs"), (c("time_hit"), "time pattern"), (c("temp_hit"), "temperature pattern"),
+        (c("numeric_density") > 0.05, "numeric density"), (c("short_line_density") > 0.05, "short lines"), (c("title_like"), "title-like top line"),
+        (c("toc"), "toc/index penalty"), (c("few_tokens"), "few tokens penalty"), (c("low_conf"), "low confidence penalty"),
+    ]
+    return features.withColumn("reasons", F.array_compact(F.array(*(F.when(b, F.lit(r)) for b, r in found))))
+
+
 def page_excerpt(pages: DataFrame, limit: int = 250) -> DataFrame:
     clean = F.trim(F.regexp_replace("text", "\\s+", " "))
     return pages.withColumn("excerpt", F.concat(F.substring(clean, 1, limit), F.when(F.char_length(clean) > limit, "…").otherwise("")))
