@@ -61,14 +61,14 @@ def recipe_quality(spark, sf):
     return extraction.recipe_quality(_recipes(spark, sf).join(book, "page_num"), "book")
 
 
-_CORRECTED = XL + ", good AS (SELECT doc_id AS page_num, any_value(quality) AS q FROM labels WHERE quality = 1 GROUP BY doc_id), ap AS (SELECT coalesce(rw.page_num, good.page_num) AS page_num, CASE WHEN q IS NOT NULL AND rw.page_num IS NOT NULL THEN upper(title) ELSE title END AS new_title, CASE WHEN rw.page_num IS NULL THEN NULL WHEN q IS NOT NULL AND upper(title) <> title THEN 'title' ELSE '' END AS changes, q IS NOT NULL AND rw.page_num IS NOT NULL AS corrected FROM rw LEFT JOIN good ON rw.page_num = good.page_num)"
+_CORRECTED = XL + ", good AS (SELECT doc_id AS page_num, any_value(quality) AS q FROM labels WHERE quality = 1 GROUP BY doc_id), ap AS (SELECT coalesce(rw.page_num, good.page_num) AS page_num, CASE WHEN q IS NOT NULL AND rw.page_num IS NOT NULL THEN title || ' (checked)' ELSE title END AS new_title, CASE WHEN rw.page_num IS NULL THEN NULL WHEN q IS NOT NULL THEN 'title' ELSE '' END AS changes, q IS NOT NULL AND rw.page_num IS NOT NULL AS corrected FROM rw LEFT JOIN good ON rw.page_num = good.page_num)"
 
 
 def _corrected(spark, sf):
-    """Corrections of the pages labelled good: their titles in capitals."""
+    """Corrections of the pages labelled good: a mark behind their titles."""
     r = _recipes(spark, sf)
     good = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("page_num"))
-    fix = r.join(good, "page_num", "left_semi").select("page_num", F.upper("title").alias("title"), F.lit(None).cast("array<string>").alias("ingredients"), F.lit(None).cast("array<string>").alias("instructions"))
+    fix = r.join(good, "page_num", "left_semi").select("page_num", F.concat("title", F.lit(" (checked)")).alias("title"), F.lit(None).cast("array<string>").alias("ingredients"), F.lit(None).cast("array<string>").alias("instructions"))
     return extraction.apply_corrections(r, fix)
 
 
