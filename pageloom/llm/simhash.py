@@ -178,6 +178,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> Da
 #: Shards are bands of min-hashes: two texts meet in a band if all its rows agree. At a likeness of 0.8 one of 20 bands of
 #: 5 rows does so for 99.97 % of pairs; there fingerprints differ in 9.7 bits on average, in over 20 for 0.03 %.
 BANDS, ROWS, WIDE = 20, 5, 20
+#: Bytes of the sets in one part of a shard that is searched with the whole sets.
+PART_BYTES = 32 << 20
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, (3, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -231,37 +233,87 @@ def widest_forest(edges: list[tuple[float, int, int]]) -> list[tuple[float, int,
     return out
 
 
+def _estimates(rows: pd.DataFrame, i: int, j: int, radius: int, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of part j, the rows of part i that a tree finds in the radius and min-hashes call alike, and how much."""
+    uids, part = rows["uid"].to_numpy(), rows["part"].to_numpy()
+    fps = rows["fp"].to_numpy().view(np.uint64).tolist()
+    low = np.frombuffer(b"".join(rows["low"]), "<u2").reshape(len(rows), -1)
+    where: dict[int, list[int]] = {}
+    for at in np.flatnonzero(part == i).tolist():
+        where.setdefault(fps[at], []).append(at)
+    asks: dict[int, list[int]] = {}
+    for at in np.flatnonzero(part == j).tolist():
+        asks.setdefault(fps[at], []).append(at)
+    tree = BKTree(list(where))
+    for x, askers in asks.items():
+        near = np.array([at for y in tree.near(x, radius) for at in where[y]], np.int64)
+        for at in askers:
+            other = near[uids[near] < uids[at]] if i == j else near
+            likeness = (low[other] == low[at]).mean(1)
+            good = likeness >= least
+            yield at, other[good], likeness[good]
+
+
 def _candidates(radius: int, least: float):
     """For each shard, the forest of the best estimated likenesses among the pairs that its trees find in the radius."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: list[tuple[float, int, int]] = []
+        found: list[tuple[int, int, int]] = []
+        for (key, i, j), rows in by_key(batches, ["key", "i", "j"]):
+            uids, edges = rows["uid"].to_numpy(), []
+            for at, other, likeness in _estimates(rows, i, j, radius, least):
+                for u, v in zip(uids[other].tolist(), likeness.tolist(), strict=True):
+                    edges.append((v, min(u, int(uids[at])), max(u, int(uids[at]))))
+                if len(edges) > 200_000:
+                    edges = widest_forest(edges)
+            found += [(int(key), a, b) for _, a, b in widest_forest(edges)]
+            if len(found) > 50_000:
+                yield pd.DataFrame(found, columns=["key", "a", "b"], dtype="int64")
+                found = []
+        yield pd.DataFrame(found, columns=["key", "a", "b"], dtype="int64")
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"uid": b["uid"], "hashes": [np.unique(shingles(t, words)).tobytes() for t in b["text"]]})
+
+    return run
+
+
+def _exact(radius: int, least: float, similarity: float):
+    """Edges (a, b) between roots. In each shard every pair that its trees and estimates find is compared on the whole sets,
+    unless its two rows are in one component already, by earlier links or by those of this shard."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple[int, int]] = []
         for (_, i, j), rows in by_key(batches, ["key", "i", "j"]):
-            uids, part = rows["uid"].to_numpy(), rows["part"].to_numpy()
-            fps = rows["fp"].to_numpy().view(np.uint64).tolist()
-            low = np.frombuffer(b"".join(rows["low"]), "<u2").reshape(len(rows), -1)
-            where: dict[int, list[int]] = {}
-            for at in np.flatnonzero(part == i).tolist():
-                where.setdefault(fps[at], []).append(at)
-            asks: dict[int, list[int]] = {}
-            for at in np.flatnonzero(part == j).tolist():
-                asks.setdefault(fps[at], []).append(at)
-            tree, edges = BKTree(list(where)), []
-            for x, askers in asks.items():
-                near = np.array([at for y in tree.near(x, radius) for at in where[y]], np.int64)
-                for at in askers:
-                    other = near[uids[near] < uids[at]] if i == j else near
-                    likeness = (low[other] == low[at]).mean(1)
-                    good = likeness >= least
-                    for u, v in zip(uids[other[good]].tolist(), likeness[good].tolist(), strict=True):
-                        edges.append((v, min(u, int(uids[at])), max(u, int(uids[at]))))
-                    if len(edges) > 200_000:
-                        edges = widest_forest(edges)
-            found += widest_forest(edges)
+            root = rows["root"].to_numpy()
+            label = np.unique(root, return_inverse=True)[1]
+            size = rows["hashes"].str.len().to_numpy() // 8
+            kinds, places = np.unique(np.frombuffer(b"".join(rows["hashes"]), "<u8"), return_inverse=True)
+            held = np.split(places.astype(np.int32), np.cumsum(size)[:-1])
+            mark = np.zeros(len(kinds), bool)
+            for at, other, _ in _estimates(rows, i, j, radius, least):
+                other = other[label[other] != label[at]]
+                if not len(other):
+                    continue
+                mark[held[at]] = True
+                ends = np.cumsum(size[other])
+                total = np.append(0, np.cumsum(mark[np.concatenate([held[o] for o in other])], dtype=np.int64))
+                mark[held[at]] = False
+                both = total[ends] - total[ends - size[other]]
+                good = both / np.maximum(1, size[other] + size[at] - both) >= similarity
+                for o in other[good]:
+                    if label[o] != label[at]:
+                        found.append((int(root[at]), int(root[o])))
+                        label[label == label[o]] = label[at]
             if len(found) > 50_000:
-                yield pd.DataFrame({"a": [e[1] for e in found], "b": [e[2] for e in found]}, dtype="int64")
+                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
                 found = []
-        yield pd.DataFrame({"a": [e[1] for e in found], "b": [e[2] for e in found]}, dtype="int64")
+        yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -279,15 +331,29 @@ def _alike(words: int, similarity: float):
     return run
 
 
+def _dealt(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of nodes for each pair of parts (key, i, j), which meet in one task; keyed has key, uid and the key's parts."""
+    spread = (
+        keyed.select("key", "uid", "parts", F.pmod(F.xxhash64("uid"), "parts").cast("int").alias("part"))
+        .join(nodes, "uid")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("i", F.least("part", "other"))
+        .withColumn("j", F.greatest("part", "other"))
+        .drop("parts", "other")
+    )
+    return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE, tree: int = TREE) -> DataFrame:
     """(doc_id, component_id): documents whose sets of shingles have a Jaccard likeness of `similarity` or more, directly or
     over others.
 
     Texts with equal sets meet once, before the search. Shards are bands of min-hashes; shards with equal members are searched
-    once. Each has BK-trees of the sets' fingerprints, followed within the radius. Of what they find, a shard hands on the
-    spanning forest of the best estimated likenesses, so a group of n texts gives n - 1 pairs, and joins whatever its links
-    join. Every pair handed on is then checked on the whole texts; no other is a link. A large shard is cut into parts and all
-    pairs of parts are searched. Null, empty and blank texts have the empty set and form one group. component_id is the
+    once. Each has BK-trees of the sets' fingerprints, followed within the radius. Of what they find, a shard first hands on the
+    spanning forest of the best estimated likenesses, so a group of n texts gives n - 1 pairs; they are checked on the whole
+    texts. Where a pair of the forest leaves two components apart, pairs outside the forest may be links: such shards are
+    searched again, with the whole sets at hand, and every pair found between two components is compared. No pair is a link
+    without such a comparison. A large shard is cut into parts and all pairs of parts are searched. Null, empty and blank texts have the empty set and form one group. component_id is the
     smallest doc_id in the group (null if all are null). One row for each row of docs; an empty table gives an empty one.
     """
     bound_batches(docs.sparkSession)
@@ -297,22 +363,27 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
     keyed = nodes.select("uid", F.explode("bands").alias("key"))
     members = [F.bit_xor(F.xxhash64("uid", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
     shards = keyed.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1").groupBy("n", "x1", "x2").agg(F.min("key").alias("key"))
-    parts = F.ceil(F.col("n") / tree).cast("int")
-    spread = (
-        keyed.join(shards, "key")
-        .select("key", "uid", parts.alias("parts"), F.pmod(F.xxhash64("uid"), parts).cast("int").alias("part"))
-        .join(nodes.select("uid", "fp", "low"), "uid")
-        .select("key", "uid", "fp", "low", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("key", "uid", "fp", "low", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    )
-    tasks = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = cut(tasks.mapInPandas(_candidates(radius, similarity - 0.15), "a long, b long").distinct())
-    asked = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    texts = prints.select("uid", "text").join(asked, "uid", "left_semi")
+    least = similarity - 0.15
+    tasks = _dealt(keyed.join(shards.select("key", F.ceil(F.col("n") / tree).cast("int").alias("parts")), "key"), nodes.select("uid", "fp", "low"))
+    asked = cut(tasks.mapInPandas(_candidates(radius, least), "key long, a long, b long"))
+    pairs = asked.select("a", "b").distinct()
+    ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+    texts = prints.select("uid", "text").join(ends, "uid", "left_semi")
     left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(_alike(words, similarity), "a long, b long")
     roots = components(links)
-    named = classes.join(roots, classes.uid == roots.node, "left").select("set_id", "first_id", F.coalesce("root", "uid").alias("root"))
+    at = lambda c: F.coalesce(f"root_{c}", c)
+    apart = asked.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left").where(at("a") != at("b"))
+    again = cut(apart.select("key").distinct())
+    named = classes.join(roots, classes.uid == roots.node, "left").select("uid", "set_id", "first_id", F.coalesce("root", "uid").alias("root"))
+    if not again.isEmpty():
+        open_ = cut(keyed.join(again, "key"))
+        held = prints.select("uid", "text").join(open_.select("uid").distinct(), "uid", "left_semi").mapInPandas(_sets(words), "uid long, hashes binary")
+        whole = cut(held.join(nodes.select("uid", "fp", "low"), "uid").join(named.select("uid", "root"), "uid"))
+        bytes_ = open_.join(whole.select("uid", F.octet_length("hashes").alias("size")), "uid").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+        parts = bytes_.select("key", F.greatest(F.ceil(F.col("n") / tree), F.ceil(F.col("size") / PART_BYTES)).cast("int").alias("parts"))
+        more = components(_dealt(open_.join(parts, "key"), whole).mapInPandas(_exact(radius, least, similarity), "a long, b long"))
+        named = named.join(more.toDF("root", "top"), "root", "left").select("set_id", "first_id", F.coalesce("top", "root").alias("root"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return prints.select("doc_id", "set_id").join(named.join(ids, "root").select("set_id", "component_id"), "set_id").select("doc_id", "component_id")
 

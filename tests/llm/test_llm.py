@@ -118,6 +118,30 @@ def test_similar_groups(spark, docs, texts, empty, tree):
     assert kept.where("doc_id is not null").count() == simhash.similar_groups(docs).select("component_id").distinct().count()
 
 
+@pytest.mark.parametrize("tree", [2048, 400])
+def test_similar_groups_many_copies(spark, tree):
+    """Copies at 0.84 to 0.88 of one text, most below 0.8 of each other: lucky estimates between copies must not displace links."""
+    r = np.random.default_rng(11)
+
+    def copies(name, n, edits):
+        base = [f"{name}{k}" for k in range(300)]
+        yield " ".join(base)
+        for c in range(n):
+            changed = list(base)
+            for k in r.choice(30, edits[c % len(edits)], replace=False) * 10 + 3 + r.integers(0, 4):
+                changed[k] = f"{name}e{c}-{k}"
+            yield " ".join(changed)
+
+    loose = list(copies("y", 150, (5, 6)))[1:]  # without their original
+    texts = dict(enumerate([*copies("x", 1500, (4, 5)), *loose]))
+    sets = brute_sets(texts)
+    assert all(0.82 < len(sets[0] & sets[k]) / len(sets[0] | sets[k]) < 0.88 for k in range(1, 1501))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(df, tree=tree).collect()}
+    links = [(0, k) for k in range(1, 1501)] + [(a, b) for a in range(1501, 1651) for b in range(a + 1, 1651) if alike(sets[a], sets[b])]
+    assert got == brute_components(texts, links)
+
+
 def test_widest_forest():
     r = np.random.default_rng(2)
     edges = [(float(v), int(a), int(b)) for v, (a, b) in zip(r.random(400), r.integers(0, 60, (400, 2)), strict=True) if a != b]
