@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,14 +24,33 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: Candidate strings for the entropy scan, and per character class: the window and the bits per character it must reach.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CLASSES = (("hex", re.compile(r"[0-9A-Fa-f]+\Z"), 20, 3.0), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+\Z"), 20, 3.9))
-#: Candidates that are no secrets: paths and dashed or snake-case words, numbers alone, letters alone, counting sequences.
+#: Runs of one alphabet within a candidate: the bits that all but 0.5 % of random strings of the alphabet reach in a window
+#: of 20 (100,000 simulated), and what a window must hold besides, as words and numbers alone reach so much too.
+RUNS = [
+    (re.compile(f"[{chars}]{{20,}}"), 20, least, [re.compile(f"[{x}]") for x in must])
+    for chars, least, must in (
+        ("0-9a-f", 2.828, ("0-9", "a-f")),
+        ("0-9A-F", 2.828, ("0-9", "A-F")),
+        ("a-z2-7", 3.284, ("0-9", "a-z")),
+        ("A-Z2-7", 3.284, ("0-9", "A-Z")),
+        ("a-z0-9", 3.346, ("0-9", "a-z")),
+        ("A-Z0-9", 3.346, ("0-9", "A-Z")),
+        ("A-Za-z0-9", 3.584, ("0-9", "A-Z", "a-z")),
+        ("A-Za-z0-9+/", 3.609, ("0-9", "A-Z", "a-z")),
+        ("A-Za-z0-9_-", 3.609, ("0-9", "A-Z", "a-z")),
+    )
+]
+#: Candidates that are no secrets: paths and dashed or snake-case words, numbers alone, letters alone.
 ALLOWED = re.compile(r"[0-9+/_=-]+\Z|[A-Za-z+/_=-]+\Z|(?:[A-Za-z]+[-_/=+]|[0-9]{1,4}[-_/=+])+(?:[A-Za-z]*|[0-9]{1,4})\Z")
 ALPHABETS = ("0123456789abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789")
+#: Fewest characters of a counting sequence; one at the front of a candidate is left out of it.
+SEQUENCE = 12
 _KEY = re.compile(r"(?ai)pass|secret|token|api")
 
 
-def entropy_spans(text: str, window: int, least: float) -> list[tuple[int, int]]:
-    """Unions of the windows whose Shannon entropy, in bits per character, reaches `least`; counts move by one each step."""
+def entropy_spans(text: str, window: int, least: float, must: Sequence[re.Pattern] = ()) -> list[tuple[int, int]]:
+    """Unions of the windows whose Shannon entropy, in bits per character, reaches `least`, and in which each of `must` is
+    found; counts move by one each step."""
     n = len(text)
     if n < window:
         return []
@@ -48,6 +67,8 @@ def entropy_spans(text: str, window: int, least: float) -> list[tuple[int, int]]
         counts[ch] = c + 1
         if i >= window - 1 and np.log2(window) - spread / window >= least - 1e-9:
             a = i - window + 1
+            if not all(p.search(text, a, i + 1) for p in must):
+                continue
             if spans and a <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], i + 1)
             else:
@@ -56,8 +77,42 @@ def entropy_spans(text: str, window: int, least: float) -> list[tuple[int, int]]
 
 
 def allowed(candidate: str) -> bool:
-    low = candidate.lower()
-    return bool(ALLOWED.match(candidate)) or any(low[:12] in 2 * a for a in ALPHABETS)
+    return bool(ALLOWED.match(candidate))
+
+
+def after_sequences(candidate: str) -> int:
+    """Where a candidate goes on after the counting sequences (of SEQUENCE characters or more) that it begins with."""
+    low, at = candidate.lower(), 0
+    while True:
+        k = at + len(low[at:]) - len(low[at:].lstrip("+/_=-"))
+        n = SEQUENCE
+        if k + n > len(low) or not any(low[k : k + n] in 2 * a for a in ALPHABETS):
+            return at
+        while k + n < len(low) and any(low[k : k + n + 1] in 2 * a for a in ALPHABETS):
+            n += 1
+        at = k + n
+
+
+def candidate_spans(candidate: str) -> list[tuple[int, int]]:
+    """Entropy spans after a candidate's sequences, by the class of all the rest and by runs of smaller alphabets; those that
+    touch are one."""
+    found: list[tuple[int, int]] = []
+    at = after_sequences(candidate)
+    part = candidate[at:]
+    if len(part) >= 20 and not allowed(candidate) and not allowed(part):
+        _, _, window, least = next(c for c in CLASSES if c[1].match(part))
+        found += [(at + a, at + b) for a, b in entropy_spans(part, window, least)]
+        for run, window, least, must in RUNS:
+            for m in run.finditer(part):
+                if all(p.search(m[0]) for p in must):
+                    found += [(at + m.start() + a, at + m.start() + b) for a, b in entropy_spans(m[0], window, least, must)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -71,10 +126,7 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     if candidates:
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST["hex"]]
         for m in CANDIDATE.finditer(text):
-            if allowed(m[0]):
-                continue
-            _, _, window, least = next(c for c in CLASSES if c[1].match(m[0]))
-            out += [(m.start() + a, 3, m.start() + b) for a, b in entropy_spans(m[0], window, least)]
+            out += [(m.start() + a, 3, m.start() + b) for a, b in candidate_spans(m[0])]
     return sorted(out)
 
 
@@ -91,7 +143,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def secret_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans) for each row of docs; a null text is empty and has
     no spans. One pass over whole texts, no shuffle. Entropy spans add to the base ones, which stay as the patterns give
-    them; a candidate that the allow-list matches (words joined by dashes, numbers, letters alone, sequences) has none."""
+    them; a candidate that the allow-list matches (words joined by dashes, numbers, letters alone) has none, and counting
+    sequences at its front are left out of it."""
     bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(_scan, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
 

@@ -305,6 +305,25 @@ def test_secrets(spark):
     assert "entropy" in got[9].spans and secrets.secret_spans(df.limit(0)).count() == 0
 
 
+def test_secrets_of_small_alphabets():
+    r = np.random.default_rng(4)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    share = {}
+    for name, chars in {"lower": lower + digits, "upper": upper + digits, "base32": upper + "234567", "mixed": lower + upper + digits, "base64": lower + upper + digits + "+/"}.items():
+        for n in (20, 24, 32):
+            drawn = ["".join(r.choice(list(chars), n)) for _ in range(500)]
+            share[name, n] = np.mean([not any(k == 3 for _, k, _ in secrets.spans_of(f"see {x} here")) for x in drawn])
+    # letters alone stay words: 1.6 % of base32 and 3 % of the others at 20 characters
+    assert all(v <= (0.06 if n == 20 else 0.03) for (_, n), v in share.items()), share
+    tail = "".join(r.choice(list(lower + upper + digits), 40))
+    for head in (lower, digits + lower[:6], f"{lower}-{upper}", lower[:14]):
+        spans = [(a, e) for a, k, e in secrets.spans_of(head + tail) if k == 3]
+        assert spans and spans[0][0] >= len(head) and sum(e - a for a, e in spans) >= 38, (head, spans)
+    assert [k for _, k, _ in secrets.spans_of(tail[:15] + lower) if k == 3]
+    for text in (lower + digits, digits + lower + upper, "some-long-dashed-name-here-2024", "1234567890" * 3, "Donaudampfschifffahrtsgesellschaft"):
+        assert not [k for _, k, _ in secrets.spans_of(text) if k == 3], text
+
+
 def test_winnowing(spark, docs, texts, empty):
     rows = {r.doc_id: r for r in winnow.edited_report(docs).collect()}
     order = sorted(range(len(texts)), reverse=True)
