@@ -6,8 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch, so that a Python worker's memory does not follow the length of texts.
@@ -15,9 +16,12 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
+    """The cluster's shared folder, spark.checkpoint.dir. Where it is unset, a local master (tests) gets a folder of its own;
+    a cluster can't share one, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -48,6 +52,36 @@ def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """A small table, computed once, for the small side of a join: broadcast if it has at most so many rows; a larger one is
+    left to a shuffle."""
+    held = cut(df)
+    return F.broadcast(held) if held.count() <= rows else held
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until it is none of df's columns (which ignore case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def content_key(*columns: str | Column) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of the columns' values, nulls told apart."""
+    parts = [x for c in columns for x in (F.isnull(c), F.col(c) if isinstance(c, str) else c)]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
+
+
 def by_key(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Groups of rows with equal keys out of batches that are sorted by them; one group is held at a time."""
     held: list[pd.DataFrame] = []
@@ -55,10 +89,9 @@ def by_key(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[t
     for batch in batches:
         if not len(batch):
             continue
-        new = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
-        starts = [*new.nonzero()[0].tolist()]
-        if not starts or starts[0] != 0:
-            starts = [0, *starts]
+        columns = [batch[k].to_numpy() for k in keys]
+        new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        starts = [0, *(new.nonzero()[0] + 1).tolist()]
         for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
             part = batch.iloc[a:b]
             key = tuple(part[k].iat[0] for k in keys)
