@@ -7,19 +7,30 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut
+from .common import bound_batches, bounded, cut, fresh, stored
 from .toxicity import chunks
 
-#: Characters in a gram, bits of a character's code (code points from 2047 on share the last code), codes around a text.
-ORDER, BITS, BEGIN, END = 4, 11, 1, 2
+#: Characters in a gram, bits of a character's code, codes around a text. Code points from OWN on share OWN codes by a hash.
+ORDER, BITS, BEGIN, END, OWN = 4, 15, 1, 2, 1 << 14
 #: Share of trusted documents, by language, whose perplexity passes; characters at the language's mean that temper short texts.
 QUANTILE, TEMPER = 0.99, 50
-#: Rows of a model that tasks may hold (24 bytes each); a larger one stays in its shards and is joined there.
-HELD_ROWS = 4_000_000
+#: One in FOLDS trusted texts (by a hash of the text) sets the threshold and is not trained on, in languages with LEAST or more.
+FOLDS, LEAST = 5, 50
+#: Bytes of text in a block, about: grams are told apart in a block before they meet the model.
+BLOCK = 16 << 20
+#: Rows of a table by language or of document ids that are broadcast, at most.
+LANGUAGES, HELD_IDS = 100_000, 2_000_000
+
+
+def codes(points: np.ndarray) -> np.ndarray:
+    """A code of BITS bits for each code point."""
+    mixed = (points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)
+    return np.where(points < OWN, points.astype(np.int64), OWN + mixed.astype(np.int64))
 
 
 def grams(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -33,7 +44,7 @@ def grams(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.n
         at[ends - lengths + k - 1] = False
     where = np.nonzero(at)[0]
     at[ends - 1] = False
-    flat[at] = np.minimum(np.concatenate([*data, np.zeros(0, np.uint32)]), (1 << BITS) - 1)
+    flat[at] = codes(np.concatenate([*data, np.zeros(0, np.uint32)]))
     flat[ends - 1] = END
     code = np.zeros(len(where), np.int64)
     for k in range(order):
@@ -63,7 +74,8 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
 
     Counts of the longest grams are summed by gram over all trusted text (combined in each task first). A shorter gram counts
     the different characters seen before it. Discounts come from the counts of counts, by language and length; each count
-    is joined with them and with its context's sums, both sharded by key. A null language is the language "".
+    is joined with them and with its context's sums, both sharded by key. A null language is the language ""; repeated rows
+    count as often as they are there; no rows give an empty model.
     """
     bound_batches(trusted.sparkSession)
     counts = cut(trusted.select("lang", "text").mapInPandas(_counted(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
@@ -76,7 +88,7 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
         every = every.unionByName(x)
     n1, n2, n3, n4 = (F.col(f"n{i}") for i in range(1, 5))
     stats = every.groupBy("lang", "k").agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in range(1, 5)])
-    y = n1 / (n1 + 2 * n2)
+    y = n1 / F.nullif(n1 + 2 * n2, F.lit(0.0))
     # where counts of counts are too few for the estimate, fixed discounts stand in
     bound = lambda value, i, spare: F.when((n1 > 0) & (n2 > 0) & (value > 0), F.least(value, F.lit(i - 0.05))).otherwise(F.lit(spare))
     discounts = stats.select(
@@ -90,128 +102,189 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     return cut(shares.unionByName(contexts.select("lang", "k", F.lit("b").alias("kind"), F.col("context").alias("code"), (F.col("left") / F.col("total")).alias("value"))))
 
 
-def _tables(model: DataFrame) -> dict[str, dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]]:
-    """Sorted arrays by language, length and kind, out of Arrow columns (no object per row on the driver)."""
-    rows = model.select("lang", (F.col("k") * 2 + F.when(F.col("kind") == "p", 0).otherwise(1)).cast("int").alias("slot"), "code", "value").toArrow()
-    if not rows.num_rows:
-        return {}
-    lang = rows["lang"].combine_chunks().dictionary_encode()
-    slot = lang.indices.to_numpy() * 64 + rows["slot"].to_numpy()
-    code, value = rows["code"].to_numpy(), rows["value"].to_numpy()
-    order = np.lexsort((code, slot))
-    slot, code, value = slot[order], code[order], value[order]
-    out: dict[str, dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]] = {}
-    starts = np.nonzero(np.diff(slot, prepend=-1))[0]
-    for lo, hi in zip(starts, [*starts[1:], len(slot)], strict=True):
-        name, k, kind = lang.dictionary[int(slot[lo]) // 64].as_py(), int(slot[lo]) % 64 // 2, "pb"[int(slot[lo]) % 2]
-        out.setdefault(name, {})[k, kind] = (code[lo:hi].copy(), value[lo:hi].copy())
-    return out
-
-
-def log_shares(gram: np.ndarray, tables: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> np.ndarray:
-    """-ln p of each gram's last character: from the even share up, each length adds its own share to what it leaves."""
-    p = np.full(len(gram), 2.0**-BITS)
-
-    def found(kind: str, k: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = tables.get((k, kind), (np.zeros(0, np.int64), np.zeros(0)))
-        at = np.minimum(np.searchsorted(keys, code), max(len(keys) - 1, 0))
-        hit = keys[at] == code if len(keys) else np.zeros(len(code), bool)
-        return hit, values[at] if len(keys) else np.zeros(len(code))
+def _blocks(batches: Iterator[pa.RecordBatch], at_text: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows of a task in blocks of about BLOCK bytes of text. Where a block ends follows from the rows alone."""
+    first, size, number = TaskContext.get().partitionId() << 32, 0, -1
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        n = pc.fill_null(pc.binary_length(b.column(at_text)), 0).to_numpy().astype(np.int64)
+        ends = size + np.cumsum(n)
+        block = (ends - n) // BLOCK
+        edges = [0, *(np.nonzero(np.diff(block))[0] + 1).tolist(), len(block)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if block[lo] != number:
+                if held:
+                    yield first + number, held
+                held, number = [], int(block[lo])
+            held.append(b.slice(lo, hi - lo))
+        size = int(ends[-1])
+    if held:
+        yield first + number, held
+
+
+def _frames(batches: list[pa.RecordBatch], at_lang: int, at_text: int) -> Iterator[tuple[int, str, pd.DataFrame]]:
+    """(first row's number of a batch in the block, language, its rows): a share of a batch at a time."""
+    base = 0
+    for b in batches:
+        frame = pd.DataFrame({"lang": b.column(at_lang).to_pandas(), "text": b.column(at_text).to_pandas()})
+        for lang, rows in _languages(frame):
+            yield base, lang, rows
+        base += b.num_rows
+
+
+def _block_grams(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, held in _blocks(batches, 1):
+            found: dict[str, list[np.ndarray]] = {}
+            for _, lang, rows in _frames(held, 0, 1):
+                found.setdefault(lang, []).append(np.unique(grams(rows["text"].tolist(), order)[0]))
+            for lang, parts in found.items():
+                gram = np.unique(np.concatenate(parts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), block)), pa.array([lang] * len(gram), pa.string()), pa.array(gram)], ["block", "lang", "gram"])
 
-    for k in range(1, order + 1):
-        code = gram & ((1 << BITS * k) - 1)
-        hit, share = found("p", k, code)
-        seen, left = found("b", k, code >> BITS)
-        p = np.where(seen, np.where(hit, share, 0.0) + left * p, p)
-    return -np.log(p)
+    return run
 
 
-def _scored_held(docs: DataFrame, tables: Broadcast, order: int) -> DataFrame:
-    at_text, at_lang = docs.columns.index("text"), docs.columns.index("lang")
+def _packed(at_text: int):
+    """Each block's rows as one compressed value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            frame = pd.DataFrame({"lang": b.column(at_lang).to_pandas(), "text": b.column(at_text).to_pandas()})
-            nll, n = np.zeros(len(frame)), np.zeros(len(frame), np.int64)
-            for lang, rows in _languages(frame):
-                gram, row = grams(rows["text"].tolist(), order)
-                some, inverse = np.unique(gram, return_inverse=True)
-                nll[rows.index] = np.bincount(row, weights=log_shares(some, tables.value.get(lang, {}), order)[inverse], minlength=len(rows))
-                n[rows.index] = np.bincount(row, minlength=len(rows))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nll), pa.array(n)], [*b.schema.names, "_nll", "_n"])
-
-    schema = docs.select("*", F.lit(0.0).alias("_nll"), F.lit(0).cast("long").alias("_n")).schema
-    for f in schema.fields:
-        f.nullable = True
-    return docs.mapInArrow(run, schema)
+        for block, held in _blocks(batches, at_text):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in held:
+                    out.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
 
+    return run
 
-def _scored_joined(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """The same by shuffled joins: the different grams of the documents meet the model's shards, length by length; then
-    each document's counts meet its grams' values."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    named = docs.withColumn("_key", key)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _summed(order: int, at_lang: int, at_text: int, names: list[str]):
+    """Blocks' rows, each after its grams' values: the sum of -ln p and the number of grams of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            for lang, rows in _languages(b):
-                gram, row = grams(rows["text"].tolist(), order)
-                pair, n = np.unique(np.stack([row, gram]), axis=1, return_counts=True)
-                yield pd.DataFrame({"lang": lang, "_key": rows["_key"].to_numpy()[pair[0]], "gram": pair[1], "n": n})
+            packed = np.nonzero(b.column("rows").is_valid().to_numpy(zero_copy_only=False))[0].tolist()
+            for lo, hi in zip([0, *(k + 1 for k in packed)], [*packed, b.num_rows], strict=True):
+                held.append(b.slice(lo, hi - lo))
+                if hi < b.num_rows:
+                    yield from rows_of(held, b.column("block")[hi].as_py(), b.column("rows")[hi].as_buffer())
+                    held = []
+
+    def rows_of(values: list[pa.RecordBatch], block: int, packed: pa.Buffer) -> Iterator[pa.RecordBatch]:
+        with pa.ipc.open_stream(packed) as stream:
+            rows = list(stream)
+        table = pa.Table.from_batches(values)
+        found = table["lang"].combine_chunks().dictionary_encode()
+        of, gram, p = found.indices.to_numpy(), table["gram"].to_numpy(), table["p"].to_numpy()
+        if len(of) and (table["block"].to_numpy() != block).any():
+            raise RuntimeError("two reads of the documents differ; store them first")
+        known = {name: (gram[of == k], -np.log(p[of == k])) for k, name in enumerate(found.dictionary.to_pylist())}
+        total = sum(b.num_rows for b in rows)
+        nll, n = np.zeros(total), np.zeros(total, np.int64)
+        for base, lang, part in _frames(rows, at_lang, at_text):
+            code, row = grams(part["text"].tolist(), order)
+            keys, cost = known.get(lang, (np.zeros(0, np.int64), np.zeros(0)))
+            at = np.minimum(np.searchsorted(keys, code), max(len(keys) - 1, 0))
+            if not len(keys) or (keys[at] != code).any():
+                raise RuntimeError("two reads of the documents differ; store them first")
+            place = base + part.index.to_numpy()
+            nll[place] = np.bincount(row, weights=cost[at], minlength=len(part))
+            n[place] = np.bincount(row, minlength=len(part))
+        base = 0
+        for b in rows:
+            upto = base + b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nll[base:upto]), pa.array(n[base:upto])], names)
+            base = upto
 
-    texts = named.select(F.coalesce("lang", F.lit("")).alias("lang"), "_key", "text").dropDuplicates(["lang", "_key"])
-    counts = cut(texts.mapInPandas(run, "lang string, _key long, gram long, n long"))
-    known = counts.select("lang", "gram").distinct().withColumn("p", F.lit(2.0**-BITS))
+    return run
+
+
+def shares(found: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """found (lang, gram) with p, the share of each gram's last character: from the even share up, each length adds its own
+    share to what it leaves. Length by length the grams meet the model's shards."""
+    known = found.withColumn("p", F.lit(2.0**-BITS))
     for k in range(1, order + 1):
         code = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))
         part = lambda kind, name: model.where((F.col("k") == k) & (F.col("kind") == kind)).select("lang", F.col("code").alias(name), F.col("value").alias(f"v_{name}"))  # noqa: B023, E731
         both = known.withColumn("g", code).withColumn("c", F.shiftright(code, BITS)).join(part("p", "g"), ["lang", "g"], "left").join(part("b", "c"), ["lang", "c"], "left")
-        known = both.select("lang", "gram", F.when(F.col("v_c").isNull(), F.col("p")).otherwise(F.coalesce("v_g", F.lit(0.0)) + F.col("v_c") * F.col("p")).alias("p"))
-    sums = counts.join(known, ["lang", "gram"]).groupBy("lang", "_key").agg(F.sum(-F.log("p") * F.col("n")).alias("_nll"), F.sum("n").alias("_n")).withColumnsRenamed({"lang": "_lang", "_key": "_k"})
-    return named.join(sums, (F.coalesce(named.lang, F.lit("")) == sums._lang) & (named._key == sums._k)).select(*docs.columns, "_nll", "_n")
-
+        p = F.when(F.col("v_c").isNull(), F.col("p")).otherwise(F.coalesce("v_g", F.lit(0.0)) + F.col("v_c") * F.col("p"))
+        known = both.select("lang", "gram", p.alias("p"))
+    return known
 
-def ready(model: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame | Broadcast:
-    """The model as tasks hold it, behind a check of its rows; a larger model stays a table, joined in its shards."""
-    return model.sparkSession.sparkContext.broadcast(_tables(model)) if model.count() <= held_rows else model
 
+def scored(docs: DataFrame, model: DataFrame, nll: str = "nll", n: str = "n", order: int = ORDER) -> DataFrame:
+    """docs with two more columns: the sum of -ln p over a text's characters and its end, and their number.
 
-def scored(docs: DataFrame, model: DataFrame | Broadcast, order: int = ORDER) -> DataFrame:
-    """docs with _nll (the sum of -ln p) and _n (characters and the end) of each text; a model made ready or its table give
-    the same numbers."""
+    By count joins in shards, the same way at every size. Each task first sums its documents' grams up to the different ones
+    in a block of about BLOCK bytes of text: these rows, a fraction of the texts, are joined with the model in its shards and
+    come back to their block, where the texts of the block (packed into one value) look them up. A task holds one block and
+    its grams. docs is read twice and must give the same rows in the same tasks, as tables do; where it does not, that is
+    found and raised. A null text is empty; a null language is "".
+    """
     bound_batches(docs.sparkSession)
-    return _scored_held(docs, model, order) if isinstance(model, Broadcast) else _scored_joined(docs, model, order)
+    at_text, at_lang = docs.columns.index("text"), docs.columns.index("lang")
+    found = stored(docs.select("lang", "text").mapInArrow(_block_grams(order), "block long, lang string, gram long"), "grams")
+    values = found.join(shares(found.select("lang", "gram").distinct(), model, order), ["lang", "gram"]).select("block", "lang", "gram", "p", F.lit(None).cast("binary").alias("rows"))
+    packed = docs.mapInArrow(_packed(at_text), "block long, rows binary").select("block", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("p"), "rows")
+    # packed comes first, so its tasks have the numbers that they had as the grams were counted
+    dealt = packed.unionByName(values).repartition("block").sortWithinPartitions("block", F.col("rows").isNotNull(), "lang", "gram")
+    schema = docs.select("*", F.lit(0.0).alias(nll), F.lit(0).cast("long").alias(n)).schema
+    for f in schema.fields:
+        f.nullable = True
+    return dealt.mapInArrow(_summed(order, at_lang, at_text, [*docs.columns, nll, n]), schema)
 
 
 def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that labels (doc_id, quality, toxic) calls good and not toxic."""
+    """(lang, text) of documents that labels (doc_id, quality, toxic) calls good and not toxic."""
     ids = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").distinct()
-    rows = ids.count()
-    ids = F.broadcast(ids) if rows <= 2_000_000 else ids  # 8 bytes each; more go through a shuffle
-    return docs.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi")
+    return docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").join(bounded(ids, HELD_IDS), "doc_id", "left_semi").select("lang", "text")
+
+
+def _limits(docs: DataFrame, labels: DataFrame, quantile: float, order: int) -> tuple[DataFrame, DataFrame]:
+    """(model, a row (name, mean, threshold) for each language)."""
+    rows = trusted_text(docs, labels)
+    sizes = bounded(rows.groupBy("lang").agg(F.count("*").alias("texts")), LANGUAGES)
+    apart = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(FOLDS)) == 0
+    trusted = stored(rows.join(sizes, "lang").select("lang", "text", "texts", ((F.col("texts") >= LEAST) & apart).alias("held")), "trusted")
+    model = train(trusted.where("NOT held").select("lang", "text"), order)
+    judges = trusted.where(F.col("held") | (F.col("texts") < LEAST)).select("lang", "text")
+    known = cut(scored(judges, model, order=order).select(F.col("lang").alias("name"), "nll", "n"))
+    means = bounded(known.groupBy("name").agg((F.sum("nll") / F.sum("n")).alias("mean")), LANGUAGES)
+    of = known.join(means, "name").groupBy("name").agg(F.first("mean").alias("mean"), F.percentile_approx(_tempered("nll", "n", "mean"), quantile, 100000).alias("threshold"))
+    return model, bounded(of, LANGUAGES)
+
+
+def _tempered(nll: str, n: str, mean: str) -> Column:
+    return F.exp((F.col(nll) + TEMPER * F.col(mean)) / (F.col(n) + TEMPER))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, quantile: float, order: int, out: list[str]) -> DataFrame:
+    model, limits = _limits(docs, labels, quantile, order)
+    nll, n, name, mean, threshold = fresh(docs, "nll", "n", "name", "mean", "threshold")
+    rows = scored(docs, model, nll, n, order)
+    both = rows.join(limits.toDF(name, mean, threshold), F.coalesce(rows.lang, F.lit("")) == F.col(name), "left")
+    found = [_tempered(nll, n, mean), F.col(threshold), F.coalesce(_tempered(nll, n, mean) <= F.col(threshold), F.lit(True))]
+    return both.select(*docs.columns, *[c.alias(x) for c, x in zip(found, out, strict=True)])
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, held_rows: int = HELD_ROWS) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER) -> DataFrame:
     """docs with perplexity, threshold (by language) and keep, one row for each row of docs.
 
     perplexity is by character and tempered: TEMPER characters at the language's mean are added, so that short texts don't
-    stand out by chance. threshold: the quantile over trusted documents of the language. Null and empty texts have the end
-    alone to judge and stay. A language without trusted text has no threshold (null) and its documents stay.
+    stand out by chance. threshold: the quantile over trusted documents of the language that the model has not seen (one in
+    FOLDS; in languages with fewer than LEAST trusted documents all of them, which the model has seen). Null and empty texts
+    have the end alone to judge. A language without trusted text has neither (null) and its documents stay. Columns of docs
+    that are called perplexity, threshold or keep give way. Repeated rows are judged alike; an empty table gives an empty one.
     """
-    trusted = trusted_text(docs, labels)
-    model = ready(train(trusted, order), held_rows)
-    known = cut(scored(trusted, model, order).select(F.coalesce("lang", F.lit("")).alias("t_lang"), "_nll", "_n"))
-    means = known.groupBy("t_lang").agg((F.sum("_nll") / F.sum("_n")).alias("mean"))
-    tempered = lambda: F.exp((F.col("_nll") + TEMPER * F.col("mean")) / (F.col("_n") + TEMPER))
-    limits = cut(known.join(means, "t_lang").groupBy("t_lang").agg(F.first("mean").alias("mean"), F.percentile_approx(tempered(), quantile, 100000).alias("threshold")))  # a row for each language
-    if limits.count() <= 100_000:  # a few numbers for each language; else a shuffle
-        limits = F.broadcast(limits)
-    rows = scored(docs, model, order)
-    both = rows.join(limits, F.coalesce(rows.lang, F.lit("")) == limits.t_lang, "left")
-    return both.withColumn("perplexity", tempered()).select(*docs.columns, "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
+    out = ["perplexity", "threshold", "keep"]
+    return _judged(docs.select([c for c in docs.columns if c.lower() not in out]), labels, quantile, order, out)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """The rows of docs that the classifier keeps, with docs' columns."""
-    renamed = docs.select(*[F.col(c).alias(f"_in_{c}") if c in ("perplexity", "threshold", "keep") else F.col(c) for c in docs.columns])
-    return judged(renamed, labels, quantile).where("keep").drop("perplexity", "threshold", "keep").toDF(*docs.columns)
+    """The rows of docs that the classifier keeps, with docs' columns, whatever their names."""
+    out = fresh(docs, "perplexity", "limit", "keep")
+    return _judged(docs, labels, quantile, ORDER, out).where(F.col(out[2])).select(docs.columns)
