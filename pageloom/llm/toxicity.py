@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, bounded
 
 #: Hashed features; bytes of a word that make its prefix feature.
 DIM, PREFIX = 1 << 22, 6
-#: Most confirmed toxic and unlabelled documents that training reads (a hash of doc_id picks them).
-POSITIVES, UNLABELLED, MODELS = 4000, 12000, 3
+#: Most confirmed toxic and unlabelled documents that the steps of the risk read (defaults of train's arguments).
+POSITIVES, UNLABELLED, MODELS = 6000, 18000, 3
+#: A feature is in so many confirmed documents at least, and so many times more frequent there.
+LEAST, RATIO = 5, 4
+#: Confirmed ids that are broadcast, at most (8 bytes each); more are joined by a shuffle.
+HELD_IDS = 2_000_000
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -62,98 +68,158 @@ def chunks(texts: pd.Series, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def fit_nnpu(rows_p: list[np.ndarray], rows_u: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.1, decay: float = 3e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, weights, bias) of a logistic classifier that minimises prior * E+[l(+)] + max(0, Eu[l(-)] - prior * E+[l(-)]).
+Pairs = tuple[np.ndarray, np.ndarray, int]
 
-    Features are those clearly more frequent in positive than in unlabelled documents; when the
-    bracket turns negative its gradient is turned round, as the non-negative estimator asks for.
+
+def risk_and_gradient(w: np.ndarray, b: float, positive: Pairs, unlabelled: Pairs, prior: float) -> tuple[float, float, np.ndarray]:
+    """(risk, bracket, direction) of a logistic classifier (weights, bias) over documents given as (row, feature, documents).
+
+    risk is prior * E+[l(+)] + max(0, bracket) with bracket = Eu[l(-)] - prior * E+[l(-)]. direction is the gradient of the
+    risk in (weights, bias); where the bracket is negative it is the gradient of -bracket, as the non-negative estimator
+    asks for, to bring it back above zero.
     """
-    names, cp = np.unique(np.concatenate([*rows_p, np.zeros(0, np.uint32)]), return_counts=True)
-    names, cp = names[cp >= 5], cp[cp >= 5]
-
-    def csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The rows' features among the names, as (row, place in names)."""
-        hit = []
-        for r in rows:
-            at = np.minimum(np.searchsorted(names, r), max(len(names) - 1, 0))
-            hit.append(at[names[at] == r] if len(names) else at[:0])
-        return np.repeat(np.arange(len(rows)), [len(h) for h in hit]), np.concatenate([*hit, np.zeros(0, np.int64)]).astype(np.int64)
-
-    cu = np.bincount(csr(rows_u)[1], minlength=len(names))
-    names = names[(cp + 0.1) / (len(rows_p) + 1) > 4 * (cu + 0.1) / (len(rows_u) + 1)]
-    (ip, jp), (iu, ju) = csr(rows_p), csr(rows_u)
-    w, b = np.zeros(len(names)), np.log(prior / (1 - prior))
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    out = lambda i, j, n: np.bincount(i, weights=w[j], minlength=n) + b
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    (ip, jp, n_p), (iu, ju, n_u) = positive, unlabelled
+    zp, zu = np.bincount(ip, weights=w[jp], minlength=n_p) + b, np.bincount(iu, weights=w[ju], minlength=n_u) + b
+    sp, su = (1 / (1 + np.exp(-np.clip(z, -40, 40))) for z in (zp, zu))
+    bracket = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    dp, du = -prior * sp / n_p, su / n_u  # of the bracket
+    if bracket >= 0:
+        dp = dp + prior * (sp - 1) / n_p
+    else:
+        dp, du = -dp, -du
+    grad = np.bincount(jp, weights=dp[ip], minlength=len(w)) + np.bincount(ju, weights=du[iu], minlength=len(w))
+    return prior * np.logaddexp(0, -zp).mean() + max(0.0, bracket), bracket, np.append(grad, dp.sum() + du.sum())
+
+
+def _pairs(rows: list[np.ndarray]) -> Pairs:
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.uint32)]).astype(np.int64), len(rows)
+
+
+def fit_nnpu(rows_p: list[np.ndarray], rows_u: list[np.ndarray], n: int, prior: float, rounds: int = 300, rate: float = 0.1, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+    """(weights of n features, bias) that make the non-negative PU risk small, by Adam steps; a row is its features' numbers."""
+    positive, unlabelled = _pairs(rows_p), _pairs(rows_u)
+    w, b = np.zeros(n), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, rounds + 1):
-        sp, su = sig(out(ip, jp, len(rows_p))), sig(out(iu, ju, len(rows_u)))
-        minus_p, minus_u = -np.log1p(-np.minimum(sp, 1 - 1e-12)), -np.log1p(-np.minimum(su, 1 - 1e-12))
-        rest = minus_u.mean() - prior * minus_p.mean()
-        gp, gu = -prior * sp / len(rows_p), su / len(rows_u)  # of the bracket
-        sign = 1.0 if rest >= 0 else -1.0
-        dp, du = sign * gp + (prior * (sp - 1) / len(rows_p) if rest >= 0 else 0), sign * gu
-        grad = np.append(np.bincount(jp, weights=dp[ip], minlength=len(w)) + np.bincount(ju, weights=du[iu], minlength=len(w)) + decay * w, dp.sum() + du.sum())
+        grad = risk_and_gradient(w, b, positive, unlabelled, prior)[2] + np.append(decay * w, 0.0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
-    return names, w, float(b)
+    return w, b
 
 
-def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a task have each feature."""
+    total = np.zeros(DIM, np.int32)
     for b in batches:
-        for lo, hi in chunks(b["text"]):
-            row, feature = features(b["text"].iloc[lo:hi].tolist())
-            edges = np.searchsorted(row, np.arange(hi - lo + 1))
-            yield pd.DataFrame({"f": [feature[a:e].astype("<u4").tobytes() for a, e in zip(edges, edges[1:], strict=False)]})
-
-
-def _sample(docs: DataFrame, most: int, total: int) -> list[np.ndarray]:
-    share = min(1.0, 1.2 * most / max(total, 1))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else docs
-    return [np.frombuffer(r.f, "<u4") for r in picked.select("text").mapInPandas(_gather, "f binary").limit(most).collect()]
-
-
-def train(docs: DataFrame, labels: DataFrame, seed: int = 42) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """MODELS classifiers. Positives: documents that labels (doc_id, toxic) confirms as toxic; the rest of docs is unlabelled.
-    The class prior is the share of toxic among the labelled ones. At most POSITIVES and UNLABELLED documents are read.
-    Without a positive the models give the prior alone."""
-    known = labels.where("toxic is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+        for lo, hi in chunks(b.column(0).to_pandas()):
+            total += np.bincount(features(b.column(0)[lo:hi].to_pylist())[1], minlength=DIM).astype(np.int32)
+    f = np.nonzero(total)[0]
+    yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), pa.array(total[f].astype(np.int64))], ["f", "n"])
+
+
+def _counted_in(names: np.ndarray):
+    """The same for some features only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, total = _slots(names), np.zeros(len(names) + 1, np.int64)
+        for b in batches:
+            for lo, hi in chunks(b.column(0).to_pandas()):
+                total += np.bincount(slot[features(b.column(0)[lo:hi].to_pylist())[1]], minlength=len(names) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(total[:-1])], ["f", "n"])
+
+    return run
+
+
+def _slots(names: np.ndarray) -> np.ndarray:
+    """The place of each feature in names; len(names) for others."""
+    slot = np.full(DIM, len(names), np.int32)
+    slot[names] = np.arange(len(names), dtype=np.int32)
+    return slot
+
+
+def _frequencies(texts: DataFrame, run) -> tuple[np.ndarray, np.ndarray]:
+    """(features, texts that have them), over all texts; at most DIM rows reach the driver."""
+    rows = texts.select("text").mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
+    f, n = rows["f"].to_numpy().astype(np.int64), rows["n"].to_numpy()
+    order = np.argsort(f)
+    return f[order], n[order]
+
+
+def _sample(docs: DataFrame, most: int, total: int, names: np.ndarray, salt: int) -> list[np.ndarray]:
+    """The features, as places in names, of the `most` documents whose ids have the smallest hashes: the same documents in the
+    same order however they are dealt to tasks."""
+    share = min(1.0, 1.2 * most / max(total, 1) + 1e-6)
+    h = F.xxhash64("doc_id", F.lit(salt))
+    picked = docs.where(F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = _slots(names)
+        for b in batches:
+            for lo, hi in chunks(b.column(3).to_pandas()):
+                row, f = features(b.column(3)[lo:hi].to_pylist())
+                at = slot[f]
+                row, at = row[at < len(names)], at[at < len(names)]
+                edges = np.searchsorted(row, np.arange(hi - lo + 1))
+                kept = [np.sort(at[a:e]).astype("<u4").tobytes() for a, e in pairwise(edges)]
+                yield pa.RecordBatch.from_arrays([*(b.column(k)[lo:hi] for k in range(3)), pa.array(kept, pa.binary())], ["h", "doc_id", "t", "f"])
+
+    rows = picked.select(F.pmod(h, F.lit(1 << 30)).alias("h"), F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    first = rows.mapInArrow(run, "h long, doc_id string, t long, f binary").orderBy("h", "doc_id", "t").limit(most).select("f").collect()
+    return [np.frombuffer(r.f, "<u4") for r in first]
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, models: int = MODELS, seed: int = 42
+) -> tuple[np.ndarray, list[tuple[np.ndarray, float]]]:
+    """(features, classifiers as weights of them and bias). Positives: documents that labels (doc_id, toxic) confirms as toxic
+    in any row; all of docs is the unlabelled side. The class prior is the share of toxic among the labelled ones.
+
+    Features, counted over all confirmed and all unlabelled documents, are those that LEAST confirmed documents or more have,
+    and that are over RATIO times more frequent there. The steps of the risk read at most `positives` and `unlabelled`
+    documents, the latter shared out among the models: those whose ids have the smallest hashes. Rows with equal ids are
+    told apart by their texts, so the result does not depend on how rows are dealt. Without a positive there is one model,
+    which gives the prior alone.
+    """
+    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n_toxic, n_known = known.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
     prior = min(0.5, max(0.001, n_toxic / max(n_known, 1)))
+    nothing = np.zeros(0, np.int64), [(np.zeros(0), float(np.log(prior / (1 - prior))))]
     if not n_toxic:
-        return [(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))]
-    share = min(1.0, 1.2 * POSITIVES / n_toxic)
-    ids = known.where("toxic = 1").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) <= int(share * (1 << 30))).select("doc_id").limit(POSITIVES)
-    positive = _sample(docs.join(F.broadcast(ids), "doc_id"), POSITIVES, 0)  # at most POSITIVES ids
-    unlabelled = _sample(docs, UNLABELLED, docs.count())
-    order = np.random.default_rng(seed).permutation(len(unlabelled))
-    parts = [[unlabelled[i] for i in order[k::MODELS]] for k in range(MODELS)]
-    return [fit_nnpu(positive, part or unlabelled, prior) for part in parts] if positive else [(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))]
-
-
-def score(docs: DataFrame, models: list[tuple[np.ndarray, np.ndarray, float]]) -> DataFrame:
-    """(doc_id, score): the mean of the models' probabilities for the whole text; an empty or null text has no words."""
+        return nothing
+    confirmed = docs.join(bounded(known.where("toxic = 1").select("doc_id"), HELD_IDS), "doc_id", "left_semi")
+    n_p, n_u = confirmed.count(), docs.count()
+    if not n_p:
+        return nothing
+    names, in_p = _frequencies(confirmed, _counted)
+    names, in_p = names[in_p >= LEAST], in_p[in_p >= LEAST]
+    seen, count = _frequencies(docs, _counted_in(names))
+    in_u = np.zeros(len(names), np.int64)
+    in_u[np.searchsorted(names, seen)] = count
+    names = names[(in_p + 0.1) / (n_p + 1) > RATIO * (in_u + 0.1) / (n_u + 1)]
+    rows_p, rows_u = _sample(confirmed, positives, n_p, names, 3), _sample(docs, unlabelled, n_u, names, 7)
+    order = np.random.default_rng(seed).permutation(len(rows_u))
+    parts = [[rows_u[i] for i in order[k::models]] for k in range(models)]
+    return names, [fit_nnpu(rows_p, part or rows_u, len(names), prior) for part in parts]
+
+
+def score(docs: DataFrame, names: np.ndarray, models: list[tuple[np.ndarray, float]]) -> DataFrame:
+    """(doc_id, score): the mean of the models' probabilities for the whole text. A row for each row of docs; an empty or null
+    text has no words; null ids stay null; other columns are ignored."""
     bound_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = np.unique(np.concatenate([m[0] for m in models]))
-        slot = np.full(DIM, -1, np.int32)
-        slot[names] = np.arange(len(names))
-        tables = []
-        for f, w, b in models:
-            t = np.zeros(len(names) + 1)
-            t[slot[f]] = w
-            tables.append((t, b))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = _slots(names)
+        tables = [(np.append(w, 0.0), b) for w, b in models]
         for batch in batches:
-            for lo, hi in chunks(batch["text"]):
-                row, feature = features(batch["text"].iloc[lo:hi].tolist())
+            for lo, hi in chunks(batch.column(1).to_pandas()):
+                row, feature = features(batch.column(1)[lo:hi].to_pylist())
                 s = slot[feature]
-                row, s = row[s >= 0], s[s >= 0]
+                row, s = row[s < len(names)], s[s < len(names)]
                 p = [1 / (1 + np.exp(-np.clip(np.bincount(row, weights=t[s], minlength=hi - lo) + b, -40, 40))) for t, b in tables]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[lo:hi], "score": np.mean(p, axis=0)})
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.mean(p, axis=0))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -167,8 +233,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
     """
     kept = lambda df: df.where(~F.coalesce(held_out(), F.lit(False)))
     bound_batches(spark)
-    models = train(kept(docs.select("doc_id", "text")), kept(labels.select("doc_id", "toxic")))
-    out = score(docs, models)
+    out = score(docs, *train(kept(docs.select("doc_id", "text")), kept(labels.select("doc_id", "toxic"))))
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
