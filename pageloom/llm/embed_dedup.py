@@ -12,12 +12,23 @@ from pyspark.sql import functions as F
 from .common import bound_batches, by_key, components, cut
 
 #: Vectors in one side of a tile, and the leading dimensions after which the bound is looked at.
-TILE, STEPS = 1024, (8, 16, 32)
+TILE, STEPS = 4096, (8, 16, 32)
 SLACK = 1e-9
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors), dtype="<f8").reshape(len(vectors), -1)
+def _matrix(vectors: pd.Series, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), dtype=kind).reshape(len(vectors), -1).astype("f8")
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, each times a power of two (which rounds nothing) that keeps its squares in range."""
+    x = x.astype("f8")
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0, keepdims=True))[1])
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -25,8 +36,7 @@ def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for d, rows in b.groupby("dim"):
-            x = np.stack(rows["embedding"].to_numpy()).astype("f8")
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = _units(np.stack(rows["embedding"].to_numpy()))
             sums[d] = sums.get(d, 0) + x.T @ x
     for d, m in sums.items():
         i, j = np.indices(m.shape)
@@ -44,21 +54,23 @@ def _rotations(unique: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def _placed(rotations: dict[int, np.ndarray], width: float):
-    """Each vector with the bin of its first principal coordinate: partners are in the same or the next bin."""
+def _placed(rotations: dict[int, np.ndarray], width: float, kind: str):
+    """Each vector with the bin of its first principal coordinate: partners are in the same or the next bin. Components
+    travel in the table's own precision."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for d, rows in b.groupby("dim"):
-                x = np.stack(rows["embedding"].to_numpy()).astype("f8")
-                first = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotations[int(d)][:, 0]
-                yield pd.DataFrame({"rep": rows["rep"], "n": rows["n"], "label": rows["label"], "dim": rows["dim"], "bin": np.floor(first / width).astype("i4"), "vec": [v.tobytes() for v in x]})
+                x = np.stack(rows["embedding"].to_numpy())
+                first = _units(x) @ rotations[int(d)][:, 0]
+                yield pd.DataFrame({"rep": rows["rep"], "n": rows["n"], "label": rows["label"], "dim": rows["dim"], "bin": np.floor(first / width).astype("i4"), "vec": [v.tobytes() for v in x.astype(kind)]})
 
     return run
 
 
 def tile_pairs(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of all pairs (one of a, one of b) whose cosine reaches the threshold."""
+    a, b = _scaled(a), _scaled(b)
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     u, v = (a / na[:, None]) @ rotation, (b / nb[:, None]) @ rotation
     d = u.shape[1]
@@ -87,7 +99,7 @@ def tile_pairs(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold: fl
     return (np.concatenate(got_i), np.concatenate(got_j)) if got_i else (none, none)
 
 
-def _tiles(rotations: dict[int, np.ndarray], threshold: float):
+def _tiles(rotations: dict[int, np.ndarray], threshold: float, kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (_, dim, *_), rows in by_key(batches, ["label", "dim", "abin", "apart", "bbin", "bpart"]):
             left = rows[rows["side"] == 0]
@@ -95,7 +107,7 @@ def _tiles(rotations: dict[int, np.ndarray], threshold: float):
             right = left if alone else rows[rows["side"] == 1]
             if not len(left) or not len(right):
                 continue
-            i, j = tile_pairs(_matrix(left["vec"]), _matrix(right["vec"]), rotations[int(dim)], threshold)
+            i, j = tile_pairs(_matrix(left["vec"], kind), _matrix(right["vec"], kind), rotations[int(dim)], threshold)
             if alone:
                 i, j = i[i < j], j[i < j]
             else:
@@ -128,17 +140,19 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, tile: int = TI
     A null vec_id, label or vector, a zero vector and one with null or non-finite components link with nothing; such a row
     has n_links 0 and is its own component. Equal vectors meet once, with their number. Unit vectors within the threshold
     differ by at most sqrt(2 - 2 threshold) along any axis, so bins of that width on the first principal axis leave only
-    neighbouring bins to compare; a bin with many vectors is cut into parts, and every pair of parts is a tile.
-    An empty table gives an empty one; other columns are ignored.
+    neighbouring bins to compare; a bin with many vectors is cut into parts, and every pair of parts is a tile. So the work of
+    a label of n vectors that no bin tells apart grows with the square of n, and each vector goes to n / tile tasks, in the
+    table's precision. An empty table gives an empty one; other columns are ignored.
     """
     bound_batches(vectors.sparkSession)
-    rows = vectors.select("vec_id", F.col("label").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    element, kind = ("float", "<f4") if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else ("double", "<f8")
+    rows = vectors.select("vec_id", F.col("label").alias("label"), F.col("embedding").cast(f"array<{element}>").alias("embedding"))
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()).where(~odd & F.exists("embedding", lambda x: x != 0))
     unique = cut(fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("embedding")))
     rotations = _rotations(unique)
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6)
-    placed = unique.mapInPandas(_placed(rotations, width), f"rep long, n long, label {unique.schema['label'].dataType.simpleString()}, dim int, bin int, vec binary")
+    placed = unique.mapInPandas(_placed(rotations, width, kind), f"rep long, n long, label {unique.schema['label'].dataType.simpleString()}, dim int, bin int, vec binary")
     placed = cut(placed)
     parts = placed.groupBy("label", "dim", "bin").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     at = placed.join(parts, ["label", "dim", "bin"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
@@ -155,7 +169,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, tile: int = TI
         .unionByName(at.join(below, ["label", "dim", "bin"]).select("*", F.explode(upto(c("under"))).alias("o")).select(*side(1, c("bin") - 1, c("o"), c("bin"), c("part"))))
     )
     keys = ["label", "dim", "abin", "apart", "bbin", "bpart"]
-    found = cut(sent.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_tiles(rotations, threshold), "a long, b long, links long"))
+    found = cut(sent.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_tiles(rotations, threshold, kind), "a long, b long, links long"))
     roots = components(found.select("a", "b"))
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     known = (
