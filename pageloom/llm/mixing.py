@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import content_key, cut, fresh
 
 WEIGHTS, LIMIT = (5, 2, 1), 3
 #: Rows of a source in one bucket of keys, about; prefix sums run within buckets, then over the buckets' sums.
@@ -35,37 +35,54 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = L
     return fixed.select("source", "source_size", target.alias("target"))
 
 
+def _per_source(rows: DataFrame, weights: tuple[int, ...], limit: int) -> DataFrame:
+    """For each source: size, target, epochs (whole times that it is taken), budget (what is left of the target), number of
+    rows, and how many rows there are of each weight, to half a power of two."""
+    totals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
+    near = F.pow(F.lit(2.0), F.round(2 * F.log2("weight")) / 2)
+    classes = rows.groupBy("source", near.alias("weight")).agg(F.count("*").alias("n"))
+    counts = classes.groupBy("source").agg(F.sum("n").alias("source_rows"), F.collect_list(F.struct("weight", "n")).alias("classes"))
+    per = totals.alias("t").join(counts.alias("c"), F.expr("t.source <=> c.source")).select("t.*", "c.source_rows", "c.classes")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    return per.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+
+
+def _bucket() -> Column:
+    """The range of keys that a key is in, about BUCKET_ROWS rows each: the share of rows with smaller keys, as a row of
+    weight w has a smaller one with probability 1 - exp(-key * w), times the number of buckets."""
+    smaller = F.aggregate("classes", F.lit(0.0), lambda a, c: a + c["n"] * (1.0 - F.exp(-F.col("key") * c["weight"]))) / F.col("source_rows")
+    return F.floor(smaller * F.ceil(F.col("source_rows") / BUCKET_ROWS)).cast("long")
+
+
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 42) -> DataFrame:
     """(doc_id, source, text_hash, size, source_size, target, copies): how often the mix takes each row of docs.
 
     size is the number of words (null text: 0). A source is taken in complete epochs first; for what is left of its target,
     rows are ordered by Efraimidis-Spirakis keys -ln(u) / weight and taken while their running size fits. u comes from a
-    hash of doc_id, text and seed, so reruns agree; the weight is quality.weight of the doc_id, else 1. Of the rows not
-    taken, the one whose size comes nearest to the rest joins if that brings the source nearer to its target. No source is
-    taken over limit times. Empty texts are in the complete epochs only. Rows repeated in docs are mixed as one row each
-    (their keys tie, and are told apart by a number). An empty table gives an empty one.
+    hash of doc_id, text and seed, so reruns agree; the weight is quality.weight of the doc_id (the greatest if there are
+    several), else 1. Running sizes are summed within buckets, ranges of keys with about as many rows each, and over the
+    buckets' sums. Of the rows not taken, the one whose size comes nearest to the rest joins if that brings the source nearer
+    to its target. No source is taken over limit times. Empty texts are in the complete epochs only. Rows repeated in docs
+    are mixed as one row each (their keys tie, and are told apart by a number). Other columns are ignored. An empty table
+    gives an empty one.
     """
-    rows = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")))
-    totals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
-    counts = rows.groupBy("source").agg(F.count("*").alias("source_rows"))
-    per = totals.alias("t").join(counts.alias("c"), F.expr("t.source <=> c.source")).select("t.*", "c.source_rows")
-    weighed = rows.withColumn("weight", F.lit(1.0))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    weight = F.lit(1.0)
     if quality is not None:
-        q = quality.select(F.col("doc_id").alias("q_id"), F.greatest(F.col("weight").cast("double"), F.lit(1e-6)).alias("q_weight")).dropDuplicates(["q_id"])
-        weighed = rows.join(q, rows.doc_id == q.q_id, "left").withColumn("weight", F.coalesce("q_weight", F.lit(1.0))).drop("q_id", "q_weight")
+        q = quality.groupBy(F.col("doc_id").alias("q_id")).agg(F.max(F.col("weight").cast("double")).alias("q_weight"))
+        rows, weight = rows.join(q, rows.doc_id == q.q_id, "left"), F.coalesce(F.least(F.greatest("q_weight", F.lit(1e-6)), F.lit(1e6)), F.lit(1.0))
+    rows = cut(rows.select("doc_id", "source", "size", "text_hash", weight.alias("weight")))
     u = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text_hash", F.lit(seed)), 11).cast("double") + 1.0) / float((1 << 53) + 1)
-    keyed = weighed.withColumn("key", -F.log(u) / F.col("weight"))
-    # e^-key is even between 0 and 1 for weight 1 and stays ordered for others: buckets of it are ranges of keys
-    joined = keyed.alias("k").join(per.alias("p"), F.expr("k.source <=> p.source")).select("k.*", "p.source_size", "p.target", "p.source_rows")
-    even = 1.0 - F.exp(-F.col("key"))
-    joined = joined.withColumn("bucket", F.floor(even * F.ceil(F.col("source_rows") / BUCKET_ROWS)).cast("long")).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    joined = joined.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+    keyed = rows.withColumn("key", -F.log(u) / F.col("weight"))
+    joined = keyed.alias("k").join(_per_source(rows, weights, limit).alias("p"), F.expr("k.source <=> p.source")).drop(F.col("p.source"))
+    joined = joined.withColumn("bucket", _bucket()).drop("classes")
     sums = joined.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(run), F.lit(0)).alias("before"))
     placed = joined.alias("j").join(starts.alias("s"), F.expr("j.bucket = s.bucket AND j.source <=> s.source")).select("j.*", "s.before")
     w = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.withColumn("upto", F.col("before") + F.sum("size").over(w)).withColumn("row", F.row_number().over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    summed = placed.withColumn("upto", F.col("before") + F.sum("size").over(w)).withColumn("row", F.row_number().over(w))
     taken = summed.withColumn("fits", (F.col("upto") <= F.col("budget")) & (F.col("size") > 0))
     rest = taken.groupBy("source").agg((F.first("budget") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("rest"))
     gap = F.abs(F.col("size") - F.col("rest"))
@@ -81,8 +98,19 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
 
 
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, seed: int = 42) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    plan = mix(docs, quality, seed=seed).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("text_hash").alias("m_hash"), "copies").groupBy("m_id", "m_source", "m_hash").agg(F.min("copies").alias("copies"))
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = hashed.join(plan.where("copies > 0"), F.expr("doc_id <=> m_id AND source <=> m_source AND _hash = m_hash"))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    """The rows of docs, each as often as the mix takes it, with docs' columns, whatever their names.
+
+    Rows meet their plan by a hash of doc_id, source and text. Rows that repeat there share what the mix takes of them: all
+    are taken as often as the least of them, and the first so many (by a hash of their other columns) once more. A null text
+    counts as an empty one. An empty table gives an empty one.
+    """
+    k1, k2, low, more, nth, copy = fresh(docs, "k1", "k2", "low", "more", "nth", "copy")
+    plan = mix(docs, quality, seed=seed)
+    a, b = content_key("doc_id", "source", "text_hash")
+    per = plan.groupBy(a.alias(k1), b.alias(k2)).agg(F.min("copies").alias(low), (F.sum("copies") - F.min("copies") * F.count("*")).alias(more))
+    a, b = content_key("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = docs.withColumns({k1: a, k2: b}).join(per.where(F.col(low) + F.col(more) > 0), [k1, k2])
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = Window.partitionBy(k1, k2).orderBy(F.xxhash64(*plain))
+    times = both.withColumn(nth, F.row_number().over(order)).withColumn(copy, F.col(low) + F.when(F.col(nth) <= F.col(more), 1).otherwise(0))
+    return times.where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copy))).select(docs.columns)
