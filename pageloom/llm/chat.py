@@ -7,9 +7,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import bound_batches, stored
@@ -20,7 +20,7 @@ HEAD, COLON, TAIL, ESCAPE = "### ", ": ", "</turn>\n", "\\"
 CONTROL = (ESCAPE, HEAD, "</turn>", COLON)
 _ESCAPED = re.compile("\\\\(" + "|".join(re.escape(c) for c in CONTROL) + ")")
 _TURN = re.compile(r"### ((?:\\.|[^\\:]|:(?!\x20))*): ((?:\\.|[^\\<]|<(?!/turn>))*)</turn>\n", re.S)
-SCHEMA = "conv_id long, seg int, n_turns long, formatted string, loss_start array<int>, loss_length array<int>"
+SCHEMA = "conv_id long, seg long, n_turns long, formatted string, loss_start array<int>, loss_length array<int>"
 
 
 def escape(column: pa.Array, control: tuple[str, ...] = CONTROL[:3]) -> pa.Array:
@@ -61,22 +61,18 @@ def assemble(pieces: list[pa.Array], starts: np.ndarray) -> pa.Array:
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of conversations: the turns of one conversation in one batch; a long one goes on in the next segment."""
-    last: tuple[object, int] | None = None
+    seg = TaskContext.get().partitionId() << 32  # tasks hold ranges in order
     for b in batches:
         n = b.num_rows
         if not n:
             continue
         conv, role, text = (b.column(i) for i in range(3))
         role, text = pc.fill_null(role, ""), pc.fill_null(text, "")
-        ids = conv.to_pandas().to_numpy()
-        gap = np.ones(n, bool)
-        gap[1:] = (ids[1:] != ids[:-1]) & ~(pd.isna(ids[1:]) & pd.isna(ids[:-1]))
-        starts = np.nonzero(gap)[0]
-        keys = conv.take(pa.array(starts)).to_pylist()
-        segs = [0] * len(starts)
-        if last is not None and keys[0] == last[0]:
-            segs[0] = last[1] + 1
-        last = (keys[-1], segs[-1])
+        ids = conv.dictionary_encode("encode").indices.to_numpy()  # exact, with a place for null
+        starts = np.nonzero(np.diff(ids, prepend=-1))[0]
+        keys = conv.take(pa.array(starts))
+        segs = seg + np.arange(len(starts))
+        seg += len(starts)
         names, bodies = escape(role, CONTROL), escape(text)
         const = lambda s: pa.array([s] * n, pa.string())
         pieces = [const(HEAD), names, const(COLON), bodies, const(TAIL)]
@@ -89,7 +85,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.append(np.concatenate([[0], np.cumsum(mine)])[starts], mine.sum()).astype("<i4")
         lists = lambda x: pa.ListArray.from_arrays(pa.array(edges), pa.array(x[mine].astype("<i4")))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(segs, pa.int32()), pa.array(counts, pa.int64()), assemble(pieces, starts), lists(begin), lists(chars[:, 3])],
+            [keys.cast(pa.int64()), pa.array(segs), pa.array(counts, pa.int64()), assemble(pieces, starts), lists(begin), lists(chars[:, 3])],
             ["conv_id", "seg", "n_turns", "formatted", "loss_start", "loss_length"],
         )
 
@@ -97,13 +93,14 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_chats(conversations: DataFrame) -> DataFrame:
     """Segments (conv_id, seg, n_turns, formatted, loss_start, loss_length) of every conversation, by turn.
 
-    Rows of one conversation meet in one task, sorted, and stream through it; a conversation with very many turns leaves as
-    many segments, in order, so no task holds it whole. A null role or text is an empty one. Turns with equal numbers follow
-    by role and text; null conv_ids are one conversation. loss_start and loss_length are code points in `formatted`: the
-    escaped text of each assistant turn, without its header and end mark. Other columns are ignored.
+    Rows are dealt by ranges of (conv_id, turn, role), sorted, and stream through their tasks, so a conversation with very
+    many turns is spread over tasks and leaves as segments whose numbers follow its turns. A null role or text is an empty
+    one. Turns with equal numbers follow by role and text; null conv_ids are one conversation. loss_start and loss_length are
+    code points in `formatted`: the escaped text of each assistant turn, without its header and end mark. Other columns are
+    ignored; an empty table gives an empty one.
     """
     bound_batches(conversations.sparkSession)
-    rows = conversations.select("conv_id", "role", "text", "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = conversations.select("conv_id", "role", "text", "turn").repartitionByRange("conv_id", "turn", "role").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.select("conv_id", "role", "text").mapInArrow(_format, SCHEMA)
 
 
@@ -119,14 +116,14 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def _report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, state, done = None, None, []
     blank = lambda: {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
     row = lambda k, s: (k, s["n"], s["turns"].hexdigest(), s["loss_chars"], s["loss"].hexdigest(), s["chars"])
-    frame = lambda d: pd.DataFrame(d, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+    batch = lambda d: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*d, strict=True), _REPORT.types, strict=True)], schema=_REPORT)
     for b in batches:
-        for conv, seg, text, starts, lengths in zip(b["conv_id"], b["seg"], b["formatted"], b["loss_start"], b["loss_length"], strict=True):
-            if seg == 0:
+        for conv, text, starts, lengths in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_length")), strict=True):
+            if state is None or conv != key:
                 if state is not None:
                     done.append(row(key, state))
                 key, state = conv, blank()
@@ -139,14 +136,20 @@ def _report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 state["loss"].update(part.encode())
             state["chars"] += len(text)
         if done:
-            yield frame(done)
+            yield batch(done)
             done = []
     if state is not None:
-        yield frame([row(key, state)])
+        yield batch([row(key, state)])
+
+
+_REPORT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:
-    """Write the formatted segments, read them back, and digest what they hold, one row for each conversation."""
+    """Write the formatted segments, read them back, and digest what they hold, one row for each conversation (null conv_ids
+    are one). A digest runs over a conversation's turns in order, so its segments stream through one task; texts that are
+    null or empty count as empty turns, repeated rows as turns of their own. An empty table gives an empty one."""
     written = stored(format_chats(conversations), "chats")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return written.repartition("conv_id").sortWithinPartitions("conv_id", "seg").mapInPandas(_report, schema)
+    dealt = written.repartition("conv_id").sortWithinPartitions("conv_id", "seg")
+    return dealt.select("conv_id", "formatted", "loss_start", "loss_length").mapInArrow(_report, schema)
