@@ -7,7 +7,6 @@ import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,23 +129,26 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [spans_of(t or "") for t in b["text"]]
+        found = [spans_of(t or "") for t in b.column(1).to_pylist()]
         show = lambda s: ",".join(f"{KINDS[k]}:{a}:{e}" for a, k, e in s)
-        yield pd.DataFrame({"doc_id": b["doc_id"]} | {f"n_{KINDS[k]}": [sum(x[1] == k for x in s) for s in found] for k in range(4)} | {
-            "base_sha256": [hashlib.sha256(show([x for x in s if x[1] < 3]).encode()).hexdigest() for s in found],
-            "spans": [show(s) for s in found],
-        })
+        counts = [pa.array([sum(x[1] == k for x in s) for s in found], pa.int64()) for k in range(4)]
+        base = [hashlib.sha256(show([x for x in s if x[1] < 3]).encode()).hexdigest() for s in found]
+        yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(base, pa.string()), pa.array([show(s) for s in found], pa.string())], _SPAN_NAMES)
+
+
+_SPAN_NAMES = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans) for each row of docs; a null text is empty and has
-    no spans. One pass over whole texts, no shuffle. Entropy spans add to the base ones, which stay as the patterns give
-    them; a candidate that the allow-list matches (words joined by dashes, numbers, letters alone) has none, and counting
-    sequences at its front are left out of it."""
+    no spans, a null id stays null, other columns are ignored. One pass over whole texts, no shuffle. Entropy spans add to
+    the base ones, which stay as the patterns give them; a candidate that the allow-list matches (words joined by dashes,
+    numbers, letters alone) has none, and counting sequences at its front are left out of it."""
     bound_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(_scan, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
 
 
 def redacted(text: str | None, mask: str) -> str | None:
@@ -163,9 +165,8 @@ def redacted(text: str | None, mask: str) -> str | None:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with the secrets in `text` masked, and n_chars (where there is one) counted anew. Other columns pass unchanged;
-    a null text stays null."""
+    a null text stays null and an empty one empty; repeated rows stay; an empty table gives an empty one."""
     bound_batches(docs.sparkSession)
-
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,4 +175,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             yield b.set_column(at, b.schema.field(at), text)
 
     out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    if "n_chars" not in docs.columns:
+        return out
+    counted = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))
+    return out.withColumn("n_chars", counted.cast(docs.schema["n_chars"].dataType))
