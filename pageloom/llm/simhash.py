@@ -7,12 +7,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_key, components, cut, stored
+from .common import bound_batches, by_key, components, content_key, cut, fresh, stored
 
 BITS, SEED = 64, 42
 #: Fingerprints in one tree; a shard with more is cut into parts, and each pair of parts is searched.
@@ -79,14 +80,20 @@ class BKTree:
 
 
 def _fingerprints(words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.array([fingerprint(t, words) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": out})
+            out = np.array([fingerprint(t, words) for t in b.column(3).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out)], ["doc_id", "t1", "t2", "fp"])
 
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, text): t1 and t2 name the text (null: empty)."""
+    t1, t2 = content_key(F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), "text")
+
+
 def _links(radius: int):
     """Edges that join what the trees link: enough to hold each shard's components together, and no more."""
 
@@ -134,16 +141,11 @@ def _keys(radius: int) -> F.Column:
     return F.explode(F.array(*keys)).alias("key")
 
 
-def simhash_groups(docs: DataFrame, radius: int = 4, words: int = 4, tree: int = TREE) -> DataFrame:
-    """(doc_id, fp long, component_id): documents whose fingerprints link, directly or over others.
-
-    One row for each row of docs. Null, empty and blank texts have fingerprint 0 and link like any other. Equal
-    fingerprints meet once, before the search, so a hot text costs one node; a shard with many fingerprints is cut into
-    parts of about `tree` and all pairs of parts are searched, so no link is lost. component_id is the smallest doc_id
-    in the group (null ids take part; it is null if all are). An empty table gives an empty one. Other columns are ignored.
-    """
+def _simhash_rows(docs: DataFrame, radius: int, words: int, tree: int) -> DataFrame:
+    """(doc_id, t1, t2, fp, root, component_id) for each row of docs; root names the group."""
     bound_batches(docs.sparkSession)
-    prints = cut(docs.select("doc_id", "text").mapInPandas(_fingerprints(words), "doc_id long, fp long"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = cut(_keyed(docs).mapInArrow(_fingerprints(words), f"doc_id {kind}, t1 long, t2 long, fp long"))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     keyed = nodes.select("fp", _keys(radius))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -158,19 +160,36 @@ def simhash_groups(docs: DataFrame, radius: int = 4, words: int = 4, tree: int =
     roots = components(edges)
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named.join(ids, "root"), "fp").select("doc_id", "t1", "t2", "fp", "root", "component_id")
+
+
+def simhash_groups(docs: DataFrame, radius: int = 4, words: int = 4, tree: int = TREE) -> DataFrame:
+    """(doc_id, fp long, component_id): documents whose fingerprints link, directly or over others.
+
+    One row for each row of docs. Null, empty and blank texts have fingerprint 0 and link like any other. Equal
+    fingerprints meet once, before the search, so a hot text costs one node; a shard with many fingerprints is cut into
+    parts of about `tree` and all pairs of parts are searched, so no link is lost. Trees are built where a shard's rows
+    meet, not broadcast, as their size grows with the corpus. component_id is the smallest doc_id in the group (null ids take
+    part; it is null if all are). An empty table gives an empty one. Other columns are ignored.
+    """
+    return _simhash_rows(docs, radius, words, tree).select("doc_id", "fp", "component_id")
 
 
-def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of docs, one for each group: the one with the smallest doc_id. Rows without a doc_id are kept."""
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+def _first_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs, one for each root of rows (doc_id, t1, t2, root): the one with the smallest doc_id (null ids last),
+    then the smallest hash of its text. Rows with the same doc_id and text are one."""
+    k1, k2 = fresh(docs, "k1", "k2")
+    least = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "t1", "t2")).alias("first")).select("first.*")
+    a, b = content_key("doc_id", "t1", "t2")
+    kept = least.select(a.alias(k1), b.alias(k2))
+    a, b = content_key("doc_id", *content_key(F.coalesce("text", F.lit(""))))
+    return docs.withColumns({k1: a, k2: b}).join(kept, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(docs.columns)
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """One row for each group of simhash_groups."""
-    return first_of_groups(docs, simhash_groups(docs, radius, words))
+    """One row for each group of simhash_groups, with docs' columns: the one with the smallest doc_id (null ids last). Two
+    texts under one doc_id are rows like any other two."""
+    return _first_of(docs, _simhash_rows(docs, radius, words, TREE))
 
 
 # --- groups by the likeness of shingle sets -----------------------------------------------------------------------------
@@ -196,22 +215,23 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) * _MIX[0][:BANDS]).view(np.int64)
 
 
-PRINTS = "uid long, doc_id long, set_id string, fp long, low binary, bands array<long>, text string"
+PRINTS = "uid long, set_id string, fp long, low binary, bands array<long>"
+_PRINT_NAMES = ["doc_id", "t1", "t2", "text", *(c.split()[0] for c in PRINTS.split(", "))]
 
 
 def _prints(words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
         for b in batches:
             out = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+            for text in b.column(3).to_pylist():
                 distinct = np.unique(shingles(text, words))
                 low = sketch(distinct)
                 fp = int(np.uint64(vote(distinct)).view(np.int64))
-                out.append((uid, doc, xxhash.xxh3_128_hexdigest(distinct.tobytes()), fp, (low >> np.uint64(20)).astype("<u2").tobytes(), band_keys(low), text))
+                out.append((uid, xxhash.xxh3_128_hexdigest(distinct.tobytes()), fp, (low >> np.uint64(20)).astype("<u2").tobytes(), band_keys(low)))
                 uid += 1
-            got = pd.DataFrame(out, columns=["uid", "doc_id", "set_id", "fp", "low", "bands", "text"])
-            yield got.assign(doc_id=pd.array([None if pd.isna(x) else int(x) for x in b["doc_id"]], "Int64"))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], _PRINT_NAMES)
 
     return run
 
@@ -344,20 +364,11 @@ def _dealt(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE, tree: int = TREE) -> DataFrame:
-    """(doc_id, component_id): documents whose sets of shingles have a Jaccard likeness of `similarity` or more, directly or
-    over others.
-
-    Texts with equal sets meet once, before the search. Shards are bands of min-hashes; shards with equal members are searched
-    once. Each has BK-trees of the sets' fingerprints, followed within the radius. Of what they find, a shard first hands on the
-    spanning forest of the best estimated likenesses, so a group of n texts gives n - 1 pairs; they are checked on the whole
-    texts. Where a pair of the forest leaves two components apart, pairs outside the forest may be links: such shards are
-    searched again, with the whole sets at hand, and every pair found between two components is compared. No pair is a link
-    without such a comparison. A large shard is cut into parts and all pairs of parts are searched. Null, empty and blank texts have the empty set and form one group. component_id is the
-    smallest doc_id in the group (null if all are null). One row for each row of docs; an empty table gives an empty one.
-    """
+def _similar_rows(docs: DataFrame, words: int, similarity: float, radius: int, tree: int) -> DataFrame:
+    """(doc_id, t1, t2, root, component_id) for each row of docs; root names the group."""
     bound_batches(docs.sparkSession)
-    prints = stored(docs.select("doc_id", "text").mapInPandas(_prints(words), PRINTS), "prints")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = stored(_keyed(docs).mapInArrow(_prints(words), f"doc_id {kind}, t1 long, t2 long, text string, {PRINTS}"), "prints")
     classes = cut(prints.groupBy("set_id").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first_id")))
     nodes = prints.join(classes.select("uid"), "uid", "left_semi")
     keyed = nodes.select("uid", F.explode("bands").alias("key"))
@@ -385,9 +396,26 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
         more = components(_dealt(open_.join(parts, "key"), whole).mapInPandas(_exact(radius, least, similarity), "a long, b long"))
         named = named.join(more.toDF("root", "top"), "root", "left").select("set_id", "first_id", F.coalesce("top", "root").alias("root"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.select("doc_id", "set_id").join(named.join(ids, "root").select("set_id", "component_id"), "set_id").select("doc_id", "component_id")
+    return prints.select("doc_id", "t1", "t2", "set_id").join(named.join(ids, "root"), "set_id").select("doc_id", "t1", "t2", "root", "component_id")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE, tree: int = TREE) -> DataFrame:
+    """(doc_id, component_id): documents whose sets of shingles have a Jaccard likeness of `similarity` or more, directly or
+    over others.
+
+    Texts with equal sets meet once, before the search. Shards are bands of min-hashes; shards with equal members are searched
+    once. Each has BK-trees of the sets' fingerprints, followed within the radius. Of what they find, a shard first hands on the
+    spanning forest of the best estimated likenesses, so a group of n texts gives n - 1 pairs; they are checked on the whole
+    texts. Where a pair of the forest leaves two components apart, pairs outside the forest may be links: such shards are
+    searched again, with the whole sets at hand, and every pair found between two components is compared. No pair is a link
+    without such a comparison. A large shard is cut into parts and all pairs of parts are searched. Null, empty and blank
+    texts have the empty set and form one group. component_id is the smallest doc_id in the group (null if all are null). One
+    row for each row of docs; other columns are ignored; an empty table gives an empty one.
+    """
+    return _similar_rows(docs, words, similarity, radius, tree).select("doc_id", "component_id")
 
 
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row for each group of similar_groups: the one with the smallest doc_id. Rows without a doc_id are kept."""
-    return first_of_groups(docs, similar_groups(docs, words, similarity))
+    """One row for each group of similar_groups, with docs' columns: the one with the smallest doc_id (null ids last). Two
+    texts under one doc_id are rows like any other two."""
+    return _first_of(docs, _similar_rows(docs, words, similarity, WIDE, TREE))
