@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -218,10 +219,10 @@ def test_pieces_equal_whole_texts(kind, name):
 
     path = queries.tokenizer_path(name)
     tool, own = Tokenizer.from_file(path), tokens.Encoder(path, kind)
-    pool = [" ", "  ", "\n", "\t", " ", " ", "\x1c", "\x00", "a", "B", "é", "é", "́", "İ", "Σ", "ΑΣ", "'s", "'", "12", "½", "🙂", "漢字", ".", "!!", "<|endoftext|>", "the", "Thing"]
+    pool = [" ", "  ", "\n", "\t", " ", " ", "\x1c", "\x00", "a", "B", "é", "é", "́", "İ", "Σ", "ΑΣ", "'s", "'", "12", "½", "🙂", "漢字", ".", "!!", "<|endoftext|>", "<|EndOfText|>", "the", "Thing", "ing,", "Ångström.\"", "ﬁn)", "x²;", "Ǆ", "\u00a0", "\u2028"]
     r = np.random.default_rng(6)
-    texts = ["".join(r.choice(pool, int(n))) for n in r.integers(0, 25, 3000)]
-    flat, n = own(texts)
+    texts = ["".join(r.choice(pool, int(n))) for n in r.integers(0, 25, 12000)]
+    flat, n = own(pa.array(texts))
     for t, ids in zip(texts, np.split(flat, np.cumsum(n)[:-1]), strict=True):
         assert ids.tolist() == tool.encode(t, add_special_tokens=False).ids, repr(t)
 
@@ -341,8 +342,14 @@ def test_winnowing(spark, docs, texts, empty):
     # the method: of each window of hashes the least, rightmost on ties
     text = words(200, 9)
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
-    codes = spark.createDataFrame([(w,)], "w array<string>").select(F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    h = codes.select(F.transform(F.sequence(F.lit(0), F.size("h") - 3), lambda i: F.hash(F.get("h", i), F.get("h", i + 1), F.get("h", i + 2))).alias("g")).first().g
+    turned = lambda x, n: (x << n | x >> (64 - n)) % 2**64 if n else x
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+    h = [(turned(h[i], 2) ^ turned(h[i + 1], 1) ^ h[i + 2]) >> 32 for i in range(len(h) - 2)]
+    rolled = [turned(xxhash.xxh64_intdigest(w[0].encode(), 42), 2) ^ turned(xxhash.xxh64_intdigest(w[1].encode(), 42), 1) ^ xxhash.xxh64_intdigest(w[2].encode(), 42)]
+    for i in range(len(w) - 3):  # one word leaves and one enters
+        out, new = (xxhash.xxh64_intdigest(x.encode(), 42) for x in (w[i], w[i + 3]))
+        rolled.append(turned(rolled[-1], 1) ^ turned(out, 3) ^ new)
+    assert [x >> 32 for x in rolled] == h
     keep = []
     for i in range(len(h) - 3):
         low = min(h[i : i + 4])
@@ -350,18 +357,27 @@ def test_winnowing(spark, docs, texts, empty):
         if at not in keep:
             keep.append(at)
     got = winnow.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(winnow.shown(F.col("codes"))).first()[0]
-    assert got == ",".join(f"{h[j] % 2**32:x}:{j}" for j in keep)
+    assert got == ",".join(f"{h[j]:x}:{j}" for j in keep)
     assert winnow.edited_report(empty).count() == 0
     twice = winnow.edited_report(docs.unionByName(docs))
     assert twice.count() == 2 * len(texts)
 
 
-def test_winnow_ranges(spark):
-    n = 9000
-    df = spark.range(n).select((F.col("id") * 7 % n).alias("doc_id"), F.concat(F.lit("doc "), F.col("id").cast("string")).alias("text")).repartition(5)
-    rows = {r.doc_id: r for r in winnow.with_next(df, lambda d: d).collect()}
-    texts = {r.doc_id: r.text for r in df.collect()}
-    assert len(rows) == n and all(rows[i].next_text == texts[(i - 1) % n] for i in range(n))
+@pytest.mark.parametrize("rows_each", [1000, 50])
+def test_winnow_ranges(spark, rows_each, monkeypatch):
+    """Every row sees its next one over the bounds of ranges: even ids, a gap, a hot id, null ids; few quantiles too."""
+    monkeypatch.setattr(winnow, "QUANTILES", 20)
+    ids = [*range(0, 2000), *range(10**12, 10**12 + 1500), *[777] * 900, *[None] * 700, -5, 2**60 + 1]
+    rows = [(i, f"doc {k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    signed = lambda x: (x >> 1, x)
+    h = {t: xxhash.xxh64_intdigest(t.encode(), 42) for _, t in rows}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(h[r[1]])[0]), reverse=True)
+    want = {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    dealt = winnow.with_next(df, lambda d: d, rows_each)
+    assert {r.text: r.next_text for r in dealt.collect()} == want
+    if rows_each == 50:
+        assert df.withColumn("hash", F.xxhash64("text")).select(winnow._ranges(df.withColumn("hash", F.xxhash64("text")), 50).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0] < 300
 
 
 def test_mixing(spark, docs, texts, empty):
@@ -394,6 +410,50 @@ def test_mixing(spark, docs, texts, empty):
     assert mixing.mix(empty).count() == 0
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == Counter({r.doc_id: r.copies for r in rows if r.copies})
+    # repeats and names that the operator uses itself
+    odd = docs.unionByName(docs).unionByName(docs.where("doc_id < 60")).withColumns({c: F.lit(1) for c in ("copies", "m_id", "k1", "low", "nth")})
+    plan = mixing.mix(odd)
+    per = {tuple(r)[:-1]: r.n for r in plan.groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("n")).collect()}
+    out = mixing.mixed_documents(odd)
+    got = {tuple(r)[:-1]: r.n for r in out.groupBy("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).agg(F.count("*").alias("n")).collect()}
+    assert out.columns == odd.columns and got == {k: n for k, n in per.items() if n}
+    assert plan.where("copies > 3").count() == 0
+
+
+def test_mixing_order(spark):
+    """Whole epochs first, then rows by their keys while they fit, and one more that fits best; by hand."""
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(["w"] * int(r.integers(0, 40))), "abc"[int(r.integers(0, 3)) if i % 2 else 0]) for i in range(12000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weight = {i: [0.25, 1.0, 3.0][i % 3] for i, _, _ in rows}
+    plan = mixing.mix(df, spark.createDataFrame(list(weight.items()), "doc_id long, weight double")).collect()
+    hashes = dict(df.select("doc_id", (F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(42)), 11)).alias("h")).collect())
+    size = {i: len(t.split()) for i, t, _ in rows}
+    for source in "abc":
+        mine = [x for x in plan if x.source == source]
+        target, whole = mine[0].target, sum(size[x.doc_id] for x in mine)
+        epochs = int(target // whole)
+        left, rest = target - epochs * whole, []
+        want = {x.doc_id: epochs for x in mine}
+        upto = 0
+        for i in sorted(want, key=lambda i: (-np.log((hashes[i] + 1) / (2**53 + 1)) / weight[i])):
+            upto += size[i]
+            if upto <= left and size[i]:
+                want[i] += 1
+            elif size[i]:
+                rest.append(i)
+        gap = left - sum(size[i] for i in want if want[i] > epochs)
+        extra = [x.doc_id for x in mine if x.doc_id in rest and x.copies > epochs]
+        assert {x.doc_id: x.copies for x in mine if x.doc_id not in extra} == {i: n for i, n in want.items() if i not in extra}
+        assert len(extra) <= 1 and all(abs(size[i] - gap) == min(abs(size[j] - gap) for j in rest) for i in extra)
+
+
+def test_mixing_buckets_are_even(spark):
+    df = spark.range(60000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.lit("a").alias("source"), F.when(F.col("id") % 10 == 0, 1.0).otherwise(0.1).alias("weight"))
+    per = mixing._per_source(df.withColumn("size", F.lit(2).cast("long")), (1,), 3)
+    keyed = df.withColumn("key", -F.log((F.xxhash64("doc_id") % 10**6 + 10**6 + 1) / 2000002.0) / F.col("weight"))
+    n = [r["count"] for r in keyed.drop("weight").crossJoin(per.drop("source")).withColumn("b", mixing._bucket()).groupBy("b").count().collect()]
+    assert len(n) == 15 and max(n) < 5200
 
 
 def test_mixing_prefers_weight(spark):
@@ -406,7 +466,8 @@ def test_mixing_prefers_weight(spark):
 
 def brute_kn(train_texts, order):
     """Interpolated modified Kneser-Ney with dictionaries; p(gram) for any gram of codes."""
-    code = lambda t: [1] * (order - 1) + [min(ord(c), 2047) for c in t or ""] + [2]
+    one = lambda c: c if c < 16384 else 16384 + (c * 0x9E3779B97F4A7C15 % 2**64 >> 50)
+    code = lambda t: [1] * (order - 1) + [one(ord(c)) for c in t or ""] + [2]
     counts = {order: Counter()}
     for t in train_texts:
         c = code(t)
@@ -427,7 +488,7 @@ def brute_kn(train_texts, order):
             left[g[:-1]] += ds[min(v, 3) - 1]
 
     def p(g):
-        out = 2.0**-11
+        out = 2.0**-15
         for k in range(1, order + 1):
             s = g[order - k :]
             if s[:-1] in tot and (k > 1 or () in tot):
@@ -438,22 +499,73 @@ def brute_kn(train_texts, order):
     return lambda t: (sum(-np.log(p(tuple(code(t)[i : i + order]))) for i in range(len(code(t)) - order + 1)), len(t or "") + 1)
 
 
-def test_quality_model(spark, docs, texts, empty):
-    trusted = docs.where("doc_id % 2 = 0 and doc_id < 60")
+def kept_apart(text):
+    """Whether a trusted text sets the threshold: an own XXH64 of its bytes, seeded as Spark chains columns."""
+    first = xxhash.xxh64_intdigest((text or "").encode(), 42) if text is not None else 42
+    mixed = xxhash.xxh64_intdigest(int(11).to_bytes(4, "little"), first)
+    return (mixed - 2**64 if mixed >> 63 else mixed) % 5 == 0
+
+
+def test_quality_model(spark, docs, texts, empty, monkeypatch):
+    trusted = docs.where("doc_id % 2 = 0 and doc_id < 60").select("lang", "text").withColumn("lang", F.coalesce("lang", F.lit("")))
     model = quality.train(trusted)
-    held = quality.scored(docs, quality.ready(model)).collect()
-    joined = {r.doc_id: r for r in quality.scored(docs, quality.ready(model, 0)).collect()}
     by_lang = {lang: brute_kn([t for i, t in enumerate(texts) if i % 2 == 0 and i < 20 and ("en" if i % 3 else "") == lang], 4) for lang in ("en", "")}
-    for r in held:
-        want, n = by_lang[r.lang or ""](texts[r.doc_id // 3])
-        assert (r._nll, r._n) == (pytest.approx(want), n)
-        assert (joined[r.doc_id]._nll, joined[r.doc_id]._n) == (pytest.approx(want), n)
-    labels = trusted.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
-    out = quality.judged(docs, labels)
-    assert out.count() == len(texts) and quality.keep_good(docs.withColumn("keep", F.lit(7)), labels).columns == [*docs.columns, "keep"]
+    monkeypatch.setattr(quality, "BLOCK", 2000)  # many blocks; workers fork from here on
+    for size in (1 << 24, 2000):
+        quality.BLOCK = size
+        for r in quality.scored(docs, model).collect():
+            want, n = by_lang[r.lang or ""](texts[r.doc_id // 3])
+            assert (r.nll, r.n) == (pytest.approx(want), n)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    odd = docs.withColumns({c: F.lit(7) for c in ("keep", "nll", "n", "mean", "name", "threshold", "t_lang", "perplexity", "block", "rows", "gram")})
+    assert quality.keep_good(odd, labels).columns == odd.columns
     assert quality.judged(empty, labels).count() == 0
     nobody = quality.judged(docs, labels.limit(0))
-    assert nobody.where("keep").count() == len(texts)
+    assert nobody.where("keep").count() == len(texts) and nobody.where("threshold is not null").count() == 0
+
+
+def test_quality_threshold(spark, docs, texts):
+    """Perplexity, threshold and keep by hand: small languages are judged by their own trusted texts."""
+    ids = [3 * i for i in range(len(texts)) if i % 2 == 0]
+    labels = spark.createDataFrame([(i, 1, None) for i in ids] + [(9, 1, 1), (15, 0, 0)], "doc_id long, quality int, toxic int")
+    of = lambda lang: [t for i, t in enumerate(texts) if i % 2 == 0 and ("en" if i % 3 else "") == lang]
+    got = quality.judged(docs, labels, 0.8).collect()
+    for lang in ("en", ""):
+        nll = brute_kn(of(lang), 4)
+        known = [nll(t) for t in of(lang)]
+        mean = sum(a for a, _ in known) / sum(n for _, n in known)
+        tempered = lambda t, nll=nll, mean=mean: np.exp((nll(t)[0] + 50 * mean) / (nll(t)[1] + 50))
+        values = sorted(tempered(t) for t in of(lang))
+        limit = values[int(np.ceil(0.8 * len(values))) - 1]
+        for r in got:
+            if (r.lang or "") == lang:
+                assert (r.perplexity, r.threshold) == (pytest.approx(tempered(texts[r.doc_id // 3])), pytest.approx(limit))
+                assert r.keep == (r.perplexity <= r.threshold)
+
+
+def test_quality_holds_texts_apart(spark):
+    """In a larger language the threshold is that of texts which the model was not trained on; repeats don't break it."""
+    texts = [words(30, 1000 + i) for i in range(120)] + [words(30, 5)] * 40
+    df = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = quality.judged(df, df.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")), 0.9).collect()
+    nll = brute_kn([t for t in texts if not kept_apart(t)], 4)
+    known = [nll(t) for t in texts if kept_apart(t)]
+    mean = sum(a for a, _ in known) / sum(n for _, n in known)
+    values = sorted(np.exp((a + 50 * mean) / (n + 50)) for a, n in known)
+    assert 10 < len(values) < 80 and all(r.threshold == pytest.approx(values[int(np.ceil(0.9 * len(values))) - 1]) for r in got)
+    same = spark.createDataFrame([(i, f"text {i % 4}", "yy") for i in range(40)], "doc_id long, text string, lang string")
+    assert quality.judged(same, same.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))).where("keep").count() >= 39
+
+
+def test_quality_other_scripts(spark):
+    """Scrambled Devanagari and Chinese texts cost more than clean ones."""
+    r = np.random.default_rng(3)
+    for pool in ("यह एक छोटा सा वाक्य है जो बार बार आता है ", "这是一个很小的句子它一再出现在这里 "):
+        clean = ["".join(pool[(i + j) % len(pool)] for j in range(120)) for i in range(100)]
+        junk = ["".join(r.permutation(list(t))) for t in clean]
+        df = spark.createDataFrame([(i, t, "zz") for i, t in enumerate(clean + junk)], "doc_id long, text string, lang string")
+        got = quality.judged(df, df.where("doc_id < 100").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+        assert got.where("doc_id >= 100 and keep").count() == 0 and got.where("doc_id < 100 and keep").count() >= 95
 
 
 def test_quality_tells_junk(spark):
@@ -473,6 +585,85 @@ def test_toxicity(spark, docs, empty):
     assert few.count() == docs.count() and few.where("score between 0 and 1").count() == docs.count()
 
 
+def test_toxicity_is_the_same_however_rows_are_dealt(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.unionByName(labels.where("doc_id % 7 = 0").withColumn("toxic", F.lit(1).cast(labels.schema["toxic"].dataType)))
+    docs = docs.unionByName(docs.where("doc_id % 5 = 0")).unionByName(docs.where("doc_id = 1").withColumn("text", F.lit("other")))
+    got = []
+    for n in (1, 7):
+        names, models = toxicity.train(docs.repartition(n), labels.repartition(n + 1), positives=20, unlabelled=300)
+        got.append((names.tolist(), [(w.tolist(), b) for w, b in models]))
+    assert got[0] == got[1] and got[0][0]
+    # frequencies count all texts, once each
+    texts = [r.text for r in docs.select("text").collect()]
+    count = Counter(f for t in texts for f in toxicity.features([t])[1].tolist())
+    f, n = toxicity._frequencies(docs.repartition(3), toxicity._counted)
+    assert dict(zip(f.tolist(), n.tolist(), strict=True)) == count
+    some = np.array(sorted(count)[::50])
+    f, n = toxicity._frequencies(docs.repartition(3), toxicity._counted_in(some))
+    assert dict(zip(f.tolist(), n.tolist(), strict=True)) == {i: count[i] for i in some.tolist()}
+
+
+def test_nnpu_risk_and_gradient():
+    """Against the formula by loops, and differences; the direction is turned where the bracket is negative."""
+    r = np.random.default_rng(2)
+    rows_p, rows_u = ([np.nonzero(r.random(6) < 0.4)[0] for _ in range(n)] for n in (7, 11))
+    rows_p, rows_u = [np.union1d(x, [0]) for x in rows_p], [np.setdiff1d(x, [0]) for x in rows_u]
+    signs = set()
+    for prior, first, bias in ((0.3, 1.0, 0.5), (0.9, 6.0, -3.0), (0.9, -1.0, 0.0), (0.05, 2.0, -1.0)):
+        w, b = np.append(first, r.normal(0, 0.5, 5)), bias
+        f = lambda w, b, rows: [sum(w[i] for i in x) + b for x in rows]
+        loss = lambda z, y: np.log(1 + np.exp(-y * z))
+        mean = lambda rows, y, w, b: np.mean([loss(z, y) for z in f(w, b, rows)])
+        bracket = lambda w, b: mean(rows_u, -1, w, b) - prior * mean(rows_p, -1, w, b)  # noqa: B023, E731
+        risk = lambda w, b: prior * mean(rows_p, 1, w, b) + max(0, bracket(w, b))  # noqa: B023, E731
+        got = toxicity.risk_and_gradient(w, b, toxicity._pairs(rows_p), toxicity._pairs(rows_u), prior)
+        assert got[0] == pytest.approx(risk(w, b)) and got[1] == pytest.approx(bracket(w, b))
+        aim = risk if got[1] >= 0 else lambda w, b: -bracket(w, b)  # noqa: B023
+        signs.add(got[1] >= 0)
+        for k in range(7):
+            d = np.zeros(7)
+            d[k] = 1e-6
+            assert got[2][k] == pytest.approx((aim(w + d[:6], b + d[6]) - aim(w - d[:6], b - d[6])) / 2e-6, abs=1e-6)
+    assert signs == {True, False}
+
+
+BIG = 2**60 + 1
+
+
+def test_large_ids_beside_nulls(spark):
+    """No operator rounds an id, and a null id stays null."""
+    df = spark.createDataFrame([(BIG, "one two three", "en", "a"), (None, "four five six", "en", "a"), (BIG + 1, "one two three", None, None), (None, None, None, None)], "doc_id long, text string, lang string, source string").coalesce(1)
+    labels = spark.createDataFrame([(BIG, 1, 0)], "doc_id long, quality int, toxic int")
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    out = common.table_path(spark, "big")
+    tokens.write_ids(df, queries.tokenizer_path("byte_bpe_50k.json"), out)
+    found = {
+        "op1": quality.judged(df, labels), "op2": toxicity.toxicity(spark, df, labels), "op4": tokens.read_ids(spark, out), "op5": mixing.mixed_documents(df),
+        "op7": secrets.secret_spans(df), "op8": tokens.pack(df, path), "op9": winnow.edited_report(df), "op10": simhash.simhash_groups(df), "sets": simhash.similar_groups(df),
+    }
+    for name, rows in found.items():
+        assert {r.doc_id for r in rows.select("doc_id").collect()} == {BIG, BIG + 1, None}, name
+    assert dict(winnow.edited_report(df).dtypes)["n_chars"] == "bigint"
+    chats = spark.createDataFrame([(BIG, 0, "user", "x"), (None, 0, "user", "x"), (BIG + 1, 0, "user", "y")], "conv_id long, turn int, role string, text string")
+    assert {r.conv_id for r in chat.chat_report(chats.coalesce(1)).collect()} == {BIG, BIG + 1, None}
+
+
+def test_labels_are_compared_whole(spark):
+    v = [1.0, 2.0]
+    df = spark.createDataFrame([(1, v, BIG - 1), (2, v, BIG), (3, [1.0, 2.0001], BIG - 1)], "vec_id long, embedding array<double>, label long").coalesce(1)
+    assert {r.vec_id: r.component_id for r in embed_dedup.embedding_groups(df).collect()} == {1: 1, 2: 2, 3: 1}
+    far = spark.createDataFrame([(1, [1e39, 1.0], 0), (2, [2e39, 2.0], 0), (3, [1e200, 1e200], 0), (4, [3e-200, 3e-200], 0), (5, [1.0, -1.0], 0)], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: (r.component_id, r.n_links) for r in embed_dedup.embedding_groups(far).collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1), 5: (5, 0)}
+
+
+def test_two_texts_under_one_id(spark):
+    a, b = words(60, 1), words(60, 2)
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (None, a), (None, words(60, 3))], "doc_id long, text string")
+    for kept in (simhash.drop_near_duplicates(df), simhash.drop_similar(df)):
+        assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, a), (2, b), (0, words(60, 3))])
+
+
 def test_word_features():
     texts = ["The trash, trash!", None, "", "réeuxment x", "THE"]
     row, f = toxicity.features(texts)
