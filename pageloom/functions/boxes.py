@@ -28,3 +28,15 @@ def percent(box: tuple[Column, ...], width: Column, height: Column) -> tuple[Col
     """(x, y, width, height) in percent of the page, for annotation tools."""
     x0, y0, x1, y1 = box
     return x0 / width * 100, y0 / height * 100, (x1 - x0) / width * 100, (y1 - y0) / height * 100
+
+
+def padded(box: tuple[Column, ...], by: int) -> tuple[Column, ...]:
+    x0, y0, x1, y1 = box
+    return x0 - by, y0 - by, x1 + by, y1 + by
+
+
+def from_percent(rect: tuple[Column, ...], width: Column, height: Column) -> tuple[Column, ...]:
+    """(x, y, width, height) in percent of the page to a box in pixels."""
+    x, y, w, h = rect
+    x0, y0 = x / 100 * width, y / 100 * height
+    return x0, y0, x0 + w / 100 * width, y0 + h / 100 * height

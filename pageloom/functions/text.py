@@ -42,6 +42,21 @@ TAGS = {
     "medicinal": ["invalid", "gruel", "essence", "barley water", "albumeni"],
 }
 MEAT = ["beef", "veal", "mutton", "lamb", "pork", "ham", "bacon", "chicken", "turkey", "duck", "goose", "fowl", "fish", "salmon", "lobster", "oyster", "clam", "crab", "shrimp", "meat"]
+# Misread words of titles, and of ingredients and steps, with what they stand for.
+TITLE_WORDS = {
+    "blection": "election", "Blection": "Election", "Chlcken": "Chicken", "chlcken": "chicken", "Mlk": "Milk", "mlk": "milk", "C0ffee": "Coffee", "c0ffee": "coffee",
+    "chese": "cheese", "Chese": "Cheese", "tost": "toast", "Tost": "Toast", "bred": "bread", "Bred": "Bread", "sause": "sauce", "Sause": "Sauce", "peper": "pepper", "Peper": "Pepper",
+}
+INGREDIENT_WORDS = {
+    "Loup": "cup", "loup": "cup", "Ibs": "lbs", "Ibs.": "lbs.", "Legg": "egg", "legg": "egg", "flonr": "flour", "sngar": "sugar", "augar": "sugar", "milh": "milk",
+    "bntter": "butter", "bnter": "butter", "hutter": "butter", "butier": "butter", "chese": "cheese", "chesse": "cheese", "bred": "bread", "hread": "bread", "sait": "salt",
+    "aalt": "salt", "peper": "pepper", "pcpper": "pepper", "egga": "eggs", "egs": "eggs", "oggs": "eggs", "wafer": "water", "wator": "water", "bakiug": "baking", "bonl": "boil",
+    "boll": "boil", "etir": "stir", "atlr": "stir", "edd": "add", "ndd": "add", "hest": "heat", "hcat": "heat", "conk": "cook", "cooh": "cook", "ponr": "pour",
+    "ponnd": "pound", "qnart": "quart", "onart": "quart", "Flonr": "Flour", "Sngar": "Sugar", "Augar": "Sugar", "Milh": "Milk", "Bntter": "Butter", "Bnter": "Butter",
+    "Hutter": "Butter", "Butier": "Butter", "Chese": "Cheese", "Chesse": "Cheese", "Bred": "Bread", "Hread": "Bread", "Sait": "Salt", "Aalt": "Salt", "Peper": "Pepper",
+    "Pcpper": "Pepper", "Wafer": "Water", "Wator": "Water",
+}
+# The tag of every recipe, the category of none, and patterns of servings and minutes.
 FIRST_TAG, NO_CATEGORY = "1896", "Historical"
 SERVES, MINUTES = r"serves?\s*(\d+(?:-\d+)?)", r"(\d{1,3})\s*(?:minutes|min|hrs|hours)"
 
@@ -93,3 +108,75 @@ def minutes(text: Column, default: int = 45) -> Column:
     n = lambda p: F.coalesce(_found(text, p).try_cast("bigint"), F.lit(0))
     total = n(r"(\d{1,6})\s*hr") * 60 + n(r"(\d{1,6})\s*min")
     return F.when(total == 0, default).otherwise(total)
+
+
+def corrected(text: Column, words: dict[str, str]) -> Column:
+    """Each word of a text looked up without the punctuation that it ends in, which stays; words are joined by single spaces.
+    An empty text stays as it is."""
+    table = F.create_map(*(F.lit(x) for kv in words.items() for x in kv))
+
+    def one(word: Column) -> Column:
+        bare = F.regexp_replace(word, "[.,;:!?]+$", "")
+        return F.coalesce(F.concat(F.try_element_at(table, bare), F.substr(word, F.char_length(bare) + 1)), word)
+
+    parts = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.when(text == "", text).otherwise(F.array_join(F.transform(parts, one), " "))
+
+
+def correct_title(text: Column) -> Column:
+    return corrected(text, TITLE_WORDS)
+
+
+def correct_ingredient(text: Column) -> Column:
+    return corrected(text, INGREDIENT_WORDS)
+
+
+#: Straight and curly quotes that are stripped from both ends of a title.
+QUOTES = "'\"\u2018\u2019\u201c\u201d\u201a\u201e"
+
+
+def strip_quotes(text: Column) -> Column:
+    return F.btrim(F.trim(text), F.lit(QUOTES))
+
+
+def matching(text: Column) -> Column:
+    """For matching texts to words: lower case, punctuation to spaces, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+
+
+def comparable(text: Column) -> Column:
+    """For differences of lines: lower case, a-z, 0-9 and single spaces alone."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", ""), r"\s+", " "))
+
+
+def title_key(text: Column) -> Column:
+    """For finding a title: lower case, without . , ; : ! ?, single spaces."""
+    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(text)), "[.,;:!?]", ""), r"\s+", " ")
+
+
+def word_set(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(text, " "), lambda w: w != ""))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Shared words of two word sets by the larger one; 0 if one is empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / F.greatest(F.size(a), F.size(b)))
+
+
+def mean_overlap(a: Column, b: Column) -> Column:
+    """Shared words of two word sets by their mean size; 1 if both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / ((F.size(a) + F.size(b)) / 2))
+
+
+def slug(text: Column) -> Column:
+    """Lower case; letters, digits and dashes alone, a dash for each run of white space, underscores and dashes, none at the ends."""
+    plain = F.regexp_replace(F.trim(F.lower(text)), r"[^\p{L}\p{N}_\s-]", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[\s_]+", "-"), "-+", "-"), "^-|-$", "")
+
+
+def recipe_id(title: Column, page: Column) -> Column:
+    """slug-pNNNN; recipe-N-pNNNN for a page without title, recipe-pNNNN where a title leaves no slug."""
+    name = F.when(F.coalesce(title, F.lit("")) == "", F.concat(F.lit("recipe-"), page.cast("string"))).otherwise(slug(title))
+    return F.concat(F.when(name == "", "recipe").otherwise(name), F.lit("-p"), F.lpad(page.cast("string"), 4, "0"))

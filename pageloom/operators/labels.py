@@ -18,7 +18,7 @@ def map_label_taxonomy(words: DataFrame) -> DataFrame:
 def page_label_stats(words: DataFrame) -> DataFrame:
     n = lambda label: F.count_if(F.col("label") == label)
     out = words.groupBy("page_num").agg(F.count("*").alias("token_count"), F.count_if(F.col("label") != "O").alias("non_o"), n("INGREDIENT_LINE").alias("ingredient"), n("INSTRUCTION_STEP").alias("instruction"), n("TITLE").alias("title"))
-    return out.withColumn("non_o_ratio", F.round(F.col("non_o") / F.col("token_count"), 6))
+    return out.withColumn("non_o_ratio", F.col("non_o") / F.col("token_count"))
 
 
 def label_distribution(words: DataFrame, split: str) -> DataFrame:
@@ -57,7 +57,7 @@ def token_metrics(words: DataFrame) -> DataFrame:
 
 
 def page_accuracy(words: DataFrame) -> DataFrame:
-    return words.groupBy("page_num").agg(F.round(F.avg((F.col("label") == F.col("label_pred")).cast("int")), 6).alias("accuracy"))
+    return words.groupBy("page_num").agg(F.avg((F.col("label") == F.col("label_pred")).cast("int")).alias("accuracy"))
 
 
 def filter_recipe_coverage(stats: DataFrame, ratio: float = 0.4, ingredient: int = 60, instruction: int = 100, title: int = 3) -> DataFrame:
@@ -90,9 +90,9 @@ def split_random(pages: DataFrame, seed: int = 42, test: float = 0.1, validation
     return ranked.select("page_num", F.when(F.col("rank") <= n_test, "test").when(F.col("rank") <= n_test + n_val, "validation").otherwise("train").alias("split"))
 
 
-def header_vocabulary(words: DataFrame, heights: DataFrame, least: int = 5, top: float = 0.15) -> DataFrame:
-    """Upper-cased words seen `least` times or more in the top part of pages, over the whole corpus."""
-    rows = words.join(heights.select("page_num", "height"), "page_num").where(F.col("y0") < F.col("height") * top)
+def header_vocabulary(words: DataFrame, least: int = 5, top: float = 0.15) -> DataFrame:
+    """Upper-cased words that are seen `least` times or more with their centre in the top part of pages, over the whole corpus."""
+    rows = words.where((F.col("y0") + F.col("y1")) / 2 < F.col("height") * top)
     return rows.groupBy(F.upper("word").alias("header_word")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
@@ -105,5 +105,5 @@ def words_to_word_level(tokens: DataFrame) -> DataFrame:
 def collapse_check(words: DataFrame, limit: float = 0.9) -> DataFrame:
     """By page: the share of the most frequent predicted label, and whether it exceeds the limit."""
     n = words.groupBy("page_num", "label_pred").agg(F.count("*").alias("n"))
-    share = n.groupBy("page_num").agg(F.round(F.max("n") / F.sum("n"), 6).alias("share"))
+    share = n.groupBy("page_num").agg((F.max("n") / F.sum("n")).alias("share"))
     return share.withColumn("collapsed", F.col("share") > limit)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,47 +53,46 @@ ANCHORED = {
 }
 
 
-def follow(at: list[float], tolerance: float, smooth: bool) -> list[int]:
-    """Line numbers of positions in order: a line begins where one is off the line's mark by more than the tolerance.
-
-    The mark is the line's first position; with smooth, the mean of itself and each position in turn, across lines.
+def _line_starts(at: Column, tolerance: Column, smooth: bool) -> Column:
+    """Places (from 1) of an array of positions where a line begins: where one is off the line's mark by more than the
+    tolerance. The mark is the line's first position; with smooth, the mean of itself and each position in turn, across lines.
     """
-    out, mark, line = [], None, 0
-    for y in at:
-        if mark is None:
-            mark = y
-        elif abs(y - mark) > tolerance:
-            line += 1
-            mark = mark if smooth else y
-        if smooth:
-            mark = (mark + y) / 2
-        out.append(line)
-    return out
+    first = F.struct(F.lit(0).alias("i"), F.lit(None).cast("double").alias("mark"), F.array().cast("array<int>").alias("starts"))
+
+    def step(state: Column, y: Column) -> Column:
+        new = state["mark"].isNull() | (F.abs(y - state["mark"]) > tolerance)
+        before = F.coalesce(state["mark"], y)
+        mark = (before + y) / 2 if smooth else F.when(new, y).otherwise(before)
+        starts = F.when(new, F.concat(state["starts"], F.array(state["i"] + 1))).otherwise(state["starts"])
+        return F.struct((state["i"] + 1).alias("i"), mark.alias("mark"), starts.alias("starts"))
+
+    return F.aggregate(at, first, step, lambda state: state["starts"])
 
 
 def group_lines(words: DataFrame, mode: str = "gap", key: tuple[str, ...] = ("page_num",), relative: float = 0.015) -> DataFrame:
     """(key, word_idx, line_id): lines of a page, numbered from 0.
 
-    "gap" is lines_gap. The other modes hold each word against a mark that depends on all words before it, so a page's words
-    meet in one task; a page is the unit, and its word count is bounded by paper. "anchor_relative" needs the column height;
-    its tolerance is `relative` of it. "smoothed" takes 0.8 of the upper median height, 4 at least.
+    "gap" is lines_gap. The other modes hold each word against a mark that depends on all words before it: a fold over the
+    page's words in order, whose state is the mark and where lines began. A page is the unit, and its word count is bounded by
+    paper. "anchor_relative" needs the column height; its tolerance is `relative` of it. "smoothed" takes 0.8 of the upper
+    median height, 4 at least. Pages without words give no rows.
     """
     if mode == "gap":
         return lines_gap(words, key=key).select(*key, "word_idx", "line_id")
     order, position, fixed = ANCHORED[mode]
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(mid_y=(page["y0"] + page["y1"]) / 2).sort_values(order)
-        tolerance = fixed
-        if mode == "anchor_relative":
-            tolerance = relative * float(page["height"].iat[0])
-        elif mode == "smoothed":
-            heights = sorted((page["y1"] - page["y0"]).astype(int))
-            tolerance = max(4, int(heights[len(heights) // 2] * 0.8))
-        page["line_id"] = follow(page[position].tolist(), tolerance, mode == "smoothed")
-        return page[[*key, "word_idx", "line_id"]]
-
-    columns = [*key, "word_idx", "x0", "y0", "y1", *(["height"] if mode == "anchor_relative" else [])]
-    types = dict(words.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in (*key, "word_idx")) + ", line_id long"
-    return words.select(*columns).groupBy(*key).applyInPandas(run, schema)
+    mid = words.withColumn("mid_y", (F.col("y0") + F.col("y1")) / 2)
+    sort = F.struct(*[F.col(c).cast("double").alias(c) if c != "word_idx" else F.col(c) for c in order])
+    rows = F.sort_array(F.collect_list(F.struct(sort.alias("o"), F.col(position).cast("double").alias("at"), F.col("word_idx").alias("w"))))
+    heights = F.sort_array(F.collect_list((F.col("y1") - F.col("y0")).cast("int")))
+    more = [F.max("height").alias("height")] if mode == "anchor_relative" else []
+    pages = mid.groupBy(*key).agg(rows.alias("r"), heights.alias("h"), *more)
+    if mode == "anchor_relative":
+        tolerance = F.col("height") * relative
+    elif mode == "smoothed":
+        tolerance = F.greatest(F.lit(4.0), F.floor(F.element_at("h", (F.floor(F.size("h") / 2) + 1).cast("int")) * 0.8).cast("double"))
+    else:
+        tolerance = F.lit(fixed)
+    folded = pages.select(*key, "r", _line_starts(F.transform("r", lambda x: x["at"]), tolerance, mode == "smoothed").alias("s"))
+    end = lambda k: F.coalesce(F.get("s", k + 1), F.size("r") + 1)
+    cut = F.transform("s", lambda start, k: F.transform(F.slice("r", start, end(k) - start), lambda x: F.struct(x["w"].alias("word_idx"), k.cast("long").alias("line_id"))))
+    return folded.select(*key, F.inline(F.flatten(cut)))

@@ -20,7 +20,7 @@ def derive_page_fields(pages: DataFrame) -> DataFrame:
     filled = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
     return pages.withColumns({
         "token_count": n, "unique_token_count": F.size(F.array_distinct("words")),
-        "avg_confidence": F.round(F.aggregate("confidences", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("confidences"), F.lit(0)), 6),
+        "avg_confidence": F.aggregate("confidences", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("confidences"), F.lit(0)),
         "line_count": F.when(F.col("text") != "", filled).when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 8))).cast("int"),
     })
 

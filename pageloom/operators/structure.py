@@ -16,8 +16,8 @@ def structural_metrics(lines: DataFrame, label: str = "label") -> DataFrame:
     """One row for each page of words with line_id: token confidence (0..1), share of unlabelled tokens, lines by label."""
     plain = F.col(label).isin("O", "NOTE")
     tokens = lines.groupBy("page_num").agg(
-        F.round(F.avg("conf") / 100, 6).alias("avg_token_conf"), F.count("*").alias("total_tokens"),
-        F.round(F.avg(plain.cast("int")), 6).alias("o_ratio"), F.round(F.avg((~plain).cast("int")), 6).alias("labeled_token_ratio"),
+        (F.avg("conf") / 100).alias("avg_token_conf"), F.count("*").alias("total_tokens"),
+        F.avg(plain.cast("int")).alias("o_ratio"), F.avg((~plain).cast("int")).alias("labeled_token_ratio"),
     )
     best = line_majority_label(lines)
     count = lambda name: F.count_if(F.col("label") == name)

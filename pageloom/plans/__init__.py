@@ -1,6 +1,6 @@
 """Operators as queries; importing a module of this package registers its queries."""
 
-from . import evaluation, extraction, incremental, labelling, selection
+from . import evaluation, extraction, incremental, labelling, sections, selection, titles
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "extraction", "incremental", "labelling", "selection"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "extraction", "incremental", "labelling", "sections", "selection", "titles"]

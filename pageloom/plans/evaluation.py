@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pageloom.operators import evaluation, lines
 
-from .queries import LINES, TOK, _with_height, _words, query
+from .queries import LINES, TOK, _words, query
 
 KEY = "INGREDIENT_LINE"
 _prf = lambda x: f"""round(coalesce(tp_{x} / nullif(p_{x}, 0), 0), 6) AS {x}_precision, round(coalesce(tp_{x} / nullif(t_{x}, 0), 0), 6) AS {x}_recall, round(coalesce(2 * tp_{x} / nullif(p_{x} + t_{x}, 0), 0), 6) AS {x}_f1"""
@@ -79,7 +79,7 @@ def title_patterns(spark, sf):
 @query(TOK + """SELECT page_num, min(y0) AS title_y, round(min(y0) / any_value(height), 6) AS title_y_share, round(avg(y1 - y0), 6) AS title_height, min(x0) AS title_x0, max(x1) AS title_x1, round(avg(y1 - y0) / any_value(oh), 6) AS height_ratio
  FROM tok JOIN page USING (page_num) LEFT JOIN (SELECT page_num, avg(y1 - y0) AS oh FROM tok WHERE label <> 'TITLE' GROUP BY page_num) USING (page_num) WHERE label = 'TITLE' GROUP BY page_num""")
 def title_geometry(spark, sf):
-    return evaluation.title_geometry(_with_height(spark, sf))
+    return evaluation.title_geometry(_words(spark, sf))
 
 
 @query(TOK + "SELECT page_num, word_idx, row_number() OVER w AS read_order, lead(y0) OVER w - y0 AS y_gap FROM tok WINDOW w AS (PARTITION BY page_num ORDER BY y0, x0, word_idx)")

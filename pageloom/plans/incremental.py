@@ -13,10 +13,10 @@ from .queries import FEATURES, FIELDS, SCORE, TOK, _pages, _words, query
 
 
 def _scores(docs):
-    return scoring.detect_pages(source.page_table(source.word_table(docs))).select("page_num", "score", "likely")
+    return scoring.detect_pages(source.page_table(docs)).select("page_num", "score", "likely")
 
 
-@query(FEATURES + f"SELECT page_num, {SCORE} AS score, {SCORE} >= 0.5 AS likely FROM feat2")
+@query(FEATURES + f"SELECT page_num, {SCORE} AS score, {SCORE} >= 0.5 AS likely FROM feat3")
 def stream_ingest_pages(spark, sf):
     """Documents arrive as files, are scored by batch and appended; the result is the written table."""
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
@@ -26,7 +26,7 @@ def stream_ingest_pages(spark, sf):
     return spark.read.parquet(f"{place}/out").drop("batch")
 
 
-@query(FEATURES + f"SELECT page_num, {SCORE} AS score, page_num IN (SELECT doc_id FROM labels) AS reused FROM feat2")
+@query(FEATURES + f"SELECT page_num, {SCORE} AS score, page_num IN (SELECT doc_id FROM labels) AS reused FROM feat3")
 def incremental_rescore(spark, sf):
     """Stored are the pages that have labels; those marked toxic at an old version, and once more at the current one."""
     docs, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").distinct()
@@ -37,12 +37,12 @@ def incremental_rescore(spark, sf):
     return done.select("page_num", "score", "reused")
 
 
-@query(FEATURES + "SELECT page_num, concat_ws(', ', CASE WHEN units THEN 'ingredient units' END, CASE WHEN verbs THEN 'cooking verbs' END, CASE WHEN time_hit THEN 'time pattern' END, CASE WHEN temp_hit THEN 'temperature pattern' END, CASE WHEN numeric_density > 0.05 THEN 'numeric density' END, CASE WHEN short_line_density > 0.05 THEN 'short lines' END, CASE WHEN title_like THEN 'title-like top line' END, CASE WHEN toc THEN 'toc/index penalty' END, CASE WHEN few_tokens THEN 'few tokens penalty' END, CASE WHEN low_conf THEN 'low confidence penalty' END) AS reasons FROM feat2")
+@query(FEATURES + "SELECT page_num, concat_ws(', ', CASE WHEN units THEN 'ingredient units' END, CASE WHEN verbs THEN 'cooking verbs' END, CASE WHEN time_hit THEN 'time pattern' END, CASE WHEN temp_hit THEN 'temperature pattern' END, CASE WHEN numeric_density > 0.05 THEN 'numeric density' END, CASE WHEN short_line_density > 0.05 THEN 'short lines' END, CASE WHEN title_like THEN 'title-like top line' END, CASE WHEN toc THEN 'toc/index penalty' END, CASE WHEN few_tokens THEN 'few tokens penalty' END, CASE WHEN low_conf THEN 'low confidence penalty' END) AS reasons FROM feat3")
 def page_explain(spark, sf):
     return scoring.page_explain(scoring.page_features(scoring.derive_page_fields(_pages(spark, sf)))).select("page_num", F.array_join("reasons", ", ").alias("reasons"))
 
 
-@query(FEATURES + f"SELECT '- page ' || page_num || ': ' || CAST(CAST(round({SCORE} * 1000) AS INT) AS VARCHAR) AS bullet FROM feat2 ORDER BY {SCORE} DESC, page_num LIMIT 20")
+@query(FEATURES + f"SELECT '- page ' || page_num || ': ' || CAST(CAST(round({SCORE} * 1000) AS INT) AS VARCHAR) AS bullet FROM feat3 ORDER BY {SCORE} DESC, page_num LIMIT 20")
 def report_top_markdown(spark, sf):
     """The twenty best pages as bullet lines, scores in thousandths."""
     s = scoring.detect_pages(_pages(spark, sf)).select("page_num", "score").orderBy(F.desc("score"), "page_num").limit(20)

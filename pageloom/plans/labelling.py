@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.operators import lines, rules, scoring
 
-from .queries import _IN, LINES, _with_height, query
+from .queries import _IN, LINES, _words, query
 
 FACTS = LINES + rf""",
 lt AS (SELECT page_num, line_id, string_agg(word, ' ' ORDER BY x0, word_idx) AS line_text, min(y0) AS by0 FROM ln GROUP BY page_num, line_id),
@@ -37,7 +37,7 @@ blk AS (SELECT page_num, any_value(block_start) AS block_start, coalesce(min(lin
 
 def _lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Words with line_id and page height, and the lines with theirs."""
-    words = lines.lines_gap(_with_height(spark, sf))
+    words = lines.lines_gap(_words(spark, sf))
     height = words.groupBy("page_num").agg(F.first("height").alias("height"))
     return words, lines.line_features(words).join(height, "page_num")
 

@@ -17,8 +17,9 @@ t2 AS (SELECT *, 60 + 100 * (word_idx % 9) AS x0, 60 + 100 * (word_idx % 9) + 8
   (page_num * 37 + word_idx * 13) % 101 AS conf,
   CASE WHEN word_idx % 29 <= 2 AND line0 = 0 THEN 'TITLE' WHEN word_idx % 29 BETWEEN 3 AND 5 THEN 'INGREDIENT_LINE' WHEN word_idx % 29 BETWEEN 11 AND 16 THEN 'INSTRUCTION_STEP' WHEN word_idx % 29 BETWEEN 17 AND 18 THEN 'TIME' ELSE 'O' END AS label FROM t1),
 tok AS (SELECT *, CASE WHEN label = 'O' AND (page_num + word_idx) % 7 = 0 THEN 'INGREDIENT_LINE' WHEN label = 'INGREDIENT_LINE' AND (page_num + word_idx) % 11 = 0 THEN 'O' ELSE label END AS label_pred FROM t2),
-page AS (SELECT page_num, any_value(book) AS book, 100 + 30 * (max(line0) + 1) AS height, list(word ORDER BY word_idx) AS words, list(conf ORDER BY word_idx) AS confs,
-  string_agg(CASE WHEN word_idx = 0 THEN '' WHEN word_idx % 9 = 0 THEN chr(10) ELSE ' ' END || word, '' ORDER BY word_idx) AS text FROM tok GROUP BY page_num)
+page AS (SELECT d.doc_id AS page_num, any_value(d.source) AS book, 100 + 30 * coalesce(max(line0) + 1, 0) AS height, coalesce(list(word ORDER BY word_idx) FILTER (word IS NOT NULL), []) AS words,
+  coalesce(list(conf ORDER BY word_idx) FILTER (word IS NOT NULL), []) AS confs,
+  coalesce(string_agg(CASE WHEN word_idx = 0 THEN '' WHEN word_idx % 9 = 0 THEN chr(10) ELSE ' ' END || word, '' ORDER BY word_idx), '') AS text FROM documents d LEFT JOIN tok ON tok.page_num = d.doc_id GROUP BY d.doc_id)
 """
 LINES = TOK + """,
 mid AS (SELECT *, (y0 + y1) / 2 AS mid_y, (x0 + x1) / 2 AS mid_x FROM tok),
@@ -27,18 +28,19 @@ ln AS (SELECT *, CAST(sum(s) OVER (PARTITION BY page_num ORDER BY mid_y, mid_x,
 """
 STATS = TOK + """,
 stats AS (SELECT page_num, count(*) AS token_count, count(*) FILTER (label <> 'O') AS non_o, count(*) FILTER (label = 'INGREDIENT_LINE') AS ingredient, count(*) FILTER (label = 'INSTRUCTION_STEP') AS instruction,
-  count(*) FILTER (label = 'TITLE') AS title, round(count(*) FILTER (label <> 'O') / count(*), 6) AS non_o_ratio FROM tok GROUP BY page_num)
+  count(*) FILTER (label = 'TITLE') AS title, count(*) FILTER (label <> 'O') / count(*) AS non_o_ratio FROM tok GROUP BY page_num)
 """
 FIELDS = TOK + """,
-fld AS (SELECT *, len(words) AS token_count, len(list_distinct(words)) AS unique_token_count, round(list_sum(confs) / len(confs), 6) AS avg_confidence, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS line_count FROM page)
+fld AS (SELECT *, len(words) AS token_count, len(list_distinct(words)) AS unique_token_count, list_sum(confs) / nullif(len(confs), 0) AS avg_confidence, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS line_count FROM page)
 """
 _IN = lambda xs: "[" + ",".join(f"'{x}'" for x in xs) + "]"
 FEATURES = FIELDS + rf""",
 feat AS (SELECT *, list_has_any(list_transform(words, lambda w: lower(w)), {_IN(scoring.UNITS)}) AS units, list_has_any(list_transform(words, lambda w: lower(w)), {_IN(scoring.VERBS)}) AS verbs,
   regexp_matches(lower(text), '{scoring.TIME}') AS time_hit, regexp_matches(lower(text), '{scoring.TEMP}') AS temp_hit, regexp_matches(lower(text), '{scoring.TOC}') AS toc,
   len(list_filter(words, lambda w: regexp_matches(w, '{scoring.NUMBER}'))) / greatest(1, token_count) AS numeric_density, least(1.0, line_count / greatest(1, token_count)) AS short_line_density,
-  avg_confidence < 40 AS low_conf, token_count < 50 AS few_tokens, trim(string_split(text, chr(10))[1]) AS top_line FROM fld),
-feat2 AS (SELECT *, len(string_split_regex(top_line, '\s+')) <= 6 AND upper(top_line[1]) = top_line[1] AND lower(top_line[1]) <> top_line[1] AS title_like FROM feat)
+  coalesce(avg_confidence < 40, false) AS low_conf, token_count < 50 AS few_tokens, trim(string_split(text, chr(10))[1]) AS top_line FROM fld),
+feat2 AS (SELECT *, len(string_split_regex(top_line, '\s+')) <= 6 AND upper(top_line[1]) = top_line[1] AND lower(top_line[1]) <> top_line[1] AS title_like_ FROM feat),
+feat3 AS (SELECT * EXCLUDE (title_like_), coalesce(title_like_, false) AS title_like FROM feat2)
 """
 SCORE = """round(greatest(0.0, least(1.0, (CASE WHEN units THEN 0.25 ELSE 0 END)::DOUBLE + (CASE WHEN verbs THEN 0.2 ELSE 0 END)::DOUBLE + (CASE WHEN time_hit OR temp_hit THEN 0.2 ELSE 0 END)::DOUBLE + least(0.15::DOUBLE, numeric_density) + least(0.1::DOUBLE, short_line_density)
   + (CASE WHEN title_like THEN 0.1 ELSE 0 END)::DOUBLE - (CASE WHEN toc THEN 0.4 ELSE 0 END)::DOUBLE - (CASE WHEN few_tokens THEN 0.2 ELSE 0 END)::DOUBLE - (CASE WHEN low_conf THEN 0.1 ELSE 0 END)::DOUBLE)), 6)"""
@@ -49,7 +51,7 @@ def _words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return source.page_table(_words(spark, sf))
+    return source.page_table(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 QUERIES: dict = {}
@@ -66,7 +68,7 @@ def query(sql: str | None = None):
     return add
 
 
-@query(FEATURES + f"SELECT page_num, {SCORE} AS score, {SCORE} >= 0.5 AS likely FROM feat2")
+@query(FEATURES + f"SELECT page_num, {SCORE} AS score, {SCORE} >= 0.5 AS likely FROM feat3")
 def detect_pages(spark, sf):
     return scoring.detect_pages(_pages(spark, sf)).select("page_num", "score", "likely")
 
@@ -98,7 +100,7 @@ def derive_page_fields(spark, sf):
     return scoring.derive_page_fields(_pages(spark, sf)).select("page_num", "token_count", "unique_token_count", "avg_confidence", "line_count")
 
 
-@query(FEATURES + "SELECT page_num, units, verbs, time_hit, temp_hit, toc, round(numeric_density, 6) AS numeric_density, round(short_line_density, 6) AS short_line_density, low_conf, few_tokens, title_like FROM feat2")
+@query(FEATURES + "SELECT page_num, units, verbs, time_hit, temp_hit, toc, round(numeric_density, 6) AS numeric_density, round(short_line_density, 6) AS short_line_density, low_conf, few_tokens, title_like FROM feat3")
 def page_features(spark, sf):
     f = scoring.page_features(scoring.derive_page_fields(_pages(spark, sf)))
     return f.select("page_num", "units", "verbs", "time_hit", "temp_hit", "toc", F.round("numeric_density", 6).alias("numeric_density"), F.round("short_line_density", 6).alias("short_line_density"), "low_conf", "few_tokens", "title_like")
@@ -116,10 +118,8 @@ def page_top_keywords(spark, sf):
 
 @query(TOK + "SELECT page_num, word_idx, least(1000, greatest(0, x0 * 1000 // 1000)) AS nx0, least(1000, greatest(0, y0 * 1000 // height)) AS ny0, least(1000, greatest(0, x1 * 1000 // 1000)) AS nx1, least(1000, greatest(0, y1 * 1000 // height)) AS ny1 FROM tok JOIN page USING (page_num)")
 def normalize_bbox(spark, sf):
-    w = _words(spark, sf)
-    size = w.groupBy("page_num").agg((F.lit(100) + 30 * (F.max("line0") + 1)).alias("height"))
     n = boxes.normalized
-    return w.join(size, "page_num").select("page_num", "word_idx", n(F.col("x0"), F.lit(1000)).alias("nx0"), n(F.col("y0"), F.col("height")).alias("ny0"), n(F.col("x1"), F.lit(1000)).alias("nx1"), n(F.col("y1"), F.col("height")).alias("ny1"))
+    return _words(spark, sf).select("page_num", "word_idx", n(F.col("x0"), F.lit(1000)).alias("nx0"), n(F.col("y0"), F.col("height")).alias("ny0"), n(F.col("x1"), F.lit(1000)).alias("nx1"), n(F.col("y1"), F.col("height")).alias("ny1"))
 
 
 @query(TOK + "SELECT page_num, label, min(x0) AS ux0, min(y0) AS uy0, max(x1) AS ux1, max(y1) AS uy1 FROM tok GROUP BY ALL")
@@ -206,12 +206,12 @@ def token_metrics(spark, sf):
     return labels.token_metrics(_words(spark, sf))
 
 
-@query(TOK + "SELECT page_num, round(avg((label = label_pred)::INT), 6) AS accuracy FROM tok GROUP BY page_num")
+@query(TOK + "SELECT page_num, avg((label = label_pred)::INT) AS accuracy FROM tok GROUP BY page_num")
 def page_accuracy(spark, sf):
     return labels.page_accuracy(_words(spark, sf))
 
 
-@query(TOK + ", c AS (SELECT page_num, label_pred, count(*) AS n FROM tok GROUP BY ALL) SELECT page_num, round(max(n) / sum(n), 6) AS share, round(max(n) / sum(n), 6) > 0.9 AS collapsed FROM c GROUP BY page_num")
+@query(TOK + ", c AS (SELECT page_num, label_pred, count(*) AS n FROM tok GROUP BY ALL) SELECT page_num, max(n) / sum(n) AS share, max(n) / sum(n) > 0.9 AS collapsed FROM c GROUP BY page_num")
 def collapse_check(spark, sf):
     return labels.collapse_check(_words(spark, sf))
 
@@ -244,10 +244,9 @@ def split_leakage_check(spark, sf):
     return split_random(spark, sf).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("page_num").alias("n_distinct"))
 
 
-@query(TOK + "SELECT upper(word) AS header_word, count(*) AS n FROM tok JOIN page USING (page_num) WHERE y0 < height * 0.15 GROUP BY 1 HAVING count(*) >= 5")
+@query(TOK + "SELECT replace(upper(word), 'ẞ', 'SS') AS header_word, count(*) AS n FROM tok JOIN page USING (page_num) WHERE (y0 + y1) / 2 < height * 0.15 GROUP BY 1 HAVING count(*) >= 5")
 def header_vocabulary(spark, sf):
-    w = _words(spark, sf)
-    return labels.header_vocabulary(w, w.groupBy("page_num").agg((F.lit(100) + 30 * (F.max("line0") + 1)).alias("height")))
+    return labels.header_vocabulary(_words(spark, sf))
 
 
 @query(TOK + ", d AS (SELECT page_num, word_idx // 3 AS w, word_idx AS pos, label_pred, conf FROM tok), r AS (SELECT *, row_number() OVER (PARTITION BY page_num, w ORDER BY conf DESC, pos) AS k FROM d) SELECT page_num, w AS word_idx, pos, label_pred, conf FROM r WHERE k = 1")
@@ -261,12 +260,6 @@ def gate_candidates(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id", "left_semi").withColumnRenamed("doc_id", "page_num")
 
 
-@query(r"SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') || '-p' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') AS recipe_id FROM part")
-def make_recipe_id(spark, sf):
-    slug = F.regexp_replace(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.concat(slug, F.lit("-p"), F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0")).alias("recipe_id"))
-
-
 @query("SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS status, count(*) AS n_events FROM events GROUP BY user_id")
 def session_status(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("n_events"))
@@ -278,7 +271,7 @@ STRUCT = LINES + """,
 lc AS (SELECT page_num, line_id, label, count(*) AS n, min(word_idx) AS f FROM ln GROUP BY ALL),
 lm AS (SELECT *, row_number() OVER (PARTITION BY page_num, line_id ORDER BY n DESC, f) AS r FROM lc),
 by_line AS (SELECT page_num, count(*) FILTER (label = 'TITLE') AS title_lines, count(*) FILTER (label = 'INGREDIENT_LINE') AS ingredient_lines, count(*) FILTER (label = 'INSTRUCTION_STEP') AS instruction_lines FROM lm WHERE r = 1 GROUP BY page_num),
-met AS (SELECT t.*, title_lines, ingredient_lines, instruction_lines FROM (SELECT page_num, round(avg(conf) / 100, 6) AS avg_token_conf, count(*) AS total_tokens, round(avg((label IN ('O', 'NOTE'))::INT), 6) AS o_ratio, round(avg((label NOT IN ('O', 'NOTE'))::INT), 6) AS labeled_token_ratio FROM tok GROUP BY page_num) t JOIN by_line USING (page_num)),
+met AS (SELECT t.*, title_lines, ingredient_lines, instruction_lines FROM (SELECT page_num, sum(conf) / count(*) / 100 AS avg_token_conf, count(*) AS total_tokens, sum((label IN ('O', 'NOTE'))::INT) / count(*) AS o_ratio, sum((label NOT IN ('O', 'NOTE'))::INT) / count(*) AS labeled_token_ratio FROM tok GROUP BY page_num) t JOIN by_line USING (page_num)),
 flt AS (SELECT page_num, list_filter([CASE WHEN title_lines < 1 THEN 'no_title' END, CASE WHEN ingredient_lines < 2 THEN 'few_ing' END, CASE WHEN instruction_lines < 2 THEN 'few_instr' END, CASE WHEN avg_token_conf < 0.60 THEN 'low_conf' END,
   CASE WHEN o_ratio > 0.92 THEN 'high_o_ratio' END, CASE WHEN total_tokens < 80 THEN 'too_short' END, CASE WHEN labeled_token_ratio < 0.03 THEN 'low_labeled_ratio' END], lambda x: x IS NOT NULL) AS reasons FROM met)
 """
@@ -320,12 +313,7 @@ def denormalize_bbox(spark, sf):
 @query(TOK + "SELECT page_num, word_idx, round(x0 / 1000 * 100, 6) AS x_pct, round(y0 / height * 100, 6) AS y_pct, round((x1 - x0) / 1000 * 100, 6) AS w_pct, round((y1 - y0) / height * 100, 6) AS h_pct FROM tok JOIN page USING (page_num)")
 def percent_bbox(spark, sf):
     parts = boxes.percent(tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), F.lit(1000), F.col("height"))
-    return _with_height(spark, sf).select("page_num", "word_idx", *(F.round(p, 6).alias(n) for p, n in zip(parts, ("x_pct", "y_pct", "w_pct", "h_pct"), strict=True)))
-
-
-def _with_height(spark: SparkSession, sf: str) -> DataFrame:
-    w = _words(spark, sf)
-    return w.join(w.groupBy("page_num").agg((F.lit(100) + 30 * (F.max("line0") + 1)).alias("height")), "page_num")
+    return _words(spark, sf).select("page_num", "word_idx", *(F.round(p, 6).alias(n) for p, n in zip(parts, ("x_pct", "y_pct", "w_pct", "h_pct"), strict=True)))
 
 
 @query(TOK + "SELECT page_num, label, count(*) AS n FROM tok WHERE label <> 'O' AND conf >= 60 GROUP BY ALL")
@@ -339,24 +327,36 @@ def confidence_bucket(spark, sf):
     return mean.select("page_num", F.when(F.col("c") >= 0.9, "High").when(F.col("c") >= 0.75, "Medium").otherwise("Low").alias("bucket"))
 
 
-# Marks that depend on all words before a word: no SQL; tests/test_lines.py has a brute-force version.
+# Marks that depend on all words before a word: a fold over each page's words, in both engines.
+
+
+def _fold(order: str, at: str, tolerance: str, mark: str) -> str:
+    """line_id by a fold over the list of a page's words: the state is (mark, line number, line numbers so far)."""
+    return TOK + f""", m AS (SELECT tok.*, (y0 + y1) / 2 AS mid_y, height FROM tok JOIN page USING (page_num)),
+g AS (SELECT page_num, list(word_idx ORDER BY {order}) AS ws, list(({at})::DOUBLE ORDER BY {order}) AS ys, ({tolerance})::DOUBLE AS t FROM m GROUP BY page_num),
+f AS (SELECT page_num, ws, list_reduce(list_transform(ys, lambda y: {{'mark': y, 'line': 0::BIGINT, 'all': [0::BIGINT], 't': t}}),
+  lambda a, b: {{'mark': CASE WHEN abs(b.mark - a.mark) > t THEN {mark[0]} ELSE {mark[1]} END, 'line': a.line + (abs(b.mark - a.mark) > t)::BIGINT, 'all': list_append(a.all, a.line + (abs(b.mark - a.mark) > t)::BIGINT), 't': t}}).all AS ls FROM g)
+SELECT page_num, unnest(ws) AS word_idx, unnest(ls) AS line_id FROM f"""
+
+
+_ANCHOR, _HALF = ("b.mark", "a.mark"), ("(a.mark + b.mark) / 2", "(a.mark + b.mark) / 2")
 
 
-@query()
+@query(_fold("y0, x0, word_idx", "mid_y", "18", _ANCHOR))
 def lines_anchor_center(spark, sf):
     return lines.group_lines(_words(spark, sf), "anchor_center")
 
 
-@query()
+@query(_fold("y0, x0, word_idx", "mid_y", "0.015::DOUBLE * max(height)", _ANCHOR))
 def lines_anchor_relative(spark, sf):
-    return lines.group_lines(_with_height(spark, sf), "anchor_relative")
+    return lines.group_lines(_words(spark, sf), "anchor_relative")
 
 
-@query()
+@query(_fold("word_idx", "y0", "20", _ANCHOR))
 def lines_anchor_reading_order(spark, sf):
     return lines.group_lines(_words(spark, sf), "anchor_reading_order")
 
 
-@query()
+@query(_fold("mid_y, x0, word_idx", "mid_y", "greatest(4, floor(0.8::DOUBLE * list_sort(list(y1 - y0))[count(*) // 2 + 1]))", _HALF))
 def lines_smoothed(spark, sf):
     return lines.group_lines(_words(spark, sf), "smoothed")
