@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bounded, cut, fresh, stored
+from .common import bound_batches, bounded, by_key, cut, fresh, stored
 from .toxicity import chunks
 
 #: Characters in a gram, bits of a character's code, codes around a text. Code points from OWN on share OWN codes by a hash.
@@ -22,7 +24,9 @@ QUANTILE, TEMPER = 0.99, 50
 #: One in FOLDS trusted texts (by a hash of the text) sets the threshold and is not trained on, in languages with LEAST or more.
 FOLDS, LEAST = 5, 50
 #: Bytes of text in a block, about: grams are told apart in a block before they meet the model.
-BLOCK = 16 << 20
+BLOCK = 64 << 20
+#: Shards of grams, at least, and bytes of text for each.
+SHARDS, SHARD_BYTES = 64, 256 << 20
 #: Rows of a table by language or of document ids that are broadcast, at most.
 LANGUAGES, HELD_IDS = 100_000, 2_000_000
 
@@ -134,7 +138,18 @@ def _frames(batches: list[pa.RecordBatch], at_lang: int, at_text: int) -> Iterat
         base += b.num_rows
 
 
-def _block_grams(order: int):
+def _pack(grams_: np.ndarray) -> bytes:
+    """Sorted grams as compressed differences."""
+    return zstandard.compress(np.diff(grams_, prepend=0).astype("<i8").tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(packed), "<i8"))
+
+
+def _block_grams(order: int, shards: int):
+    """The different grams of each block, by language and shard, packed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held in _blocks(batches, 1):
             found: dict[str, list[np.ndarray]] = {}
@@ -142,11 +157,53 @@ def _block_grams(order: int):
                 found.setdefault(lang, []).append(np.unique(grams(rows["text"].tolist(), order)[0]))
             for lang, parts in found.items():
                 gram = np.unique(np.concatenate(parts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), block)), pa.array([lang] * len(gram), pa.string()), pa.array(gram)], ["block", "lang", "gram"])
+                shard = ((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
+                gram = gram[np.argsort(shard, kind="stable")]
+                ends = np.cumsum(np.bincount(shard, minlength=shards))
+                some = [(k, gram[a:e]) for k, (a, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if e > a]
+                n = len(some)
+                columns = [pa.array([k for k, _ in some], pa.int32()), pa.array([block] * n, pa.int64()), pa.array([lang] * n, pa.string()), pa.array([_pack(g) for _, g in some], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "lang", "grams"])
 
     return run
 
 
+def _different(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The different grams of each shard and language, from all blocks."""
+    for (shard, lang), rows in by_key(batches, ["shard", "lang"]):
+        yield pd.DataFrame({"shard": shard, "lang": lang, "gram": np.unique(np.concatenate([_unpack(g) for g in rows["grams"]]))})
+
+
+def _priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards of packed grams, each after its grams' shares: what each block's grams cost, -ln p in single precision."""
+    shard, known, held = None, {}, []
+    for b in batches:
+        last = b.column("grams").is_valid().to_numpy(zero_copy_only=False)
+        at, lang = b.column("shard").to_numpy(), b.column("lang").to_pylist()
+        runs = np.nonzero(np.diff(at))[0] + 1
+        for lo, hi in pairwise([0, *runs.tolist(), len(at)]):
+            if lo == hi:
+                continue
+            if at[lo] != shard:
+                shard, known, held = at[lo], {}, []
+            values = lo + int((~last[lo:hi]).sum())  # shares come first
+            if values > lo:
+                held.append(b.slice(lo, values - lo))
+            if values == hi:
+                continue
+            if held:
+                table = pa.Table.from_batches(held)
+                of = table["lang"].combine_chunks().dictionary_encode()
+                code, gram, cost = of.indices.to_numpy(), table["gram"].to_numpy(), -np.log(table["p"].to_numpy())
+                known, held = {name: (gram[code == k], cost[code == k]) for k, name in enumerate(of.dictionary.to_pylist())}, []
+            costs = []
+            for k in range(values, hi):
+                keys, cost = known[lang[k]]
+                costs.append(cost[np.searchsorted(keys, _unpack(b.column("grams")[k].as_py()))].astype("<f4").tobytes())
+            part = b.slice(values, hi - values)
+            yield pa.RecordBatch.from_arrays([part.column("block"), part.column("lang"), part.column("grams"), pa.array(costs, pa.binary())], ["block", "lang", "grams", "costs"])
+
+
 def _packed(at_text: int):
     """Each block's rows as one compressed value."""
 
@@ -177,12 +234,17 @@ def _summed(order: int, at_lang: int, at_text: int, names: list[str]):
     def rows_of(values: list[pa.RecordBatch], block: int, packed: pa.Buffer) -> Iterator[pa.RecordBatch]:
         with pa.ipc.open_stream(packed) as stream:
             rows = list(stream)
-        table = pa.Table.from_batches(values)
-        found = table["lang"].combine_chunks().dictionary_encode()
-        of, gram, p = found.indices.to_numpy(), table["gram"].to_numpy(), table["p"].to_numpy()
-        if len(of) and (table["block"].to_numpy() != block).any():
-            raise RuntimeError("two reads of the documents differ; store them first")
-        known = {name: (gram[of == k], -np.log(p[of == k])) for k, name in enumerate(found.dictionary.to_pylist())}
+        parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for b in values:
+            for of, lang, gram, cost in zip(*(b.column(c).to_pylist() for c in ("block", "lang", "grams", "costs")), strict=True):
+                if of != block:
+                    raise RuntimeError("two reads of the documents differ; store them first")
+                parts.setdefault(lang, []).append((_unpack(gram), np.frombuffer(cost, "<f4").astype("f8")))
+        known = {}
+        for lang, some in parts.items():
+            gram, cost = (np.concatenate(x) for x in zip(*some, strict=True))
+            by_gram = np.argsort(gram)
+            known[lang] = gram[by_gram], cost[by_gram]
         total = sum(b.num_rows for b in rows)
         nll, n = np.zeros(total), np.zeros(total, np.int64)
         for base, lang, part in _frames(rows, at_lang, at_text):
@@ -204,7 +266,7 @@ def _summed(order: int, at_lang: int, at_text: int, names: list[str]):
 
 
 def shares(found: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """found (lang, gram) with p, the share of each gram's last character: from the even share up, each length adds its own
+    """found (lang, gram and other columns) with p, the share of each gram's last character: from the even share up, each length adds its own
     share to what it leaves. Length by length the grams meet the model's shards."""
     known = found.withColumn("p", F.lit(2.0**-BITS))
     for k in range(1, order + 1):
@@ -212,7 +274,7 @@ def shares(found: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
         part = lambda kind, name: model.where((F.col("k") == k) & (F.col("kind") == kind)).select("lang", F.col("code").alias(name), F.col("value").alias(f"v_{name}"))  # noqa: B023, E731
         both = known.withColumn("g", code).withColumn("c", F.shiftright(code, BITS)).join(part("p", "g"), ["lang", "g"], "left").join(part("b", "c"), ["lang", "c"], "left")
         p = F.when(F.col("v_c").isNull(), F.col("p")).otherwise(F.coalesce("v_g", F.lit(0.0)) + F.col("v_c") * F.col("p"))
-        known = both.select("lang", "gram", p.alias("p"))
+        known = both.select(*found.columns, p.alias("p"))
     return known
 
 
@@ -220,18 +282,29 @@ def scored(docs: DataFrame, model: DataFrame, nll: str = "nll", n: str = "n", or
     """docs with two more columns: the sum of -ln p over a text's characters and its end, and their number.
 
     By count joins in shards, the same way at every size. Each task first sums its documents' grams up to the different ones
-    in a block of about BLOCK bytes of text: these rows, a fraction of the texts, are joined with the model in its shards and
-    come back to their block, where the texts of the block (packed into one value) look them up. A task holds one block and
-    its grams. docs is read twice and must give the same rows in the same tasks, as tables do; where it does not, that is
-    found and raised. A null text is empty; a null language is "".
+    in a block of about BLOCK bytes of text, packed by shard (a hash of the gram). The different grams of each shard are joined
+    with the model, length by length; what they cost comes back to the blocks that have them, packed again, where the texts of
+    the block (packed into one value) look it up. A task holds one block and its grams, or one shard's different grams. docs is
+    read twice and must give the same rows in the same tasks, as tables do; where it does not, that is found and raised. Small
+    partitions are put together first. A null text is empty; a null language is "".
     """
     bound_batches(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // BLOCK)))
     at_text, at_lang = docs.columns.index("text"), docs.columns.index("lang")
-    found = stored(docs.select("lang", "text").mapInArrow(_block_grams(order), "block long, lang string, gram long"), "grams")
-    values = found.join(shares(found.select("lang", "gram").distinct(), model, order), ["lang", "gram"]).select("block", "lang", "gram", "p", F.lit(None).cast("binary").alias("rows"))
-    packed = docs.mapInArrow(_packed(at_text), "block long, rows binary").select("block", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("p"), "rows")
+    shards = max(SHARDS, total // SHARD_BYTES)
+    found = stored(docs.select("lang", "text").mapInArrow(_block_grams(order, shards), "shard int, block long, lang string, grams binary"), "grams")
+    dealt = found.select("shard", "lang", "grams").repartition("shard").sortWithinPartitions("shard", "lang")
+    known = shares(dealt.mapInPandas(_different, "shard int, lang string, gram long"), model, order)
+    blank = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    both = known.select("shard", "lang", "gram", "p", blank("long", "block"), blank("binary", "grams")).unionByName(
+        found.select("shard", "lang", blank("long", "gram"), blank("double", "p"), "block", "grams")
+    )
+    priced = both.repartition("shard").sortWithinPartitions("shard", F.col("grams").isNotNull(), "lang", "gram").mapInArrow(_priced, "block long, lang string, grams binary, costs binary")
+    packed = docs.mapInArrow(_packed(at_text), "block long, rows binary").select("block", blank("string", "lang"), blank("binary", "grams"), blank("binary", "costs"), "rows")
     # packed comes first, so its tasks have the numbers that they had as the grams were counted
-    dealt = packed.unionByName(values).repartition("block").sortWithinPartitions("block", F.col("rows").isNotNull(), "lang", "gram")
+    rows = packed.unionByName(priced.withColumn("rows", F.lit(None).cast("binary")))
+    dealt = rows.repartition("block").sortWithinPartitions("block", F.col("rows").isNotNull())
     schema = docs.select("*", F.lit(0.0).alias(nll), F.lit(0).cast("long").alias(n)).schema
     for f in schema.fields:
         f.nullable = True
