@@ -13,11 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_key, components, content_key, cut, fresh, stored
+from .common import bound_batches, bounded, by_key, components, content_key, cut, fresh, stored
 
 BITS, SEED = 64, 42
 #: Fingerprints in one tree; a shard with more is cut into parts, and each pair of parts is searched.
 TREE = 2048
+#: Keys of rows that are broadcast, at most (16 bytes each); more are joined by a shuffle.
+HELD_KEYS = 2_000_000
 
 
 def shingles(text: str | None, words: int = 4) -> np.ndarray:
@@ -177,13 +179,25 @@ def simhash_groups(docs: DataFrame, radius: int = 4, words: int = 4, tree: int =
 
 def _first_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of docs, one for each root of rows (doc_id, t1, t2, root): the one with the smallest doc_id (null ids last),
-    then the smallest hash of its text. Rows with the same doc_id and text are one."""
+    then the smallest hash of its text. Rows with the same doc_id and text are one.
+
+    What goes is named by hashes of doc_id and text; up to HELD_KEYS of them are broadcast, so that texts aren't shuffled.
+    """
     k1, k2 = fresh(docs, "k1", "k2")
-    least = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "t1", "t2")).alias("first")).select("first.*")
-    a, b = content_key("doc_id", "t1", "t2")
-    kept = least.select(a.alias(k1), b.alias(k2))
+    at = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "t1", "t2")
+    each = rows.groupBy("root", at.alias("at")).agg(F.count("*").alias("n"))
+    first = each.groupBy("root").agg(F.min("at").alias("first"))
+    a, b = content_key(F.col("at.doc_id"), F.col("at.t1"), F.col("at.t2"))
+    marks = cut(each.join(first, "root").select(a.alias(k1), b.alias(k2), (F.col("at") == F.col("first")).alias("stays"), "n").where("NOT stays OR n > 1"))
+    gone = bounded(marks.select(k1, k2), HELD_KEYS)
     a, b = content_key("doc_id", *content_key(F.coalesce("text", F.lit(""))))
-    return docs.withColumns({k1: a, k2: b}).join(kept, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(docs.columns)
+    named = docs.withColumns({k1: a, k2: b})
+    kept = named.join(gone, [k1, k2], "left_anti").select(docs.columns)
+    repeated = bounded(marks.where("stays").select(k1, k2), HELD_KEYS)
+    if repeated.isEmpty():
+        return kept
+    once = named.join(repeated, [k1, k2], "left_semi").dropDuplicates([k1, k2])
+    return kept.unionByName(once.select(docs.columns))
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
