@@ -496,7 +496,11 @@ def brute_kn(train_texts, order):
                 out = (max(v - d[k][min(v, 3) - 1], 0) / tot[s[:-1]] if v else 0.0) + left[s[:-1]] / tot[s[:-1]] * out
         return out
 
-    return lambda t: (sum(-np.log(p(tuple(code(t)[i : i + order]))) for i in range(len(code(t)) - order + 1)), len(t or "") + 1)
+    def total(t):
+        c = code(t)
+        return sum(-np.log(p(tuple(c[i : i + order]))) for i in range(len(c) - order + 1)), len(t or "") + 1
+
+    return total
 
 
 def kept_apart(text):
@@ -510,12 +514,10 @@ def test_quality_model(spark, docs, texts, empty, monkeypatch):
     trusted = docs.where("doc_id % 2 = 0 and doc_id < 60").select("lang", "text").withColumn("lang", F.coalesce("lang", F.lit("")))
     model = quality.train(trusted)
     by_lang = {lang: brute_kn([t for i, t in enumerate(texts) if i % 2 == 0 and i < 20 and ("en" if i % 3 else "") == lang], 4) for lang in ("en", "")}
-    monkeypatch.setattr(quality, "BLOCK", 2000)  # many blocks; workers fork from here on
-    for size in (1 << 24, 2000):
-        quality.BLOCK = size
-        for r in quality.scored(docs, model).collect():
-            want, n = by_lang[r.lang or ""](texts[r.doc_id // 3])
-            assert (r.nll, r.n) == (pytest.approx(want), n)
+    monkeypatch.setattr(quality, "SHARDS", 5)
+    for r in quality.scored(docs, model).collect():
+        want, n = by_lang[r.lang or ""](texts[r.doc_id // 3])
+        assert (r.nll, r.n) == (pytest.approx(want), n)
     labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     odd = docs.withColumns({c: F.lit(7) for c in ("keep", "nll", "n", "mean", "name", "threshold", "t_lang", "perplexity", "block", "rows", "gram")})
     assert quality.keep_good(odd, labels).columns == odd.columns
