@@ -179,4 +179,4 @@ def slug(text: Column) -> Column:
 def recipe_id(title: Column, page: Column) -> Column:
     """slug-pNNNN; recipe-N-pNNNN for a page without title, recipe-pNNNN where a title leaves no slug."""
     name = F.when(F.coalesce(title, F.lit("")) == "", F.concat(F.lit("recipe-"), page.cast("string"))).otherwise(slug(title))
-    return F.concat(F.when(name == "", "recipe").otherwise(name), F.lit("-p"), F.lpad(page.cast("string"), 4, "0"))
+    return F.concat(F.when(name == "", "recipe").otherwise(name), F.lit("-p"), F.lpad(page.cast("string"), F.greatest(F.lit(4), F.length(page.cast("string"))), F.lit("0")))

@@ -101,7 +101,7 @@ def generate_tags(spark, sf):
 
 
 @query(_CATS + "SELECT category, count(*) AS recipes, min(page_num) AS first_page FROM ca GROUP BY category")
-def catalog_index(spark, sf):
+def categories_of_recipes(spark, sf):
     r = _recipes(spark, sf).withColumn("category", T.category(F.col("title"), F.col("ingredients")))
     return r.groupBy("category").agg(F.count("*").alias("recipes"), F.min("page_num").alias("first_page"))
 

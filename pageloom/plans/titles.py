@@ -145,7 +145,7 @@ def slugify(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", T.slug(F.substring(F.coalesce("text", F.lit("")), 1, 60)).alias("slug"))
 
 
-@query(rf"""SELECT p_partkey, CASE WHEN t = '' THEN 'recipe-' || p_partkey WHEN {_ID} = '' THEN 'recipe' ELSE {_ID} END || '-p' || CASE WHEN length(p_partkey::VARCHAR) > 4 THEN substr(p_partkey::VARCHAR, 1, 4) ELSE lpad(p_partkey::VARCHAR, 4, '0') END AS recipe_id
+@query(rf"""SELECT p_partkey, CASE WHEN t = '' THEN 'recipe-' || p_partkey WHEN {_ID} = '' THEN 'recipe' ELSE {_ID} END || '-p' || lpad(p_partkey::VARCHAR, greatest(4, length(p_partkey::VARCHAR))::INT, '0') AS recipe_id
  FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '!?' ELSE p_name END AS t FROM part)""")
 def make_recipe_id(spark, sf):
     """Some names are made empty or plain punctuation, for the two fallbacks."""

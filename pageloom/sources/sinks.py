@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, else (alone on a machine) the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a local master (tests)
+    has the warehouse; a cluster can't share that, so it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/pages-{uuid.uuid4().hex}"
 
 
@@ -47,11 +52,13 @@ def safe_overwrite(df: DataFrame, path: str, check: Column) -> str:
     df.write.parquet(version)
     if spark.read.parquet(version).where(check).isEmpty():
         raise ValueError(f"no row of {version} satisfies the check")
-    one = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    earlier = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    one = spark.range(1).select(F.lit(version).alias("version"), F.lit(spark.read.parquet(f"{path}/manifest").count() if earlier else 0).alias("nth"))
     one.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return version
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The table that the manifest's latest row names."""
-    return spark.read.parquet(spark.read.parquet(f"{path}/manifest").orderBy(F.desc("at")).first().version)
+    """The table that the manifest's last row names; of two that were written at once, the one with the greater name."""
+    return spark.read.parquet(spark.read.parquet(f"{path}/manifest").orderBy(F.desc("nth"), F.desc("version")).first().version)
