@@ -24,7 +24,9 @@ QUANTILE, TEMPER = 0.99, 50
 #: One in FOLDS trusted texts (by a hash of the text) sets the threshold and is not trained on, in languages with LEAST or more.
 FOLDS, LEAST = 5, 50
 #: Bytes of text in a block, about: grams are told apart in a block before they meet the model.
-BLOCK = 64 << 20
+BLOCK = 8 << 20
+#: Bytes of text in a task that reads documents, at least: smaller partitions are put together.
+TASK = 64 << 20
 #: Shards of grams, at least, and bytes of text for each.
 SHARDS, SHARD_BYTES = 64, 256 << 20
 #: Rows of a table by language or of document ids that are broadcast, at most.
@@ -290,7 +292,7 @@ def scored(docs: DataFrame, model: DataFrame, nll: str = "nll", n: str = "n", or
     """
     bound_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // BLOCK)))
+    docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK)))
     at_text, at_lang = docs.columns.index("text"), docs.columns.index("lang")
     shards = max(SHARDS, total // SHARD_BYTES)
     found = stored(docs.select("lang", "text").mapInArrow(_block_grams(order, shards), "shard int, block long, lang string, grams binary"), "grams")
