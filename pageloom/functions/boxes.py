@@ -11,6 +11,12 @@ def normalized(value: Column, size: Column) -> Column:
     return F.when(size > 0, F.least(F.lit(1000), F.greatest(F.lit(0), F.floor(value * 1000 / size)))).cast("int")
 
 
+def normalized_box(box: tuple[Column, ...], width: Column, height: Column) -> tuple[Column, ...]:
+    """A box in 0..1000 whose far edges are not before its near ones; null where the page has no positive size."""
+    x0, y0, x1, y1 = (normalized(v, s) for v, s in zip(box, (width, height, width, height), strict=True))
+    return x0, y0, F.greatest(x0, x1), F.greatest(y0, y1)
+
+
 def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Intersection over union of two boxes (x0, y0, x1, y1); 0 if they don't meet or both are empty."""
     w = F.greatest(F.lit(0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]))

@@ -107,3 +107,28 @@ def collapse_check(words: DataFrame, limit: float = 0.9) -> DataFrame:
     n = words.groupBy("page_num", "label_pred").agg(F.count("*").alias("n"))
     share = n.groupBy("page_num").agg((F.max("n") / F.sum("n")).alias("share"))
     return share.withColumn("collapsed", F.col("share") > limit)
+
+
+def collapse_runs(rounds: DataFrame, limit: float = 0.9, patience: int = 2) -> DataFrame:
+    """rounds (round, label_pred, n) to (round, top_label, share, in_a_row, failed): the most frequent predicted label of each
+    round (the first by name of equals) and its share; how many rounds in a row, up to this one, it was above the limit; and
+    whether that is `patience` or more. A row for each round is sorted, no more."""
+    c = F.col
+    top = rounds.groupBy("round").agg(F.min_by("label_pred", F.struct((-c("n")).alias("n"), "label_pred")).alias("top_label"), (F.max("n") / F.sum("n")).alias("share"))
+    order = Window.orderBy("round")
+    marked = top.withColumn("healthy", F.sum((c("share") <= limit).cast("int")).over(order))
+    runs = marked.withColumn("in_a_row", F.sum((c("share") > limit).cast("int")).over(Window.partitionBy("healthy").orderBy("round")))
+    return runs.select("round", "top_label", "share", "in_a_row", (c("in_a_row") >= patience).alias("failed"))
+
+
+def group_tokens(words: DataFrame, label: str = "label_pred") -> DataFrame:
+    """(page_num, grouped): for each page a map from label to its words (word_idx, word, conf) in order. Pages without words
+    have no row."""
+    tokens = F.array_sort(F.collect_list(F.struct("word_idx", "word", "conf")))
+    by_label = words.groupBy("page_num", F.col(label).alias("label")).agg(tokens.alias("tokens"))
+    return by_label.groupBy("page_num").agg(F.map_from_entries(F.collect_list(F.struct("label", "tokens"))).alias("grouped"))
+
+
+def top_instruction_pages(stats: DataFrame, n: int = 10) -> DataFrame:
+    """The n pages with the most instruction words, more ingredient words and smaller pages first among equals."""
+    return stats.orderBy(F.desc("instruction"), F.desc("ingredient"), "page_num").limit(n).select("page_num", "instruction", "ingredient")

@@ -14,7 +14,6 @@ UNIT = r"\b(?:tsp|tbsp|teaspoon(?:ful)?s?|tablespoon(?:ful)?s?|cup|cups|oz|ounce
 VERB = r"\b(beat|stir|mix|bake|boil|pour|add|serve|cook|strain)\b"
 NEGATIVE = r"(table of contents|contents|index|chapter|illustrations)"
 REJECT = {"title": 50, "ingredient": 5, "instruction": 10}
-SUPPORT = ["SERVINGS", "TIME", "TEMP"]
 #: By how much each round relaxes a limit of the structural filter, and the value it stops at.
 RELAX = {"avg_token_conf": (-0.05, 0.50), "tokens": (-10, 50), "o_ratio": (0.02, 0.98), "ingredient_lines": (-1, 1), "instruction_lines": (-1, 1), "labeled_ratio": (-0.005, 0.015)}
 
@@ -168,3 +167,9 @@ def drop_reasons(pages: DataFrame, known: list[str], least: int = 5) -> DataFram
         .when(F.exists("labels", lambda x: ~x.isin(known)), "unknown_label").when(F.coalesce(F.col("height"), F.lit(0)) <= 0, "bad_bbox")
     )
     return pages.withColumn("drop_reason", reason)
+
+
+def every_nth(pages: DataFrame, n: int, most: int = 20) -> DataFrame:
+    """The first, and then every n-th page by page_num, `most` in all."""
+    first = pages.orderBy("page_num").limit(n * most)
+    return first.withColumn("nth", F.row_number().over(Window.orderBy("page_num"))).where(F.col("nth") % n == 1).drop("nth")  # n * most rows

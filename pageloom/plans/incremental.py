@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pageloom.operators import scoring
+from pageloom.operators import labels, scoring
 from pageloom.sources import pages as source
 from pageloom.sources import sinks
 from pageloom.streaming import ingest
 
-from .queries import FEATURES, FIELDS, SCORE, TOK, _pages, _words, query
+from .queries import _SPLIT, FEATURES, FIELDS, SCORE, TOK, _pages, _words, query, split_random
 
 
 def _scores(docs):
@@ -57,6 +57,19 @@ def inventory_reconcile(spark, sf):
     return d.join(p, "page_num", "full").select("page_num", F.when(F.col("data").isNull(), "image_only").when(F.col("image").isNull(), "data_only").otherwise("both").alias("state"))
 
 
+@query(f"""WITH b AS (SELECT d.doc_id AS a, p.page_id AS b FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT page_id FROM pages) p ON d.doc_id = p.page_id), n AS (SELECT count(a) AS data, count(b) AS images, count(a) FILTER (b IS NULL) AS only_data, count(b) FILTER (a IS NULL) AS only_images FROM b),
+v AS (SELECT count(*) FILTER (split = 'validation') AS validation FROM ({_SPLIT})) SELECT *, abs(data - images) > 0.02 * greatest(data, images, 1) OR validation = 0 AS degraded FROM n, v""")
+def inventory_status(spark, sf):
+    """Totals of the reconciliation: degraded if the counts differ by more than 2 % or there is no validation page."""
+    both = inventory_reconcile(spark, sf).groupBy().agg(
+        F.count_if(F.col("state") != "image_only").alias("data"), F.count_if(F.col("state") != "data_only").alias("images"),
+        F.count_if(F.col("state") == "data_only").alias("only_data"), F.count_if(F.col("state") == "image_only").alias("only_images"),
+    )
+    held = split_random(spark, sf).agg(F.count_if(F.col("split") == "validation").alias("validation"))
+    far = F.abs(F.col("data") - F.col("images")) > 0.02 * F.greatest("data", "images", F.lit(1))
+    return both.join(F.broadcast(held), F.lit(True)).withColumn("degraded", far | (F.col("validation") == 0))  # a row each
+
+
 @query("SELECT coalesce(d.doc_id, p.page_id) AS name, CASE WHEN p.page_id IS NULL THEN 'new' WHEN d.doc_id IS NULL THEN 'gone' WHEN md5(coalesce(d.text, '')) = md5(coalesce(p.html, '')) THEN 'unchanged' ELSE 'changed' END AS change FROM documents d FULL JOIN pages p ON d.doc_id = p.page_id")
 def sync_manifest_diff(spark, sf):
     """Only digests are shuffled, not contents."""
@@ -74,6 +87,17 @@ def validate_service_tables(spark, sf):
     return one.select(F.inline(F.array(row("pages", "a", 150, F.col("a") >= 150), row("least_words", "b", 10, F.col("b") >= 10), row("words_null", "c", 0, F.col("c") <= 0))))
 
 
-@query(TOK + "SELECT page_num, label_pred, list(word ORDER BY word_idx)[1] AS first_word, count(*) AS n FROM tok GROUP BY ALL")
+@query(TOK + "SELECT page_num, label_pred AS label, string_agg(word, ' ' ORDER BY word_idx) AS tokens, count(*) AS n, sum(conf) AS total FROM tok GROUP BY ALL")
 def group_tokens_by_label(spark, sf):
-    return _words(spark, sf).groupBy("page_num", "label_pred").agg(F.min_by("word", "word_idx").alias("first_word"), F.count("*").alias("n"))
+    """The map of each page, opened again to a row for each of its labels."""
+    rows = labels.group_tokens(_words(spark, sf)).select("page_num", F.explode("grouped").alias("label", "t"))
+    total = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["conf"])
+    return rows.select("page_num", "label", F.array_join(F.transform("t", lambda x: x["word"]), " ").alias("tokens"), F.size("t").cast("long").alias("n"), total.alias("total"))
+
+
+@query(TOK + """, r AS (SELECT page_num % 40 AS round, label_pred, count(*) AS n FROM tok GROUP BY ALL), t AS (SELECT round, arg_min(label_pred, {'a': -n, 'b': label_pred}) AS top_label, max(n) / sum(n) AS share FROM r GROUP BY round),
+h AS (SELECT *, count(*) FILTER (share <= 0.56) OVER (ORDER BY round) AS g FROM t), w AS (SELECT *, count(*) FILTER (share > 0.56) OVER (PARTITION BY g ORDER BY round) AS in_a_row FROM h) SELECT round, top_label, share, in_a_row, in_a_row >= 2 AS failed FROM w""")
+def collapse_runs(spark, sf):
+    """Every fortieth page is of one round; the limit is 0.56, so that some rounds fail."""
+    rounds = _words(spark, sf).groupBy((F.col("page_num") % 40).alias("round"), "label_pred").agg(F.count("*").alias("n"))
+    return labels.collapse_runs(rounds, 0.56)

@@ -78,10 +78,18 @@ def scan_pages_parquet(spark, sf):
     return _words(spark, sf).select("page_num", "word_idx", "word", "x0", "y0", "conf", "label", "label_pred")
 
 
-@query(TOK + "SELECT page_num, string_agg(word, ' ' ORDER BY y0, x0, word_idx) AS page_words, count(*) AS n FROM tok GROUP BY page_num")
+@query(TOK + """, k AS (SELECT * FROM tok WHERE word_idx % 11 <> 5 AND word_idx % 13 <> 7) SELECT page_num, string_agg(word, ' ' ORDER BY y0, x0, word_idx) AS page_words, count(*) AS n, string_agg(x0 || ':' || y0 || ':' || x1 || ':' || y1, ' ' ORDER BY y0, x0, word_idx) AS boxes, sum(conf) AS total FROM k GROUP BY page_num""")
 def assemble_pages_from_word_table(spark, sf):
-    ordered = F.sort_array(F.collect_list(F.struct("y0", "x0", "word_idx", "word")))
-    return _words(spark, sf).groupBy("page_num").agg(F.array_join(F.transform(ordered, lambda x: x["word"]), " ").alias("page_words"), F.count("*").alias("n"))
+    """Words with left, top, width and height, of which some are blank and some have a negative confidence."""
+    c = F.col
+    raw = _words(spark, sf).select(
+        "page_num", c("word_idx").alias("pos"), F.when(c("word_idx") % 11 == 5, " ").otherwise(c("word")).alias("text"), F.when(c("word_idx") % 13 == 7, -1).otherwise(c("conf")).alias("conf"),
+        c("x0").alias("left"), c("y0").alias("top"), (c("x1") - c("x0")).alias("width"), (c("y1") - c("y0")).alias("height"),
+    )
+    pages = source.assemble_pages(raw)
+    shown = F.array_join(F.transform("bboxes", lambda b: F.array_join(F.transform(b, lambda x: x.cast("string")), ":")), " ")
+    total = F.aggregate("confidences", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return pages.select("page_num", F.array_join("words", " ").alias("page_words"), F.size("words").cast("long").alias("n"), shown.alias("boxes"), total.alias("total"))
 
 
 @query(r"SELECT page_id, coalesce(TRY_CAST(nullif(regexp_extract(regexp_replace(string_split(url, '/')[-1], '\.[^.]*$', ''), '(\d+)', 1), '') AS BIGINT), 0) AS page_num FROM pages")
@@ -116,10 +124,14 @@ def page_top_keywords(spark, sf):
     return scoring.page_top_keywords(_words(spark, sf))
 
 
-@query(TOK + "SELECT page_num, word_idx, least(1000, greatest(0, x0 * 1000 // 1000)) AS nx0, least(1000, greatest(0, y0 * 1000 // height)) AS ny0, least(1000, greatest(0, x1 * 1000 // 1000)) AS nx1, least(1000, greatest(0, y1 * 1000 // height)) AS ny1 FROM tok JOIN page USING (page_num)")
+@query(TOK + """, n AS (SELECT tok.page_num, word_idx, least(1000, greatest(0, x0)) AS nx0, least(1000, greatest(0, y0 * 1000 // height)) AS ny0, least(1000, greatest(0, CASE WHEN word_idx % 5 = 0 THEN x0 - 7 ELSE x1 END)) AS a, least(1000, greatest(0, y1 * 1000 // height)) AS b FROM tok JOIN page USING (page_num))
+SELECT page_num, word_idx, nx0, ny0, greatest(nx0, a) AS nx1, greatest(ny0, b) AS ny1 FROM n""")
 def normalize_bbox(spark, sf):
-    n = boxes.normalized
-    return _words(spark, sf).select("page_num", "word_idx", n(F.col("x0"), F.lit(1000)).alias("nx0"), n(F.col("y0"), F.col("height")).alias("ny0"), n(F.col("x1"), F.lit(1000)).alias("nx1"), n(F.col("y1"), F.col("height")).alias("ny1"))
+    """Every fifth box is turned round, its right edge before its left one."""
+    c = F.col
+    box = (c("x0"), c("y0"), F.when(c("word_idx") % 5 == 0, c("x0") - 7).otherwise(c("x1")), c("y1"))
+    parts = boxes.normalized_box(box, F.lit(1000), c("height"))
+    return _words(spark, sf).select("page_num", "word_idx", *[x.alias(n) for x, n in zip(parts, ("nx0", "ny0", "nx1", "ny1"), strict=True)])
 
 
 @query(TOK + "SELECT page_num, label, min(x0) AS ux0, min(y0) AS uy0, max(x1) AS ux1, max(y1) AS uy1 FROM tok GROUP BY ALL")

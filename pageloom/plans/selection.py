@@ -91,11 +91,21 @@ def select_with_coverage(spark, sf):
     return selection.select_with_coverage(_stats(spark, sf), 120, rich=400)
 
 
-@query(STATS + ", r AS (SELECT page_num, row_number() OVER (ORDER BY page_num) AS r FROM stats WHERE title > 0) SELECT page_num FROM r WHERE r % 5 = 1 ORDER BY page_num LIMIT 20")
+@query(STATS + """, b AS (SELECT 'sections' AS batch, page_num, row_number() OVER (ORDER BY page_num) AS r, 6 AS k FROM stats WHERE title > 0 UNION ALL SELECT 'untitled', page_num, row_number() OVER (ORDER BY page_num), 10 FROM stats WHERE (ingredient > 5 OR instruction > 10) AND page_num % 3 > 0 AND page_num >= 38),
+s AS (SELECT batch, page_num FROM b WHERE r % k = 1 AND r <= 20 * k) SELECT * FROM s UNION ALL SELECT 'fixed', page_num FROM stats WHERE page_num IN (5, 10, 15, 20, 25, 300, 320, 340, 550, 580)""")
 def sample_stride(spark, sf):
-    """Every fifth page with a title, the first 20 such pages: a hundred rows suffice."""
-    first = _stats(spark, sf).where("title > 0").orderBy("page_num").limit(100)
-    return first.withColumn("r", F.row_number().over(Window.orderBy("page_num"))).where("r % 5 = 1").select("page_num")
+    """Three batches: every 6th page with a title word, every 10th recipe page of those whose number is no multiple of 3 (which
+    stand for untitled ones) from 38 on, 20 pages each, and ten fixed pages. The limits are the feature."""
+    s = _stats(spark, sf)
+    one = selection.every_nth(s.where("title > 0"), 6).select(F.lit("sections").alias("batch"), "page_num")
+    two = selection.every_nth(s.where("(ingredient > 5 OR instruction > 10) AND page_num % 3 > 0 AND page_num >= 38"), 10).select(F.lit("untitled").alias("batch"), "page_num")
+    three = s.where(F.col("page_num").isin([5, 10, 15, 20, 25, 300, 320, 340, 550, 580])).select(F.lit("fixed").alias("batch"), "page_num")
+    return one.unionByName(two).unionByName(three)
+
+
+@query(STATS + "SELECT page_num, instruction, ingredient FROM stats ORDER BY instruction DESC, ingredient DESC, page_num LIMIT 10")
+def top_instruction_pages(spark, sf):
+    return labels.top_instruction_pages(_stats(spark, sf))
 
 
 @query("SELECT page_num FROM (SELECT DISTINCT doc_id AS page_num FROM documents) ORDER BY md5('7:' || page_num), page_num LIMIT 40")

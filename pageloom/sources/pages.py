@@ -63,3 +63,14 @@ def page_table(docs: DataFrame) -> DataFrame:
     confidences = F.transform("split", lambda _, i: _confidence(c("page_num"), i))
     out = rows.select("page_num", "book", _height(c("split")).alias("height"), F.lit(1000).alias("width"), words.alias("words"), confidences.alias("confidences"))
     return out.withColumn("text", F.array_join(lines, ""))
+
+
+def assemble_pages(words: DataFrame) -> DataFrame:
+    """(page_num, words, bboxes, confidences) of recognised words (page_num, pos, text, conf, left, top, width, height): without
+    blank words and those of negative confidence, from top to bottom, then from left to right, boxes as corners."""
+    c = F.col
+    kept = words.where((F.trim(F.coalesce("text", F.lit(""))) != "") & (F.coalesce("conf", F.lit(-1)) >= 0))
+    row = F.struct("top", "left", "pos", c("text").alias("word"), "conf", (c("left") + c("width")).alias("right"), (c("top") + c("height")).alias("foot"))
+    pages = kept.groupBy("page_num").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    boxes = F.transform("r", lambda x: F.array(x["left"], x["top"], x["right"], x["foot"]))
+    return pages.select("page_num", F.transform("r", lambda x: x["word"]).alias("words"), boxes.alias("bboxes"), F.transform("r", lambda x: x["conf"]).alias("confidences"))
