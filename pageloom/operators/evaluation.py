@@ -89,6 +89,13 @@ def label_coverage_stats(pieces: DataFrame, masked: float = 0.95, labelled: floa
     return out.withColumn("violations", F.array_join(broken, ",")).drop("n", "m")
 
 
+def label_share_of_pages(pieces: DataFrame) -> DataFrame:
+    """(piece_label, pages, share): how many pages have a label on an open piece, and their share of all pages."""
+    total = pieces.agg(F.countDistinct("page_num").alias("all"))
+    each = pieces.where("piece_label IS NOT NULL").groupBy("piece_label").agg(F.countDistinct("page_num").alias("pages"))
+    return each.join(F.broadcast(total), F.lit(True)).select("piece_label", "pages", (F.col("pages") / F.col("all")).alias("share"))  # one row
+
+
 def page_summary(words: DataFrame) -> DataFrame:
     has = lambda x: F.bool_or(F.col("label") == x)
     return words.groupBy("page_num").agg(F.count("*").alias("n_words"), has("TITLE").alias("has_title"), has("INGREDIENT_LINE").alias("has_ingredients"), has("INSTRUCTION_STEP").alias("has_instructions"))

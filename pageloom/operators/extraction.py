@@ -75,6 +75,15 @@ def recipe_quality(recipes: DataFrame, snapshot: str) -> DataFrame:
     )
 
 
+def quality_difference(quality: DataFrame, snapshot: str, before: str, after: str) -> DataFrame:
+    """(metric, before, after, change) from two rows of recipe_quality; a snapshot that is not there gives nulls."""
+    metrics = ["recipes", "titled", "title_length", "ingredients", "instructions"]
+    tidy = F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics)))
+    rows = quality.select(snapshot, tidy)
+    side = lambda name: F.max(F.when(F.col(snapshot) == name, F.col("value")))
+    return rows.groupBy("metric").agg(side(before).alias("before"), side(after).alias("after")).withColumn("change", F.col("after") - F.col("before"))
+
+
 def apply_corrections(recipes: DataFrame, corrections: DataFrame) -> DataFrame:
     """Recipes with corrected fields in place (null: not corrected) and changes: names of the fields that differ.
 

@@ -63,6 +63,11 @@ def label_coverage_stats(spark, sf):
     return evaluation.label_coverage_stats(_pieces(spark, sf))
 
 
+@query(PIECES + " SELECT piece_label, count(DISTINCT page_num) AS pages, count(DISTINCT page_num) / (SELECT count(DISTINCT page_num) FROM pc) AS share FROM pc WHERE piece_label IS NOT NULL GROUP BY piece_label")
+def label_share_of_pages(spark, sf):
+    return evaluation.label_share_of_pages(_pieces(spark, sf))
+
+
 @query(TOK + "SELECT page_num, count(*) AS n_words, bool_or(label = 'TITLE') AS has_title, bool_or(label = 'INGREDIENT_LINE') AS has_ingredients, bool_or(label = 'INSTRUCTION_STEP') AS has_instructions FROM tok GROUP BY page_num")
 def page_summary(spark, sf):
     return evaluation.page_summary(_words(spark, sf))

@@ -61,6 +61,14 @@ def recipe_quality(spark, sf):
     return extraction.recipe_quality(_recipes(spark, sf).join(book, "page_num"), "book")
 
 
+@query(XL + """, q AS (SELECT page_num % 2 AS odd, count(*)::DOUBLE AS recipes, round(avg((trim(title) <> '')::INT), 6) AS titled, round(avg(length(title)) FILTER (trim(title) <> ''), 6) AS title_length, round(avg(len(ingredients)), 6) AS ingredients, round(avg(len(instructions)), 6) AS instructions FROM rw GROUP BY 1),
+u AS (UNPIVOT q ON recipes, titled, title_length, ingredients, instructions INTO NAME metric VALUE v) SELECT a.metric, a.v AS before, b.v AS after, b.v - a.v AS change FROM u a JOIN u b ON a.metric = b.metric AND a.odd = 0 AND b.odd = 1""")
+def recipe_quality_diff(spark, sf):
+    """Even pages are the snapshot before, odd pages the one after."""
+    r = _recipes(spark, sf).withColumn("snapshot", F.when(F.col("page_num") % 2 == 0, "before").otherwise("after"))
+    return extraction.quality_difference(extraction.recipe_quality(r, "snapshot"), "snapshot", "before", "after")
+
+
 _CORRECTED = XL + ", good AS (SELECT doc_id AS page_num, any_value(quality) AS q FROM labels WHERE quality = 1 GROUP BY doc_id), ap AS (SELECT coalesce(rw.page_num, good.page_num) AS page_num, CASE WHEN q IS NOT NULL AND rw.page_num IS NOT NULL THEN title || ' (checked)' ELSE title END AS new_title, CASE WHEN rw.page_num IS NULL THEN NULL WHEN q IS NOT NULL THEN 'title' ELSE '' END AS changes, q IS NOT NULL AND rw.page_num IS NOT NULL AS corrected FROM rw LEFT JOIN good ON rw.page_num = good.page_num)"
 
 

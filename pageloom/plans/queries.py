@@ -171,13 +171,16 @@ def label_spans(spark, sf):
     return lines.label_spans(_words(spark, sf))
 
 
-@query(TOK + f", a AS ({_SPANS.format(l='label')}), b AS ({_SPANS.format(l='label_pred')}), m AS (SELECT count(*) AS hits FROM a JOIN b USING (page_num, span_label, span_start, span_end) WHERE span_label <> 'O') SELECT hits, (SELECT count(*) FROM a WHERE span_label <> 'O') AS n_true, (SELECT count(*) FROM b WHERE span_label <> 'O') AS n_pred FROM m")
+@query(TOK + f", a AS ({_SPANS.format(l='label')}), b AS ({_SPANS.format(l='label_pred')}), m AS (SELECT count(*) AS hits FROM a JOIN b USING (page_num, span_label, span_start, span_end) WHERE span_label <> 'O') SELECT *, coalesce(hits / nullif(n_pred, 0), 0) AS precision_, coalesce(hits / nullif(n_true, 0), 0) AS recall_, coalesce(2 * hits / nullif(n_true + n_pred, 0), 0) AS f1 FROM (SELECT hits, (SELECT count(*) FROM a WHERE span_label <> 'O') AS n_true, (SELECT count(*) FROM b WHERE span_label <> 'O') AS n_pred FROM m)")
 def span_metrics(spark, sf):
     w = _words(spark, sf)
     keys = ["page_num", "span_label", "span_start", "span_end"]
     a = lines.label_spans(w).where("span_label <> 'O'").withColumn("t", F.lit(1))
     b = lines.label_spans(w, "label_pred").where("span_label <> 'O'").withColumn("p", F.lit(1))
-    return a.join(b, keys, "full").agg(F.count_if(F.col("t").isNotNull() & F.col("p").isNotNull()).alias("hits"), F.count("t").alias("n_true"), F.count("p").alias("n_pred"))
+    one = a.join(b, keys, "full").agg(F.count_if(F.col("t").isNotNull() & F.col("p").isNotNull()).alias("hits"), F.count("t").alias("n_true"), F.count("p").alias("n_pred"))
+    ratio = lambda x, y: F.coalesce(x / F.nullif(y, F.lit(0)), F.lit(0.0))
+    hits, n_true, n_pred = F.col("hits"), F.col("n_true"), F.col("n_pred")
+    return one.withColumns({"precision_": ratio(hits, n_pred), "recall_": ratio(hits, n_true), "f1": ratio(2 * hits, n_true + n_pred)})
 
 
 @query(TOK + "SELECT page_num, word_idx, CASE WHEN label = 'TITLE' THEN 'RECIPE_TITLE' ELSE label END AS label_v3 FROM tok")
