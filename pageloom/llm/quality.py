@@ -27,6 +27,8 @@ FOLDS, LEAST = 5, 50
 BLOCK = 8 << 20
 #: Bytes of text in a task that reads documents, at least: smaller partitions are put together.
 TASK = 64 << 20
+#: How hard the texts of a block are compressed before they are shuffled.
+LEVEL = 6
 #: Shards of grams, at least, and bytes of text for each.
 SHARDS, SHARD_BYTES = 64, 256 << 20
 #: Rows of a table by language or of document ids that are broadcast, at most.
@@ -212,7 +214,7 @@ def _packed(at_text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held in _blocks(batches, at_text):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
                 for b in held:
                     out.write_batch(b)
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
@@ -324,9 +326,10 @@ def _limits(docs: DataFrame, labels: DataFrame, quantile: float, order: int) ->
     rows = trusted_text(docs, labels)
     sizes = bounded(rows.groupBy("lang").agg(F.count("*").alias("texts")), LANGUAGES)
     apart = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(FOLDS)) == 0
-    trusted = stored(rows.join(sizes, "lang").select("lang", "text", "texts", ((F.col("texts") >= LEAST) & apart).alias("held")), "trusted")
-    model = train(trusted.where("NOT held").select("lang", "text"), order)
-    judges = trusted.where(F.col("held") | (F.col("texts") < LEAST)).select("lang", "text")
+    held = (F.col("texts") >= LEAST) & F.coalesce(apart, F.lit(False))
+    trusted = rows.join(sizes, "lang")
+    model = train(trusted.where(~held).select("lang", "text"), order)
+    judges = stored(trusted.where(held | (F.col("texts") < LEAST)).select("lang", "text"), "judges")
     known = cut(scored(judges, model, order=order).select(F.col("lang").alias("name"), "nll", "n"))
     means = bounded(known.groupBy("name").agg((F.sum("nll") / F.sum("n")).alias("mean")), LANGUAGES)
     of = known.join(means, "name").groupBy("name").agg(F.first("mean").alias("mean"), F.percentile_approx(_tempered("nll", "n", "mean"), quantile, 100000).alias("threshold"))
