@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, mixing, quality, secrets, simhash, tokens, toxicity, winnow
+from . import audit, chat, embed_dedup, mixing, quality, secrets, simhash, tokens, toxicity, winnow
 from .common import table_path
 
 
@@ -72,5 +72,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_embed_dedup, op4_token_ids, op5_mixing, op6_chat, op7_secrets, op8_packing, op9_winnowing, op10_simhash)}
-ORACLES: dict[str, str] = {}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.divergence(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = [
+    op1_quality, op2_toxicity, op3_embed_dedup, op4_token_ids, op5_mixing, op6_chat, op7_secrets, op8_packing, op9_winnowing, op10_simhash,
+    op12_divergence,
+]
+QUERIES = {f.__name__: f for f in OPERATORS}
+ORACLES: dict[str, str] = {"op12_divergence": audit.DIVERGENCE_SQL}
