@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, embed_dedup, mixing, quality, secrets, simhash, tokens, toxicity, winnow
+from . import audit, chat, embed_dedup, mixing, quality, secrets, simhash, tokens, toxicity, whitening, winnow
 from .common import table_path
 
 
@@ -76,9 +76,13 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 OPERATORS = [
     op1_quality, op2_toxicity, op3_embed_dedup, op4_token_ids, op5_mixing, op6_chat, op7_secrets, op8_packing, op9_winnowing, op10_simhash,
-    op12_divergence,
+    op12_divergence, op13_whitening,
 ]
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLES: dict[str, str] = {"op12_divergence": audit.DIVERGENCE_SQL}
