@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, embed_dedup, mixing, quality, secrets, simhash, tokens, toxicity, whitening, winnow
+from . import audit, chat, embed_dedup, lbl, mixing, quality, secrets, simhash, tokens, toxicity, whitening, winnow
 from .common import table_path
 
 
@@ -72,6 +72,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.divergence(table(spark, sf_dir, "documents"))
 
@@ -82,7 +86,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = [
     op1_quality, op2_toxicity, op3_embed_dedup, op4_token_ids, op5_mixing, op6_chat, op7_secrets, op8_packing, op9_winnowing, op10_simhash,
-    op12_divergence, op13_whitening,
+    op11_lm_scores, op12_divergence, op13_whitening,
 ]
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLES: dict[str, str] = {"op12_divergence": audit.DIVERGENCE_SQL}
