@@ -8,6 +8,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from .words import Words, inside
 WORD = inside((0x09, 0x0D), (0x20, 0x20))
 #: Text of a block of documents.
 BLOCK_BYTES = 8 << 20
+#: Words of blocks that meet in a shard, about.
+SHARD = 500_000
 #: Classes: the end, the most frequent words alone, unseen words, and the other words by their first two bytes (the heaviest
 #: beginnings and the rest) and by how often they occur (from so often).
 SINGLES, HEADS, BINS = 95, 31, (1, 2, 8, 64)
@@ -25,7 +28,7 @@ UNSEEN = SINGLES + 1
 CLASSES = UNSEEN + 1 + (HEADS + 1) * len(BINS)
 BEFORE = CLASSES  # what stands before a text
 #: Words of context, size of vectors, noise samples and tokens of a step, passes over the training texts.
-CONTEXT, SIZE, NOISE, STEP, ROUNDS, RATE = 5, 16, 64, 2048, 2, 0.15
+CONTEXT, SIZE, NOISE, STEP, ROUNDS, RATE = 5, 16, 32, 2048, 1, 0.15
 #: Models that are averaged at once.
 FAN = 64
 
@@ -62,7 +65,7 @@ class Model:
         e, n = self.context[before], len(before) - CONTEXT
         return sum(self.near[i] * e[CONTEXT - 1 - i : CONTEXT - 1 - i + n] for i in range(CONTEXT))
 
-    def log_shares(self, stream: np.ndarray, step: int = 4096) -> np.ndarray:
+    def log_shares(self, stream: np.ndarray, step: int = 1024) -> np.ndarray:
         """Normalised natural log-probabilities of stream[CONTEXT:], by products of whole batches with all classes' vectors."""
         single = Model(*(p.astype("f4") for p in self.parts()))
         out = np.empty(len(stream) - CONTEXT, "f4")
@@ -87,7 +90,7 @@ def contrast(model: Model, stream: np.ndarray, noise: np.ndarray, expected: np.n
     now, e = stream[CONTEXT:], model.context[stream]
     n = len(now)
     h = model.predicted(stream)
-    live = (now != BEFORE).astype("f8")
+    live = (now != BEFORE).astype(e.dtype)
     own = np.where(now == BEFORE, 0, now)
     zp = np.einsum("ij,ij->i", h, model.target[own]) + model.bias[own] - expected[own]
     zn = h @ model.target[noise].T + (model.bias - expected)[noise]
@@ -120,10 +123,10 @@ def as_stream(classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Trainer:
-    """Adagrad steps over streams of classes."""
+    """Adagrad steps over streams of classes, in single precision, from a copy of a model."""
 
     def __init__(self, model: Model, share: np.ndarray, seed: int) -> None:
-        self.model, self.expected = model, np.log(NOISE * share)
+        self.model, self.expected = Model(*(p.astype("f4") for p in model.parts())), np.log(NOISE * share).astype("f4")
         self.edges, self.random = np.cumsum(share), np.random.default_rng(seed)
         self.squares = [np.full_like(p, 1e-4) for p in model.parts()]
         self.tokens = 0
@@ -187,99 +190,189 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
+def _levels(c: np.ndarray) -> np.ndarray:
+    """The bin of each count, -1 below the first."""
+    return np.searchsorted(BINS, c, side="right") - 1
+
+
+def _heads(words: Words) -> np.ndarray:
+    """The first two bytes of each word as a number (a word of one byte: that byte; the end: 0)."""
+    first = words.raw[words.starts].astype(np.int64)
+    return np.where(words.lengths > 1, first << 8 | words.raw[words.starts + 1], np.where(words.lengths > 0, first, 0))
+
+
 @dataclass
 class Counts:
-    """What all training texts tell: tokens, different words, occurrences by class, and by class as a text that isn't counted sees it."""
+    """What all training texts tell: tokens, different words, the words and beginnings with classes of their own, occurrences by
+    class, and each class's share as a text that isn't counted meets it."""
 
     tokens: int
     words: int
+    single: list[str]  # the end and the most frequent words
+    heads: list[int]
     mass: np.ndarray
     share: np.ndarray
 
+    def classes(self, names: pa.Array, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, unseen_as) of words that occur c times: unseen_as is the class that a word would have if one of its occurrences
+        weren't counted, as a text outside the training texts meets it."""
+        single = pc.index_in(names, value_set=pa.array(self.single, pa.string())).fill_null(-1).to_numpy()
+        place = np.full(1 << 16, len(self.heads))
+        place[self.heads] = np.arange(len(self.heads))
+        place = place[_heads(Words.of(names))]
+        of = lambda c: np.where(single >= 0, single, np.where(c < BINS[0], UNSEEN, UNSEEN + 1 + place * len(BINS) + _levels(c)))
+        return of(c), of(c - 1)
+
 
-def word_classes(counts: DataFrame) -> tuple[DataFrame, Counts]:
-    """(word, c, class, unseen_as) of each word of counts (word, c), and the totals. unseen_as is the class that the word would have
-    if one of its occurrences weren't counted: what a text outside the training texts meets. c is 0 for words outside them."""
-    spark = counts.sparkSession
-    seen = counts.where("c > 0")
-    tokens, words = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    single = [r.word for r in seen.where("word <> ''").orderBy(F.desc("c"), "word").limit(SINGLES).collect()]
-    single = F.broadcast(spark.createDataFrame([("", 0), *((w, k + 1) for k, w in enumerate(single))], "word string, single int"))
-    head = F.hex(F.substring(F.encode("word", "UTF-8"), 1, 2)).alias("head")
-    rare = counts.join(single, "word", "left").withColumn("head", head)
-    heads = rare.where("single is null and c > 0").groupBy("head").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "head").limit(HEADS).collect()
-    heads = F.broadcast(spark.createDataFrame([(r.head, k) for k, r in enumerate(heads)], "head string, place int"))
-
-    def of(c: Column) -> Column:
-        level = sum((c >= b).cast("int") for b in BINS) - 1
-        return F.coalesce("single", F.when(c < BINS[0], UNSEEN).otherwise(UNSEEN + 1 + F.coalesce("place", F.lit(HEADS)) * len(BINS) + level)).cast("short")
-
-    found = cut(rare.join(heads, "head", "left").select("word", "c", of(F.col("c")).alias("class"), of(F.col("c") - 1).alias("unseen_as")))
+def _dealt(shards: int):
+    """A block's different words by shard, with their places in the block. Rows: block, words, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                names, n = b.column(1)[k].values, b.column(2)[k].values
+                shard = (Words.of(names).hashed() % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                names, n, place, shard = names.take(pa.array(order)), n.take(pa.array(order)), pa.array(order.astype(np.int32)), shard[order]
+                edges = np.flatnonzero(np.diff(shard, prepend=-1))
+                cuts = pa.array(np.append(edges, len(shard)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, x) for x in (place, names, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[edges]), pa.repeat(b.column(0)[k], len(edges)), *lists], ["shard", "block", "place", "words", "n"])
+
+    return run
+
+
+ANSWERS = "block long, place array<int>, c array<long>, word string, head int, level int, unseen int, n long, words long"
+_ANSWERS = pa.schema(
+    [("block", pa.int64()), ("place", pa.list_(pa.int32())), ("c", pa.list_(pa.int64())), ("word", pa.string())]
+    + [(x, pa.int32()) for x in ("head", "level", "unseen")] + [("n", pa.int64()), ("words", pa.int64())]
+)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shard by shard, how often each word of a block is in the training texts of all blocks; beside these answers (block, place,
+    c) the shard's most frequent words (word, n), and its words and occurrences by beginning and bin. Sorted by shard."""
+
+    def rows(**columns: pa.Array) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)).cast(f.type) for f in _ANSWERS], schema=_ANSWERS)
+
+    def answers(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = pa.concat_arrays([h.column(3).flatten() for h in held]).dictionary_encode()
+        number, n = code.indices.to_numpy(), np.concatenate([h.column(4).flatten().to_numpy() for h in held])
+        c = np.bincount(number, weights=n, minlength=len(code.dictionary)).astype(np.int64)
+        at, each = 0, c[number]
+        for h in held:
+            size = len(h.column(2).flatten())
+            edges = h.column(2).offsets.to_numpy()
+            lists = pa.ListArray.from_arrays(pa.array((edges - edges[0]).astype(np.int32)), pa.array(each[at : at + size]))
+            yield rows(block=h.column(1), place=h.column(2), c=lists)
+            at += size
+        seen = np.flatnonzero(c)
+        names, c = code.dictionary.take(pa.array(seen)), c[seen]
+        top = pc.select_k_unstable(pa.table({"n": c, "w": names}), SINGLES + 1, [("n", "descending"), ("w", "ascending")])
+        yield rows(word=names.take(top), n=pa.array(c[top.to_numpy()]))
+        key, counts = np.unique((_heads(Words.of(names)) * 8 + _levels(c)) * 8 + _levels(c - 1) + 1, return_inverse=True)
+        n, words = np.bincount(counts, weights=c, minlength=len(key)), np.bincount(counts, minlength=len(key))
+        yield rows(head=pa.array(key >> 6), level=pa.array(key >> 3 & 7), unseen=pa.array((key & 7) - 1), n=pa.array(n.astype(np.int64)), words=pa.array(words))
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        shard = b.column(0).to_numpy()
+        for a, z in pairwise([0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]):
+            if held and a < z and held[-1].column(0)[0].as_py() != shard[a]:
+                yield from answers(held)
+                held = []
+            if a < z:
+                held.append(b.slice(a, z - a))
+    if held:
+        yield from answers(held)
+
+
+def totals(answers: DataFrame) -> Counts:
+    """What the shards' own totals (see _met) come to; SINGLES words and CLASSES sums reach the driver."""
+    heads = answers.where("head is not null").select("head", "level", "unseen", "n", "words")
+    tokens, words = heads.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    best = answers.where("word is not null").select("word", "n")
+    best = best.where("word = ''").collect() + best.where("word <> ''").orderBy(F.desc("n"), "word").limit(SINGLES).collect()
+    single = [r.word for r in best]
+    if best:  # these words don't count by beginning
+        n = np.array([r.n for r in best])
+        away = zip(_heads(Words.of(pa.array(single))).tolist(), _levels(n).tolist(), _levels(n - 1).tolist(), (-n).tolist(), strict=True)
+        heads = heads.drop("words").unionByName(answers.sparkSession.createDataFrame(list(away), "head int, level int, unseen int, n long"))
+    heads = cut(heads.groupBy("head", "level", "unseen").agg(F.sum("n").alias("n")))
+    first = [r.head for r in heads.groupBy("head").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "head").limit(HEADS).collect()]
+    place = F.coalesce(F.array_position(F.lit(first).cast("array<int>"), F.col("head")) - 1, F.lit(-1))
+    place = F.when(place < 0, len(first)).otherwise(place)
+    of = lambda level: F.when(F.col(level) < 0, UNSEEN).otherwise(UNSEEN + 1 + place * len(BINS) + F.col(level))
     mass, share = np.zeros(CLASSES), np.ones(CLASSES)
-    for column, out in (("class", mass), ("unseen_as", share)):
-        for r in found.where("c > 0").groupBy(column).agg(F.sum("c").alias("n")).collect():  # CLASSES rows
-            out[r[column]] += r.n
-    return found, Counts(tokens, words, mass, share / share.sum())
+    for column, out in (("level", mass), ("unseen", share)):
+        for r in heads.groupBy(of(column).alias("class")).agg(F.sum("n").alias("n")).collect():
+            out[r["class"]] += r.n
+        out[: len(best)] += [r.n for r in best]
+    return Counts(tokens, words, ["", *single] if "" not in single else single, first, mass, share / share.sum())
 
 
 def _coded(counts: Counts):
     """Blocks with their tokens' classes (as they are and as unseen), and by document: tokens, known ones, the base score, and
-    the log10 share of the words within their classes. Rows: block, place (-1: the block itself), c, class, unseen_as, doc_id,
-    held_out, lengths, tokens; sorted by block and place."""
-
-    def block(key: int, row: pa.RecordBatch, found: list[np.ndarray]) -> pa.RecordBatch:
-        place, c, kind, other = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.empty(len(place), np.int64)
-        order[place] = np.arange(len(place))
-        c, kind, other = c[order].astype("f8"), kind[order], other[order]
-        tokens, lengths = _from_planes(row.column(8)[0].as_py()), row.column(7)[0].values.to_numpy()
+    the log10 share of the words within their classes. Rows: block, place, c, doc_id, held_out, lengths, words, tokens; sorted by
+    block, first the row with its tokens, then those with answers."""
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        row, answers = held[0].slice(0, 1), [held[0].slice(1), *held[1:]]
+        names = row.column(6)[0].values
+        c = np.zeros(len(names), np.int64)
+        for h in answers:
+            c[h.column(1).flatten().to_numpy()] = h.column(2).flatten().to_numpy()
+        kind, other = counts.classes(names, c)
+        tokens, lengths = _from_planes(row.column(7)[0].as_py()), row.column(5)[0].values.to_numpy()
         edges = np.cumsum(lengths) - lengths
         total = lambda x: np.add.reduceat(x[tokens], edges)
         base = total(np.log10(c + 1)) - lengths * np.log10(counts.tokens + counts.words + 1)
         within = np.where(c > 0, np.log10(np.maximum(c, 1)) - np.log10(np.maximum(counts.mass[kind], 1)), 0.0)
-        lists = _lists(row.column(5)[0].values, row.column(6)[0].values, pa.array(lengths), pa.array(total((c > 0).astype(np.int64))), pa.array(base), pa.array(total(within)))
-        classes = [pa.array([x[tokens].astype(np.uint8).tobytes()]) for x in (kind, other)]
-        return pa.RecordBatch.from_arrays([pa.array([key]), *lists, *classes], ["block", "doc_id", "held_out", "lengths", "known", "base", "within", "class", "unseen_as"])
+        lists = _lists(row.column(3)[0].values, row.column(4)[0].values, pa.array(lengths), pa.array(total((c > 0).astype(np.int64))), pa.array(base), pa.array(total(within)))
+        classes = [pa.array([x.astype(np.uint8)[tokens].tobytes()]) for x in (kind, other)]
+        return pa.RecordBatch.from_arrays([row.column(0), *lists, *classes], ["block", "doc_id", "held_out", "lengths", "known", "base", "within", "class", "unseen_as"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, row, found = None, None, []
+        held: list[pa.RecordBatch] = []
         for b in batches:
             keys = b.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            for a, z in pairwise(edges):
-                if a == z:
-                    continue
-                part = b.slice(a, z - a)
-                if keys[a] != key:
-                    if row is not None:
-                        yield block(key, row, found)
-                    key, row, found = int(keys[a]), part.slice(0, 1), []
-                    part = part.slice(1)
-                found.append([part.column(k).to_numpy() for k in (1, 2, 3, 4)])
-        if row is not None:
-            yield block(key, row, found)
+            for a, z in pairwise([0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]):
+                if held and a < z and held[-1].column(0)[0].as_py() != keys[a]:
+                    yield block(held)
+                    held = []
+                if a < z:
+                    held.append(b.slice(a, z - a))
+        if held:
+            yield block(held)
 
     return run
 
 
-def coded_blocks(docs: DataFrame) -> tuple[DataFrame, Counts, str]:
-    """(blocks, totals, path of the stored blocks) of docs (doc_id, held_out, text); see _coded. The texts are read once: blocks are
-    stored with their tokens as numbers, their different words meet the counts of all blocks by word, and come back by block."""
+def coded_blocks(docs: DataFrame) -> tuple[DataFrame, Counts]:
+    """(blocks, totals) of docs (doc_id, held_out, text); see _coded. The texts are read once: blocks are stored with their tokens
+    as numbers, their different words meet those of all blocks in shards of about SHARD words, and the counts come back by block.
+    A word is in its shard once for each block that has it."""
     spark = docs.sparkSession
     key, held = docs.schema["doc_id"].dataType.simpleString(), "held_out array<boolean>, lengths array<int>"
-    first, second = table_path(spark, "lm-words"), table_path(spark, "lm-classes")
+    paths = [table_path(spark, f"lm-{x}") for x in ("words", "answers", "classes")]
     schema = f"block long, doc_id array<{key}>, {held}, words array<string>, n array<long>, tokens binary"
-    docs.mapInArrow(_blocks, schema).write.parquet(first)
-    blocks = spark.read.schema(schema).parquet(first)
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.n").alias("n"))
-    classes, counts = word_classes(words.groupBy("word").agg(F.sum("n").alias("c")))
-    answers = words.select("block", "place", "word").join(classes, "word").select("block", "place", "c", "class", "unseen_as")
-    whole = blocks.select("block", F.lit(-1).alias("place"), "doc_id", "held_out", "lengths", "tokens")
-    rows = whole.unionByName(answers, allowMissingColumns=True).select("block", "place", "c", "class", "unseen_as", "doc_id", "held_out", "lengths", "tokens")
+    docs.mapInArrow(_blocks, schema).write.parquet(paths[0])
+    blocks = spark.read.schema(schema).parquet(paths[0])
+    words = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    dealt = blocks.select("block", "words", "n").mapInArrow(_dealt(max(1, -(-words // SHARD))), "shard long, block long, place array<int>, words array<string>, n array<long>")
+    dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_met, ANSWERS).write.parquet(paths[1])
+    answers = spark.read.schema(ANSWERS).parquet(paths[1])
+    counts = totals(answers)
+    whole = blocks.select("block", F.lit(0).alias("answer"), "doc_id", "held_out", "lengths", "words", "tokens")
+    rows = whole.unionByName(answers.where("block is not null").select("block", F.lit(1).alias("answer"), "place", "c"), allowMissingColumns=True)
     schema = f"block long, doc_id array<{key}>, {held}, known array<long>, base array<double>, within array<double>, class binary, unseen_as binary"
-    rows.repartition("block").sortWithinPartitions("block", "place").mapInArrow(_coded(counts), schema).write.parquet(second)
-    remove(spark, first)
-    return spark.read.schema(schema).parquet(second), counts, second
+    rows = rows.repartition("block").sortWithinPartitions("block", "answer").select("block", "place", "c", "doc_id", "held_out", "lengths", "words", "tokens")
+    rows.mapInArrow(_coded(counts), schema).write.parquet(paths[2])
+    for p in paths[:2]:
+        remove(spark, p)
+    return spark.read.schema(schema).parquet(paths[2]), counts
 
 
 def _fitted(model: Model, share: np.ndarray):
@@ -291,7 +384,7 @@ def _fitted(model: Model, share: np.ndarray):
             for k in range(b.num_rows):
                 lengths, kept = b.column(2)[k].values.to_numpy(), ~b.column(1)[k].values.to_numpy(zero_copy_only=False)
                 classes = np.frombuffer(b.column(3)[k].as_py(), np.uint8)[np.repeat(kept, lengths)]
-                t = t or Trainer(Model.unpack(model.pack()), share, b.column(0)[k].as_py() % 2**32)
+                t = t or Trainer(model, share, b.column(0)[k].as_py() % 2**32)
                 t.learn(as_stream(classes, lengths[kept])[0])
         if t and t.tokens:
             yield pa.RecordBatch.from_arrays([pa.array([float(t.tokens)]), pa.array([t.model.pack()])], ["tokens", "model"])
@@ -363,7 +456,7 @@ def language_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks, counts, _ = coded_blocks(rows)
+    blocks, counts = coded_blocks(rows)
     model = train(blocks, counts.share, rounds)
     out = scored(blocks, model, docs.schema["doc_id"].dataType.simpleString())
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -47,6 +47,16 @@ class Words:
         self.counts = np.diff(np.searchsorted(first, edges))
         self.rows = np.repeat(np.arange(len(texts)), self.counts)
 
+    @staticmethod
+    def of(names: pa.Array) -> Words:
+        """Given words, as they are, in the place of those of texts."""
+        names = names.cast(pa.large_string())
+        edges = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+        out = object.__new__(Words)
+        out.raw = np.concatenate([np.frombuffer(names.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]], np.zeros(8, np.uint8)])
+        out.starts, out.lengths, out.rows, out.counts = edges[:-1] - edges[0], np.diff(edges), None, None
+        return out
+
     def take(self, keep: np.ndarray) -> Words:
         """Some of the words."""
         out = object.__new__(Words)
