@@ -18,7 +18,7 @@ from .words import Words, inside
 
 WORD = inside((0x09, 0x0D), (0x20, 0x20))
 #: Text of a block of documents.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Words of blocks that meet in a shard, about.
 SHARD = 500_000
 #: Classes: the end, the most frequent words alone, unseen words, and the other words by their first two bytes (the heaviest
@@ -269,6 +269,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(block=h.column(1), place=h.column(2), c=lists)
             at += size
         seen = np.flatnonzero(c)
+        if not len(seen):
+            return
         names, c = code.dictionary.take(pa.array(seen)), c[seen]
         top = pc.select_k_unstable(pa.table({"n": c, "w": names}), SINGLES + 1, [("n", "descending"), ("w", "ascending")])
         yield rows(word=names.take(top), n=pa.array(c[top.to_numpy()]))
