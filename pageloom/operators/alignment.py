@@ -6,21 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
+from pageloom.operators import spans
 
 # The least likeness of a match, and likenesses that tell kinds of differences apart.
 MATCH, SAME, CLOSE = 0.7, 0.95, 0.75
 
 
-def _best_run(w: Column, tokens: Column, cursor: Column) -> Column:
-    """The best run of words from the cursor on: (minus likeness, start, len), least first; null if there is none."""
-    distinct, m = F.array_distinct(tokens), F.size(tokens)
-    low = F.greatest(F.lit(1), m - 2)
-    starts = F.when((m > 0) & (F.size(w) - cursor >= low), F.sequence(cursor, F.size(w) - low)).otherwise(F.array().cast("array<int>"))
-    one = lambda s, n: F.struct((-T.overlap(distinct, T.word_set(F.array_join(F.slice(w, s + 1, n), " ")))).alias("s"), s.alias("start"), n.alias("len"))
-    at = lambda s: F.transform(F.sequence(low, F.least(m + 3, F.size(w) - s)), lambda n: one(s, n))
-    return F.array_min(F.flatten(F.transform(starts, at)))
-
-
 def _page_words(words: DataFrame) -> DataFrame:
     pages = words.groupBy("page_num").agg(F.array_sort(F.collect_list(F.struct("word_idx", "word"))).alias("w"))
     return pages.select("page_num", F.transform("w", lambda x: T.matching(x["word"])).alias("w"))
@@ -33,39 +24,56 @@ def _tokens(text: str) -> Column:
 def align_text_to_span(words: DataFrame, texts: DataFrame, least: float = MATCH) -> DataFrame:
     """(page_num, text_id, start, end, score) for each of texts (page_num, text_id, text): the run of words whose word set is
     most like the text's (shared words by the larger set). Runs are 2 words shorter to 3 longer than the text; of equals the
-    first, then the shortest. start and end are -1 below `least`, for texts without words, and on pages without words. A text
-    meets the words of its page alone, as arrays.
+    first, then the shortest. start and end are -1 below `least`, for texts without words, and on pages without words. A page's
+    texts meet its words once, in an index of the places of each word. Null texts have no words; rows repeat as in texts; a
+    null page_num meets no page; empty tables give none; other columns are ignored.
     """
     c = F.col
-    both = texts.select("page_num", "text_id", _tokens("text").alias("tokens")).join(_page_words(words), "page_num", "left")
-    w = F.coalesce("w", F.array().cast("array<string>"))
-    found = both.withColumn("b", _best_run(w, c("tokens"), F.lit(0))).withColumn("score", F.coalesce(-c("b.s"), F.lit(0.0)))
-    fits = c("score") >= least
-    return found.select("page_num", "text_id", F.when(fits, c("b.start")).otherwise(-1).alias("start"), F.when(fits, c("b.start") + c("b.len")).otherwise(-1).alias("end"), "score")
-
-
-def curated_labels(words: DataFrame, fields: DataFrame, least: float = MATCH) -> DataFrame:
-    """(page_num, spans, coverage): fields (page_num, field_no, label, text) of a page found one after another in its words.
-
-    Each field is looked for behind the one found before it; a field that is not found leaves the place as it was. spans holds
-    (start, end, label, score) of the fields found; coverage is their share of all fields. A fold over a page's fields: a page
-    is the unit. Fields without words are not found.
+    tokens = F.coalesce(_tokens("text"), F.array().cast("array<string>"))
+    wanted = texts.groupBy("page_num").agg(F.collect_list(F.struct("text_id", tokens.alias("tokens"))).alias("texts"))
+    kind = lambda name: texts.schema[name].dataType.simpleString()
+    both = wanted.join(_page_words(words), "page_num", "left").select("page_num", "w", "texts")
+    return both.mapInArrow(spans.best_spans(least), f"page_num {kind('page_num')}, text_id {kind('text_id')}, start int, end int, score double").select(c("page_num"), "text_id", "start", "end", "score")
+
+
+def curated_labels(words: DataFrame, fields: DataFrame, least: float = MATCH, least_coverage: float = 0.0) -> DataFrame:
+    """(page_num, spans, coverage, matches, labels): fields (page_num, field_no, label, text) of a page found one after another
+    in its words (page_num, word_idx, word).
+
+    Each field is looked for behind the one found before it (see align_text_to_span for the run that is taken); a field that is
+    not found leaves the place as it was. spans holds (start, end, label, score) of the fields found, matches a row for each
+    field (score 0 where it isn't found), labels the words' labels, O outside fields. coverage is the share of fields found;
+    pages below least_coverage, and pages without words, are left out. Fields without words, null texts too, are not found.
+    A page is the unit: its fields follow each other. Empty tables give none; other columns are ignored.
     """
     c = F.col
-    wanted = fields.groupBy("page_num").agg(F.array_sort(F.collect_list(F.struct("field_no", "label", _tokens("text").alias("tokens")))).alias("fields"))
-    span = "array<struct<start:int,end:int,label:string,score:double>>"
-    first = F.struct(F.lit(0).alias("cursor"), F.array().cast(span).alias("spans"))
-
-    def step(state: Column, field: Column) -> Column:
-        best = F.array(_best_run(c("w"), field["tokens"], state["cursor"]))
-        found = F.filter(best, lambda b: b["s"] <= -least)
-        made = F.transform(found, lambda b: F.struct(b["start"].alias("start"), (b["start"] + b["len"]).alias("end"), field["label"].alias("label"), (-b["s"]).alias("score")))
-        cursor = F.coalesce(F.get(made, F.lit(0))["end"], state["cursor"])
-        return F.struct(cursor.alias("cursor"), F.concat(state["spans"], made.cast(span)).alias("spans"))
-
-    both = wanted.join(_page_words(words), "page_num")
-    out = both.select("page_num", "fields", F.aggregate("fields", first, step, lambda s: s["spans"]).alias("spans"))
-    return out.select("page_num", "spans", (F.size("spans") / F.size("fields")).alias("coverage"))
+    tokens = F.coalesce(_tokens("text"), F.array().cast("array<string>"))
+    row = F.struct(c("field_no").cast("int").alias("field_no"), "label", tokens.alias("tokens"))
+    wanted = fields.groupBy("page_num").agg(F.array_sort(F.collect_list(row)).alias("fields"))
+    both = wanted.join(_page_words(words), "page_num").select("page_num", "w", "fields")
+    kind = fields.schema["page_num"].dataType.simpleString()
+    found = both.mapInArrow(spans.matched_in_order(least, "O"), f"page_num {kind}, matches {spans.MATCHES}, labels array<string>")
+    hits = F.filter("matches", lambda m: m["matched"])
+    out = found.select(
+        "page_num", F.transform(hits, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["label"].alias("label"), m["score"].alias("score"))).alias("spans"),
+        (F.size(hits) / F.size("matches")).alias("coverage"), "matches", "labels",
+    )
+    return out.where(c("coverage") >= least_coverage)
+
+
+def match_statistics(labelled: DataFrame) -> DataFrame:
+    """(label, fields, matched, mean_score) over the fields of curated_labels' pages: how many there are and how many are found,
+    and the mean score of those found (null if none)."""
+    m = labelled.select(F.inline("matches"))
+    return m.groupBy("label").agg(F.count("*").alias("fields"), F.count_if("matched").alias("matched"), F.avg(F.when(F.col("matched"), F.col("score"))).alias("mean_score"))
+
+
+def coverage_summary(labelled: DataFrame, least_coverage: float = 0.5) -> DataFrame:
+    """One row on curated_labels' pages: how many there are, are kept and skipped at this coverage, and the mean, least and most
+    coverage (null without pages)."""
+    c = F.col("coverage")
+    kept = F.count_if(c >= least_coverage)
+    return labelled.agg(F.count("*").alias("pages"), kept.alias("kept"), (F.count("*") - kept).alias("skipped"), F.avg(c).alias("mean"), F.min(c).alias("least"), F.max(c).alias("most"))
 
 
 def find_word_sequence(words: DataFrame, wanted: DataFrame, longest: int = 8) -> DataFrame:

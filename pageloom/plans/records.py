@@ -192,15 +192,33 @@ def align_text_to_span(spark, sf):
     return alignment.align_text_to_span(_words(spark, sf), _phrases(spark, sf))
 
 
-@query()
-def curated_labels(spark, sf):
-    """Title, ingredients and instructions of each page's recipe, found again in its words (a fold; see tests/test_alignment.py)."""
+def _curated(spark, sf):
+    """The words of each page, with all fields of its recipe found again in them."""
     r = _recipes(spark, sf)
     field = lambda no, label, text: F.struct(no.cast("int").alias("field_no"), F.lit(label).alias("label"), text.alias("text"))
-    several = lambda name, label, at: F.transform(F.slice(name, 1, 3), lambda x, i: field(i + at, label, x))
-    rows = F.concat(F.array(field(F.lit(0), "TITLE", c("title"))), several("ingredients", "INGREDIENT_LINE", 1), several("instructions", "INSTRUCTION_STEP", 10))
-    out = alignment.curated_labels(_words(spark, sf), r.select("page_num", F.inline(rows)).where("text <> ''"))
-    return out.select("page_num", F.size("spans").alias("n_found"), "coverage")
+    several = lambda name, label, at: F.transform(name, lambda x, i: field(i + at, label, x))
+    rows = F.concat(F.array(field(F.lit(0), "TITLE", c("title"))), several("ingredients", "INGREDIENT_LINE", 1), several("instructions", "INSTRUCTION_STEP", F.size("ingredients") + 1))
+    return alignment.curated_labels(_words(spark, sf), r.select("page_num", F.inline(rows)).where("text <> ''"))
+
+
+@query()
+def curated_labels(spark, sf):
+    """Fields follow each other on a page, so there is no SQL: see tests/test_alignment.py."""
+    count = lambda label: F.size(F.filter("labels", lambda x: x == label))
+    return _curated(spark, sf).select(
+        "page_num", F.size("matches").alias("n_fields"), F.size("spans").alias("n_found"), "coverage", count("TITLE").alias("title_words"),
+        count("INGREDIENT_LINE").alias("ingredient_words"), count("INSTRUCTION_STEP").alias("instruction_words"), count("O").alias("other_words"),
+    )
+
+
+@query()
+def curated_match_statistics(spark, sf):
+    return alignment.match_statistics(_curated(spark, sf))
+
+
+@query()
+def curated_coverage(spark, sf):
+    return alignment.coverage_summary(_curated(spark, sf))
 
 
 @query(TOK + r""", pl AS (SELECT page_num, word_idx, regexp_replace(lower(word), '[.,;:]+$', '') AS w FROM tok), sq AS (SELECT page_num, list(w ORDER BY word_idx) AS q FROM pl WHERE word_idx BETWEEN 14 AND 16 GROUP BY page_num),

@@ -1,12 +1,17 @@
 """Folds without SQL, on small cases against plain loops."""
 
 import re
+import time
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
-from pageloom.operators import alignment, relabel
+from pageloom.operators import alignment, relabel, spans
+from pageloom.plans import records as records_plans
+from pageloom.plans.extraction import _recipes
+from pageloom.plans.queries import _words
 from pageloom.sources import readers
 
 
@@ -46,7 +51,68 @@ def test_curated_labels(spark):
                 cursor = hit[1]
         assert [(s.start, s.end, s.label, round(s.score, 9)) for s in got[p].spans] == want
         assert got[p].coverage == len(want) / len(ts)
+        assert [(m.field_no, m.matched) for m in got[p].matches] == [(k, any(k2 == k for k2 in found)) for k in range(len(ts)) for found in [found_fields(ts, pages[p])]]
+        labels = ["O"] * len(pages[p])
+        for start, end, label, _ in want:
+            labels[start:end] = [label] * (end - start)
+        assert got[p].labels == labels
     assert alignment.curated_labels(words, rows.limit(0)).count() == 0
+    assert alignment.curated_labels(words.limit(0), rows).count() == 0
+    odd = rows.unionByName(spark.createDataFrame([(0, 90, "O", None), (99, 0, "TITLE", "no page"), (None, 0, "TITLE", "x")], rows.schema))
+    again = {x.page_num: x for x in alignment.curated_labels(words, odd).collect()}
+    assert set(again) == set(pages) and again[0].spans == got[0].spans and not again[0].matches[-1].matched
+    kept = alignment.curated_labels(words, rows, least_coverage=0.5)
+    assert {x.page_num for x in kept.collect()} == {p for p in pages if got[p].coverage >= 0.5}
+    stats = {x.label: x for x in alignment.match_statistics(alignment.curated_labels(words, rows)).collect()}
+    assert stats["INGREDIENT_LINE"].fields == sum(len(ts) - 1 for ts in fields.values())
+    summary = alignment.coverage_summary(alignment.curated_labels(words, rows), 0.5).first()
+    assert (summary.pages, summary.kept + summary.skipped) == (6, 6) and summary.least == min(x.coverage for x in got.values())
+
+
+def found_fields(texts, words):
+    cursor, out = 0, []
+    for k, t in enumerate(texts):
+        hit = brute_span(t, words, cursor) if norm(t) else None
+        if hit:
+            out.append(k)
+            cursor = hit[1]
+    return out
+
+
+def test_best_run_is_that_of_all_runs():
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        words = [norm(x) for x in r.choice(["a", "b", "c", "d e", "...", "f", "a b c"], int(r.integers(0, 200)))]
+        text = " ".join(r.choice(["a", "b", "c", "d", "e", "zz"], int(r.integers(1, 9))))
+        cursor = int(r.integers(0, len(words) + 1))
+        want = brute_span(text, words, cursor)
+        got = spans.PageIndex(words).best(text.split(), cursor, 0.7)
+        assert got == want
+
+
+def test_a_long_page_takes_little_time():
+    words = [f"w{k % 50}" for k in range(20_020)]
+    index, begin = spans.PageIndex(words), time.process_time()
+    for k in range(200):
+        assert index.best(words[k * 90 : k * 90 + 6], 0, 0.7)[2] == 1.0
+        assert index.best([f"w{k % 50}", "x", "y"], 0, 0.7) is None
+    assert time.process_time() - begin < 20
+
+
+def test_curated_query(spark):
+    """The query's rows on short pages, against loops over the words and recipes that it reads."""
+    sf = "/root/testdata/sf0.001"
+    short = {p: sorted((w.word_idx, w.word) for w in ws) for p, ws in groupby(sorted(_words(spark, sf).collect(), key=lambda w: w.page_num), lambda w: w.page_num) for ws in [list(ws)] if len(ws) < 120}
+    got = {x.page_num: x for x in records_plans.curated_labels(spark, sf).collect()}
+    checked = 0
+    for x in _recipes(spark, sf).collect():
+        if x.page_num in short:
+            texts = [t for t in [x.title, *x.ingredients, *x.instructions] if t]
+            if texts:
+                found = found_fields(texts, [w for _, w in short[x.page_num]])
+                assert (got[x.page_num].n_fields, got[x.page_num].n_found) == (len(texts), len(found))
+                checked += 1
+    assert checked > 20
 
 
 def likeness(a, b):
