@@ -159,16 +159,6 @@ def bbox_ranges(words: DataFrame, split: str, most: int = 1000) -> DataFrame:
     return page.groupBy(split).agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.count_if((F.col("lo") < 0) | (F.col("hi") > most)).alias("pages_out"))
 
 
-def drop_reasons(pages: DataFrame, known: list[str], least: int = 5) -> DataFrame:
-    """Pages (words, labels, height) with drop_reason: empty, mismatch, short, unknown label or bad box; null where a page is kept."""
-    n = F.size("words")
-    reason = (
-        F.when(F.coalesce(n, F.lit(0)) == 0, "empty").when(n != F.size("labels"), "mismatch").when(n < least, "short")
-        .when(F.exists("labels", lambda x: ~x.isin(known)), "unknown_label").when(F.coalesce(F.col("height"), F.lit(0)) <= 0, "bad_bbox")
-    )
-    return pages.withColumn("drop_reason", reason)
-
-
 def every_nth(pages: DataFrame, n: int, most: int = 20) -> DataFrame:
     """The first, and then every n-th page by page_num, `most` in all."""
     first = pages.orderBy("page_num").limit(n * most)

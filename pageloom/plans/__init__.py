@@ -1,6 +1,6 @@
 """Operators as queries; importing a module of this package registers its queries."""
 
-from . import evaluation, extraction, incremental, labelling, records, sections, selection, titles
+from . import datasets, evaluation, extraction, incremental, labelling, records, sections, selection, titles
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "extraction", "incremental", "labelling", "records", "sections", "selection", "titles"]
+__all__ = ["ORACLES", "QUERIES", "datasets", "evaluation", "extraction", "incremental", "labelling", "records", "sections", "selection", "titles"]

@@ -275,11 +275,6 @@ def gate_candidates(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id", "left_semi").withColumnRenamed("doc_id", "page_num")
 
 
-@query("SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS status, count(*) AS n_events FROM events GROUP BY user_id")
-def session_status(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("n_events"))
-
-
 # --- structure, boxes back to pages, and lines by other rules -----------------------------------------------------------
 
 STRUCT = LINES + """,

@@ -172,15 +172,6 @@ def validate_required_labels(spark, sf):
     return wanted.join(n, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("pages", F.lit(0)).alias("pages"), (F.coalesce("n", F.lit(0)) > 0).alias("ok"))
 
 
-@query(TOK + f", e AS (SELECT doc_id AS page_num, len(coalesce(words, [])) AS n, list_has_all({_IN(['TITLE', 'INGREDIENT_LINE', 'INSTRUCTION_STEP', 'O'])}, coalesce(ls, [])) AS known FROM documents LEFT JOIN page ON page.page_num = doc_id LEFT JOIN (SELECT page_num, list(DISTINCT label) AS ls FROM tok GROUP BY page_num) l ON l.page_num = doc_id) SELECT page_num, CASE WHEN n = 0 THEN 'empty' WHEN n < 5 THEN 'short' WHEN NOT known THEN 'unknown_label' END AS drop_reason FROM e")
-def process_record(spark, sf):
-    """TIME is not among the known labels here, so pages that use it are dropped."""
-    w = _words(spark, sf)
-    made = w.groupBy("page_num").agg(F.collect_list("word").alias("words"), F.collect_list("label").alias("labels"), F.first("height").alias("height"))
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("page_num"))
-    return selection.drop_reasons(docs.join(made, "page_num", "left"), ["TITLE", "INGREDIENT_LINE", "INSTRUCTION_STEP", "O"]).select("page_num", "drop_reason")
-
-
 @query(TOK + f"SELECT page_num, word_idx, list_position({_IN(labels.LABELS_V2)}, label) - 1 AS label_id FROM tok")
 def encode_labels(spark, sf):
     return _words(spark, sf).select("page_num", "word_idx", (F.array_position(F.array(*map(F.lit, labels.LABELS_V2)), F.col("label")).cast("int") - 1).alias("label_id"))

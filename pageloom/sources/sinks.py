@@ -42,23 +42,56 @@ def write_split_dataset(pages: DataFrame, path: str, labels: list[str]) -> DataF
     return spark.read.parquet(f"{path}/splits")
 
 
-def safe_overwrite(df: DataFrame, path: str, check: Column) -> str:
-    """Write df as a new version under path, count the rows that satisfy the check, and point the manifest at it if there are any.
+def _manifest(spark: SparkSession, path: str):
+    """(file system, folder, numbers of the commits in it)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
+    return files, folder, sorted(int(n) for n in names if n.isdigit())
+
+
+class Outrun(RuntimeError):
+    """Another writer committed in the meantime."""
+
 
-    Readers take current(path); a version that fails the check is never current, and earlier versions stay.
+def latest(spark: SparkSession, path: str) -> int:
+    """The number of the last commit, 0 if there is none."""
+    return max(_manifest(spark, path)[2], default=0)
+
+
+def safe_overwrite(df: DataFrame, path: str, check: Column, after: int | None = None) -> str:
+    """Write df as a new version under path, count the rows that satisfy the check, and commit it if there are any.
+
+    A commit is a manifest file with the next number that is made only if it isn't there yet: of two writers that began after
+    the same commit the later one fails with Outrun, and can look at the new table before it tries again. `after` is the commit
+    that df was made from (the last one as this begins, if it isn't given). Readers take current(path); a version that fails
+    the check or the race is never current, and earlier versions stay.
     """
     spark = df.sparkSession
+    after = latest(spark, path) if after is None else after
     version = f"{path}/v-{uuid.uuid4().hex}"
     df.write.parquet(version)
     if spark.read.parquet(version).where(check).isEmpty():
         raise ValueError(f"no row of {version} satisfies the check")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    earlier = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    one = spark.range(1).select(F.lit(version).alias("version"), F.lit(spark.read.parquet(f"{path}/manifest").count() if earlier else 0).alias("nth"))
-    one.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    files, folder, numbers = _manifest(spark, path)
+    if max(numbers, default=0) != after:
+        raise Outrun(f"{path} has commit {max(numbers)}, this one was made after {after}")
+    files.mkdirs(folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder, str(after + 1))
+    try:
+        out = files.create(place, False)
+    except Exception as gone:
+        if files.exists(place):
+            raise Outrun(f"{path} has commit {after + 1} already") from gone
+        raise
+    out.write(bytearray(version, "utf-8"))
+    out.close()
     return version
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The table that the manifest's last row names; of two that were written at once, the one with the greater name."""
-    return spark.read.parquet(spark.read.parquet(f"{path}/manifest").orderBy(F.desc("nth"), F.desc("version")).first().version)
+    """The table of the last commit."""
+    number = latest(spark, path)
+    if not number:
+        raise ValueError(f"{path} has no commit")
+    return spark.read.parquet(spark.read.option("wholetext", True).text(f"{path}/manifest/{number}").first().value)
