@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import content_key, cut, fresh
+from .common import bounded, content_key, cut, fresh
 
 WEIGHTS, LIMIT = (5, 2, 1), 3
 #: Rows of a source in one bucket of keys, about; prefix sums run within buckets, then over the buckets' sums.
 BUCKET_ROWS = 4096
+#: Sources whose totals are broadcast, at most, and rows of a source that are looked at to close what its prefix leaves.
+SOURCES, CLOSING = 100_000, 1024
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -60,11 +62,13 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     size is the number of words (null text: 0). A source is taken in complete epochs first; for what is left of its target,
     rows are ordered by Efraimidis-Spirakis keys -ln(u) / weight and taken while their running size fits. u comes from a
     hash of doc_id, text and seed, so reruns agree; the weight is quality.weight of the doc_id (the greatest if there are
-    several), else 1. Running sizes are summed within buckets, ranges of keys with about as many rows each, and over the
-    buckets' sums. Of the rows not taken, the one whose size comes nearest to the rest joins if that brings the source nearer
-    to its target. No source is taken over limit times. Empty texts are in the complete epochs only. Rows repeated in docs
-    are mixed as one row each (their keys tie, and are told apart by a number). Other columns are ignored. An empty table
-    gives an empty one.
+    several), else 1. Rows longer than the whole budget stand aside. Running sizes are summed within buckets, ranges of keys
+    with about as many rows each, and over the buckets' sums. The prefix ends at the first row that is longer than the rest; of
+    the rows behind it that aren't longer than the rest, the first CLOSING by their keys are taken one by one if they still
+    fit, so that a long row doesn't keep a source from its target. Of the rows not taken then, the one whose size comes nearest
+    to the rest joins if that brings the source nearer to its target. No source is taken over limit times. Empty texts are in
+    the complete epochs only. Rows repeated in docs are mixed as one row each (their keys tie, and are told apart by a number).
+    Other columns are ignored. An empty table gives an empty one.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
@@ -75,26 +79,45 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     rows = cut(rows.select("doc_id", "source", "size", "text_hash", weight.alias("weight")))
     u = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text_hash", F.lit(seed)), 11).cast("double") + 1.0) / float((1 << 53) + 1)
     keyed = rows.withColumn("key", -F.log(u) / F.col("weight"))
-    joined = keyed.alias("k").join(_per_source(rows, weights, limit).alias("p"), F.expr("k.source <=> p.source")).drop(F.col("p.source"))
+    joined = keyed.alias("k").join(bounded(_per_source(rows, weights, limit), SOURCES).alias("p"), F.expr("k.source <=> p.source")).drop(F.col("p.source"))
     joined = joined.withColumn("bucket", _bucket()).drop("classes")
-    sums = joined.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    counted = joined.withColumn("run_size", F.when(F.col("size") <= F.col("budget"), F.col("size")).otherwise(0))
+    sums = counted.groupBy("source", "bucket").agg(F.sum("run_size").alias("bucket_size"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(run), F.lit(0)).alias("before"))
-    placed = joined.alias("j").join(starts.alias("s"), F.expr("j.bucket = s.bucket AND j.source <=> s.source")).select("j.*", "s.before")
+    placed = counted.alias("j").join(starts.alias("s"), F.expr("j.bucket = s.bucket AND j.source <=> s.source")).select("j.*", "s.before")
     w = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.withColumn("upto", F.col("before") + F.sum("size").over(w)).withColumn("row", F.row_number().over(w))
-    taken = summed.withColumn("fits", (F.col("upto") <= F.col("budget")) & (F.col("size") > 0))
+    summed = placed.withColumn("upto", F.col("before") + F.sum("run_size").over(w)).withColumn("row", F.row_number().over(w))
+    fits = (F.col("upto") <= F.col("budget")) & (F.col("run_size") > 0)
+    taken = cut(summed.withColumn("fits", fits).drop("run_size", "before", "upto", "weight", "source_rows"))
+    closing = bounded(_closing(taken), SOURCES)
+    more = F.array_contains("c.taken", F.struct("t.bucket", "t.row"))
+    out = taken.alias("t").join(closing.alias("c"), F.expr("t.source <=> c.source"), "left")
+    copies = F.col("t.epochs") + F.when(F.col("t.fits") | F.coalesce(more, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
+    return out.select("t.doc_id", "t.source", "t.text_hash", "t.size", "t.source_size", "t.target", copies.cast("long").alias("copies"))
+
+
+def _closing(taken: DataFrame) -> DataFrame:
+    """(source, taken: array of (bucket, row)): the rows that come after a source's prefix. At most CLOSING + 1 for each source."""
     rest = taken.groupBy("source").agg((F.first("budget") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("rest"))
-    gap = F.abs(F.col("size") - F.col("rest"))
-    spare = taken.where("NOT fits AND size > 0").alias("a").join(rest.alias("r"), F.expr("a.source <=> r.source")).select("a.*", "r.rest")
-    extra = (
-        spare.where(gap < F.col("rest"))
-        .groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "key", "bucket", "row")).alias("best"))
-        .select("source", F.col("best.bucket").alias("bucket"), F.col("best.row").alias("row"))
-    )
-    out = taken.alias("a").join(extra.alias("e"), F.expr("a.source <=> e.source AND a.bucket = e.bucket AND a.row = e.row"), "left")
-    copies = F.col("a.epochs") + F.when(F.col("a.fits") | F.col("e.row").isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    return out.select("a.doc_id", "a.source", "a.text_hash", "a.size", "a.source_size", "a.target", copies.cast("long").alias("copies"))
+    spare = taken.where("NOT fits AND size > 0").alias("a").join(bounded(rest, SOURCES).alias("r"), F.expr("a.source <=> r.source")).select("a.source", "a.size", "a.key", "a.bucket", "a.row", "r.rest")
+    first = Window.partitionBy("source").orderBy("key", "bucket", "row")
+    near = spare.where("size <= rest").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= CLOSING)
+    listed = near.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("nth", "size", "bucket", "row"))).alias("rows"), F.first("rest").alias("rest"))
+    place = "array<struct<bucket:bigint,row:int>>"
+    start = F.struct(F.col("rest"), F.array().cast(place).alias("taken"))
+
+    def step(state: Column, x: Column) -> Column:
+        more = F.struct((state["rest"] - x["size"]).alias("rest"), F.concat(state["taken"], F.array(F.struct(x["bucket"], x["row"])).cast(place)).alias("taken"))
+        return F.when(x["size"] <= state["rest"], more).otherwise(state)
+
+    folded = cut(listed.select("source", F.aggregate("rows", start, step).alias("f")).select("source", "f.rest", "f.taken"))
+    left = rest.alias("r").join(folded.alias("f"), F.expr("r.source <=> f.source"), "left").select("r.source", F.coalesce("f.rest", "r.rest").alias("rest"), F.coalesce("f.taken", F.array().cast(place)).alias("taken"))
+    left = bounded(left, SOURCES)
+    last = spare.drop("rest").alias("a").join(left.alias("l"), F.expr("a.source <=> l.source")).where(~F.array_contains("l.taken", F.struct("a.bucket", "a.row")))
+    gap = F.abs(F.col("a.size") - F.col("l.rest"))
+    best = last.where(gap < F.col("l.rest")).groupBy("a.source").agg(F.min(F.struct(gap.alias("gap"), "a.key", "a.bucket", "a.row")).alias("best"))
+    return left.alias("l").join(best.alias("b"), F.expr("l.source <=> b.source"), "left").select("l.source", F.concat("l.taken", F.when(F.col("b.best").isNotNull(), F.array(F.struct("b.best.bucket", "b.best.row"))).otherwise(F.array()).cast(place)).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, seed: int = 42) -> DataFrame:

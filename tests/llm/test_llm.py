@@ -435,17 +435,40 @@ def test_mixing_order(spark):
         epochs = int(target // whole)
         left, rest = target - epochs * whole, []
         want = {x.doc_id: epochs for x in mine}
-        upto = 0
+        upto, behind = 0, []
         for i in sorted(want, key=lambda i: (-np.log((hashes[i] + 1) / (2**53 + 1)) / weight[i])):
-            upto += size[i]
-            if upto <= left and size[i]:
+            upto += size[i] if size[i] <= left else 0
+            if 0 < size[i] <= left and upto <= left:
                 want[i] += 1
             elif size[i]:
-                rest.append(i)
+                behind.append(i)
         gap = left - sum(size[i] for i in want if want[i] > epochs)
-        extra = [x.doc_id for x in mine if x.doc_id in rest and x.copies > epochs]
+        for i in list(behind):
+            if size[i] <= gap:
+                want[i] += 1
+                gap -= size[i]
+                behind.remove(i)
+        extra = [x.doc_id for x in mine if x.doc_id in behind and x.copies > epochs]
         assert {x.doc_id: x.copies for x in mine if x.doc_id not in extra} == {i: n for i, n in want.items() if i not in extra}
-        assert len(extra) <= 1 and all(abs(size[i] - gap) == min(abs(size[j] - gap) for j in rest) for i in extra)
+        assert len(extra) <= 1 and all(abs(size[i] - gap) == min(abs(size[j] - gap) for j in behind) for i in extra)
+
+
+def test_mixing_long_rows_do_not_keep_a_source_from_its_target(spark):
+    """Long documents among short ones, some longer than their source's whole budget."""
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(5000 if r.random() < 0.03 else 60_000 if i == 77 else r.integers(1, 300))), f"s{i % 4}") for i in range(800)]
+    plan = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for _, x in plan.groupby("source"):
+        assert abs((x["size"] * x["copies"]).sum() / x["target"].iat[0] - 1) < 0.005
+    assert plan["copies"].max() <= 3
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mixing_query_is_near_its_targets(spark, sf):
+    plan = queries.op5_mixing(spark, f"/root/testdata/{sf}").toPandas()
+    for _, x in plan.groupby("source", dropna=False):
+        if len(x) > 20:
+            assert abs(x["taken"].sum() / x["target"].iat[0] - 1) < 0.02
 
 
 def test_mixing_buckets_are_even(spark):
