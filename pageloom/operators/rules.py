@@ -42,16 +42,28 @@ PREP = r"\b(chopped|ground|minced)\b"
 SERVINGS = r"\b(serves|servings|yield|makes)\b"
 NOTE = r"^\s*(note|variation|to serve|n\.b\.)"
 PUNCTUATION = r'([,;:!?()"]|\.(\s|$))'
-MEASURES = (
-    "cup cups c tablespoon tablespoons tbsp tbs teaspoon teaspoons tsp ts t ounce ounces oz pound pounds lb lbs pint pints pt quart quarts qt gallon gallons gal "
-    "gram grams g kilogram kilograms kg milliliter milliliters ml liter liters l pinch dash handful can cans package packages pkg slice slices piece pieces"
-).split()
-END_VERBS = (
-    "add bake beat blend boil bring brush chill chop combine cook cool cover cream cut dice dip divide drain drizzle fold form fry garnish grate grease heat knead let make "
-    "melt mince mix place pour prepare press put reduce remove rinse roll sauté season separate serve set simmer slice spread sprinkle stir strain take toast toss transfer "
-    "turn use wash whip whisk"
-).split()
-STEP_VERBS = END_VERBS + "butter pare prick repeat rub scald sift spoon stand steam stuff wipe work wrap".split()
+# Measures, verbs that end a block of ingredients, and verbs in which steps begin.
+MEASURES = [
+    "cup", "cups", "c", "tablespoon", "tablespoons", "tbsp", "tbs", "teaspoon", "teaspoons", "tsp", "ts", "t", "ounce", "ounces",
+    "oz", "pound", "pounds", "lb", "lbs", "pint", "pints", "pt", "quart", "quarts", "qt", "gallon", "gallons", "gal", "gram",
+    "grams", "g", "kilogram", "kilograms", "kg", "milliliter", "milliliters", "ml", "liter", "liters", "l", "pinch", "dash",
+    "handful", "can", "cans", "package", "packages", "pkg", "slice", "slices", "piece", "pieces",
+]
+END_VERBS = [
+    "add", "bake", "beat", "blend", "boil", "bring", "brush", "chill", "chop", "combine", "cook", "cool", "cover", "cream", "cut",
+    "dice", "dip", "divide", "drain", "drizzle", "fold", "form", "fry", "garnish", "grate", "grease", "heat", "knead", "let",
+    "make", "melt", "mince", "mix", "place", "pour", "prepare", "press", "put", "reduce", "remove", "rinse", "roll", "sauté",
+    "season", "separate", "serve", "set", "simmer", "slice", "spread", "sprinkle", "stir", "strain", "take", "toast", "toss",
+    "transfer", "turn", "use", "wash", "whip", "whisk",
+]
+STEP_VERBS = [
+    "add", "bake", "beat", "blend", "boil", "bring", "brush", "butter", "chill", "chop", "combine", "cook", "cool", "cover",
+    "cream", "cut", "dice", "dip", "divide", "drain", "drizzle", "fold", "form", "fry", "garnish", "grate", "grease", "heat",
+    "knead", "let", "make", "melt", "mince", "mix", "pare", "place", "pour", "prepare", "press", "prick", "put", "reduce", "remove",
+    "repeat", "rinse", "roll", "rub", "sauté", "scald", "season", "separate", "serve", "set", "sift", "simmer", "slice", "spoon",
+    "spread", "sprinkle", "stand", "steam", "stir", "strain", "stuff", "take", "toast", "toss", "transfer", "turn", "use", "wash",
+    "whip", "whisk", "wipe", "work", "wrap",
+]
 QUANTITY_START = r"^\s*\d"
 QUANTITY_UNIT = rf"\d\s*(?:{'|'.join(MEASURES)})\b"
 

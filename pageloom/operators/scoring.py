@@ -43,6 +43,7 @@ def page_features(pages: DataFrame) -> DataFrame:
 
 def page_score(features: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Weighted sum of the features, clamped to 0..1, and whether it reaches the threshold."""
+    # The weights.
     give = lambda c, v: F.when(c, v).otherwise(0.0)
     c = F.col
     s = give(c("units"), 0.25) + give(c("verbs"), 0.2) + give(c("time_hit") | c("temp_hit"), 0.2) + F.least(F.lit(0.15), "numeric_density") + F.least(F.lit(0.1), "short_line_density")
@@ -54,6 +55,7 @@ def page_score(features: DataFrame, threshold: float = 0.5) -> DataFrame:
 def page_explain(features: DataFrame) -> DataFrame:
     """Add reasons: names of the features that speak for or against a page."""
     c = F.col
+    # The reasons and their limits.
     found = [
         (c("units"), "ingredient units"), (c("verbs"), "cooking verbs"), (c("time_hit"), "time pattern"), (c("temp_hit"), "temperature pattern"),
         (c("numeric_density") > 0.05, "numeric density"), (c("short_line_density") > 0.05, "short lines"), (c("title_like"), "title-like top line"),
