@@ -154,12 +154,17 @@ def index_difference(left: DataFrame, right: DataFrame, key: str = "id") -> Data
     return both.where(F.col("a").isNull() | F.col("b").isNull()).select(key, F.when(F.col("b").isNull(), "left").otherwise("right").alias("side"))
 
 
-def page_lookup(splits: DataFrame, featured: DataFrame) -> DataFrame:
-    """(page_num, split, place) of featured pages: where a page is in its split, counted from 0 by page."""
-    wanted = splits.join(featured.select("page_num").distinct().withColumn("wanted", F.lit(True)), "page_num", "left")
-    # numbers alone are sorted, a split in a task
-    placed = wanted.withColumn("place", F.row_number().over(Window.partitionBy("split").orderBy("page_num")) - 1)
-    return placed.where("wanted").select("page_num", "split", "place")
+def page_lookup(splits: DataFrame, featured: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """(page_num, split, place) of featured pages: where a page is in its split, counted from 0 by page. Pages are counted by
+    ranges of `width` numbers, and ranked within each, so that no split is sorted in one task. A null split is a split."""
+    slot = F.floor(F.col("page_num") / width)
+    wanted = splits.join(featured.select("page_num").distinct().withColumn("wanted", F.lit(True)), "page_num", "left").withColumn("slot", slot)
+    before = Window.partitionBy("split").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = wanted.groupBy("split", "slot").agg(F.count("*").alias("n"))
+    starts = sizes.select("split", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = wanted.withColumn("nth", F.row_number().over(Window.partitionBy("split", "slot").orderBy("page_num"))).where("wanted")
+    both = ranked.alias("r").join(starts.alias("s"), F.expr("r.split <=> s.split AND r.slot = s.slot"))
+    return both.select("r.page_num", "r.split", (F.col("s.before") + F.col("r.nth") - 1).alias("place"))
 
 
 def pick_page(splits: DataFrame, wanted: int | None, preferred: str = "validation") -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators import labels, reports
+from pageloom.operators import labels, records, reports
 
 NAMES = ["O", "TITLE", "INGREDIENT_LINE", "INSTRUCTION_STEP"]
 WORDS = "page_num long, word_idx int, label string, label_pred string"
@@ -117,3 +117,12 @@ def test_versions(spark):
     got = {r.version: tuple(r)[1:] for r in reports.corrections_by_version(table).collect()}
     assert got == {"a": (3, 2, 1, 0.333333, 1, 0, 0), "b": (1, 1, 1, 1.0, 1, 1, 0), None: (1, 0, 0, 0.0, 0, 0, 0)}
     assert reports.header_statistics(spark.createDataFrame([(1, "O"), (2, "RECIPE_TITLE"), (2, None)], "page_num int, label_v3 string")).where(F.col("has_labels")).first().page_num == 2
+
+
+@pytest.mark.parametrize("width", [3, 1 << 16])
+def test_places_of_pages(spark, width):
+    rows = [(p, ["train", "test", None][p % 7 % 3]) for p in range(0, 400, 3)]
+    splits = spark.createDataFrame(rows, "page_num long, split string").repartition(5)
+    wanted = spark.createDataFrame([(p,) for p in (0, 9, 9, 33, 300, 399, 1000)], "page_num long")
+    places = {p: sum(q < p for q, t in rows if t == s) for p, s in rows}
+    assert {r.page_num: (r.split, r.place) for r in records.page_lookup(splits, wanted, width).collect()} == {p: (dict(rows)[p], places[p]) for p in (0, 9, 33, 300, 399)}
