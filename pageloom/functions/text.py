@@ -70,6 +70,12 @@ def rewrite_misread(text: Column) -> Column:
     return reduce(lambda t, r: F.regexp_replace(t, "(?i)" + r[0], r[1]), REWRITES, text)
 
 
+def rewrite_misread_text(text: Column) -> Column:
+    """A whole text with its misread words rewritten and all white space collapsed, none at its ends; null stays null. A word
+    alone is rewritten by rewrite_misread, its spaces as they are."""
+    return F.trim(F.regexp_replace(rewrite_misread(text), r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
+
+
 def holds(text: Column, words: list[str], whole_word: bool = False) -> Column:
     """Does a lower-case text hold one of the words, anywhere or (whole_word) as words of their own?"""
     found = "|".join(words)

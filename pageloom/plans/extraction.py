@@ -127,7 +127,13 @@ def parse_time_to_minutes(spark, sf):
 @query()
 def ocr_postprocess_text(spark, sf):
     """Word boundaries differ between SQL engines beside accents; tests/test_text.py holds the rewrites."""
-    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("page_num"), T.rewrite_misread(F.col("text")).alias("rewritten"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("page_num"), T.rewrite_misread_text(F.col("text")).alias("rewritten"))
+
+
+@query()
+def ocr_postprocess_word(spark, sf):
+    """Word by word, without the collapse of white space; see ocr_postprocess_text."""
+    return _words(spark, sf).select("page_num", "word_idx", T.rewrite_misread(F.col("word")).alias("rewritten"))
 
 
 @query(LABELLED + ", g AS (SELECT page_num, line_id, min(x0) AS a0, min(y0) AS a1, max(x1) AS a2, max(y1) AS a3 FROM ln GROUP BY ALL) SELECT page_num, line_id, line_label, round(line_conf, 4) AS line_score, round(a0 / 1000 * 100, 4) AS x, round(a1 / height * 100, 4) AS y, round((a2 - a0) / 1000 * 100, 4) AS width, round((a3 - a1) / height * 100, 4) AS box_height FROM ll JOIN g USING (page_num, line_id)")
