@@ -31,6 +31,8 @@ TASK = 64 << 20
 LEVEL = 6
 #: Shards of grams, at least, and bytes of text for each.
 SHARDS, SHARD_BYTES = 64, 256 << 20
+#: Nodes of a plan that reads the same rows in the same tasks each time.
+STEADY = {"LogicalRelation", "LocalRelation", "Project", "Filter"}
 #: Rows of a table by language or of document ids that are broadcast, at most.
 LANGUAGES, HELD_IDS = 100_000, 2_000_000
 
@@ -282,6 +284,18 @@ def shares(found: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     return known
 
 
+def _steady(docs: DataFrame) -> bool:
+    """Does every read of docs give the same rows to the same tasks? Only a plain read of files (or of rows in the plan) does:
+    behind a shuffle or a join rows come in the order in which they happen to arrive."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    nodes = [plan]
+    for node in nodes:
+        if node.nodeName() not in STEADY:
+            return False
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+    return plan.deterministic()
+
+
 def scored(docs: DataFrame, model: DataFrame, nll: str = "nll", n: str = "n", order: int = ORDER) -> DataFrame:
     """docs with two more columns: the sum of -ln p over a text's characters and its end, and their number.
 
@@ -289,10 +303,11 @@ def scored(docs: DataFrame, model: DataFrame, nll: str = "nll", n: str = "n", or
     in a block of about BLOCK bytes of text, packed by shard (a hash of the gram). The different grams of each shard are joined
     with the model, length by length; what they cost comes back to the blocks that have them, packed again, where the texts of
     the block (packed into one value) look it up. A task holds one block and its grams, or one shard's different grams. docs is
-    read twice and must give the same rows in the same tasks, as tables do; where it does not, that is found and raised. Small
-    partitions are put together first. A null text is empty; a null language is "".
+    read twice and must give the same rows in the same tasks, as tables do; anything else than a plain read of files is stored in
+    the shared folder first. Small partitions are put together. A null text is empty; a null language is "".
     """
     bound_batches(docs.sparkSession)
+    docs = docs if _steady(docs) else stored(docs, "docs")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK)))
     at_text, at_lang = docs.columns.index("text"), docs.columns.index("lang")

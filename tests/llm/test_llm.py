@@ -582,6 +582,16 @@ def test_quality_holds_texts_apart(spark):
     assert quality.judged(same, same.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))).where("keep").count() >= 39
 
 
+def test_quality_on_rows_from_a_shuffle(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    assert quality._steady(docs.where("doc_id > 3").select("lang", "text")) and not quality._steady(docs.repartition(7))
+    assert not quality._steady(docs.withColumn("x", F.rand())) and not quality._steady(docs.limit(5))
+    show = lambda df: sorted((r.doc_id, round(r.perplexity, 9), r.keep) for r in df.select("doc_id", "perplexity", "keep").collect())
+    want = show(quality.judged(docs, labels))
+    assert want == show(quality.judged(docs.repartition(7), labels))
+    assert want == show(quality.judged(docs.join(docs.select("doc_id").distinct(), "doc_id").orderBy(F.rand()), labels))
+
+
 def test_quality_other_scripts(spark):
     """Scrambled Devanagari and Chinese texts cost more than clean ones."""
     r = np.random.default_rng(3)
