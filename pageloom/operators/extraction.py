@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import text as T
 
 from .lines import line_features, lines_gap
+from .titles import extract_title
 
 # Prefixes of line ids, and the limits of section states.
 PREFIX = {"TITLE": "ttl", "INGREDIENT_LINE": "ing", "INSTRUCTION_STEP": "ins"}
@@ -25,25 +26,30 @@ def lines_for_label(words: DataFrame, gap: float = 10) -> DataFrame:
     return out.where("line_text <> ''").select("page_num", "label", "line_id", "line", "line_text", "line_conf", "n_words", "bx0", "by0", "bx1", "by1")
 
 
-def extract_recipe(lines: DataFrame) -> DataFrame:
-    """One recipe for each page of lines_for_label: title (its first line), ingredients, instructions and confidences.
+def extract_recipe(words: DataFrame, gap: float = 10, label: str = "TITLE") -> DataFrame:
+    """One recipe for each page of words: title (the chain of extract_title over label), title_by, ingredients, instructions and
+    confidences.
 
     Instructions become one paragraph if more than half of several lines end in neither . nor !. The overall confidence weighs
-    what is present: the title 1, ingredients and instructions 1.5 each.
+    what is present: the title 1 (whatever is left of its text), ingredients and instructions 1.5 each. A page with nothing to
+    find has an empty title and empty lists, and confidences of 0; a page without words has no row.
     """
     c = F.col
     of = lambda x: F.array_sort(F.collect_list(F.when(c("label") == x, F.struct("line_id", "line_text", "line_conf"))))
-    page = lines.groupBy("page_num").agg(of("TITLE").alias("t"), of("INGREDIENT_LINE").alias("i"), of("INSTRUCTION_STEP").alias("s"))
-    texts = lambda x: F.transform(x, lambda r: r["line_text"])
+    lines = lines_for_label(words.where(c("label").isin("INGREDIENT_LINE", "INSTRUCTION_STEP")), gap)
+    found = lines.groupBy("page_num").agg(of("INGREDIENT_LINE").alias("i"), of("INSTRUCTION_STEP").alias("s"))
+    named = extract_title(words, label).select("page_num", "title", F.round("conf", 6).alias("conf_title"), c("by").alias("title_by"))
+    page = words.select("page_num").distinct().join(found, "page_num", "left").join(named, "page_num", "left")
+    texts = lambda x: F.coalesce(F.transform(x, lambda r: r["line_text"]), F.array().cast("array<string>"))
     mean = lambda x: F.round(F.coalesce(F.aggregate(x, F.lit(0.0), lambda a, r: a + r["line_conf"]) / F.nullif(F.size(x), F.lit(0)), F.lit(0.0)), 9)
     loose = F.size(F.filter("s", lambda r: ~r["line_text"].rlike(r"[.!]\s*$"))) / F.size("s") > 0.5
-    top = F.try_element_at(c("t"), F.lit(1))
     out = page.select(
-        "page_num", F.coalesce(top["line_text"], F.lit("")).alias("title"), texts("i").alias("ingredients"),
+        "page_num", F.coalesce("title", F.lit("")).alias("title"), "title_by", texts("i").alias("ingredients"),
         F.when((F.size("s") > 1) & loose, F.array(F.array_join(texts("s"), " "))).otherwise(texts("s")).alias("instructions"),
-        F.coalesce(top["line_conf"], F.lit(0.0)).alias("conf_title"), mean("i").alias("conf_ingredients"), mean("s").alias("conf_instructions"),
+        F.coalesce("conf_title", F.lit(0.0)).alias("conf_title"), mean("i").alias("conf_ingredients"), mean("s").alias("conf_instructions"),
     )
-    w = {"title": F.when(c("title") != "", 1.0).otherwise(0.0), "ingredients": F.when(F.size("ingredients") > 0, 1.5).otherwise(0.0), "instructions": F.when(F.size("instructions") > 0, 1.5).otherwise(0.0)}
+    weight = lambda there, w: F.when(there, w).otherwise(0.0)
+    w = {"title": weight(c("title_by").isNotNull(), 1.0), "ingredients": weight(F.size("ingredients") > 0, 1.5), "instructions": weight(F.size("instructions") > 0, 1.5)}
     total = sum(w.values(), F.lit(0.0))
     return out.withColumn("conf_overall", F.round(F.coalesce(sum((c(f"conf_{k}") * x for k, x in w.items()), F.lit(0.0)) / F.nullif(total, F.lit(0.0)), F.lit(0.0)), 9))
 

@@ -114,7 +114,7 @@ def stream_session_status(spark, sf):
 def stages(recipe: bool = True) -> list[sessions.Step]:
     """Words of a page, their labels, and its recipe."""
     steps = [("ocr_done", lambda pages: source.word_table(pages.withColumnRenamed("page_num", "doc_id"))), ("pred_done", lambda words: words.drop("label_pred"))]
-    return [*steps, ("recipe", lambda words: extraction.extract_recipe(extraction.lines_for_label(words)))] if recipe else steps
+    return [*steps, ("recipe", extraction.extract_recipe)] if recipe else steps
 
 
 @query(XL + ", hw AS (SELECT DISTINCT page_num FROM tok) SELECT doc_id AS page_num, CASE WHEN rw.page_num IS NOT NULL THEN 'pred_done' ELSE 'failed' END AS status, CASE WHEN rw.page_num IS NOT NULL THEN NULL WHEN hw.page_num IS NULL THEN 'no rows of ocr_done' ELSE 'no rows of recipe' END AS error, rw.title, len(rw.ingredients) AS n_ingredients FROM documents LEFT JOIN rw ON rw.page_num = doc_id LEFT JOIN hw ON hw.page_num = doc_id")

@@ -10,23 +10,27 @@ from pageloom.operators import extraction, rules
 
 from .labelling import LABELLED, _lines
 from .queries import TOK, _pages, _words, query
+from .titles import title_chain
 
 XL = TOK + r""",
 xs AS (SELECT *, (y0 + y1) / 2 AS mid_y, (x0 + x1) / 2 AS mid_x, CASE WHEN (y0 + y1) / 2 - lag((y0 + y1) / 2) OVER (PARTITION BY page_num, label ORDER BY (y0 + y1) / 2, (x0 + x1) / 2, word_idx) > 10 THEN 1 ELSE 0 END AS s FROM tok WHERE label IN ('TITLE', 'INGREDIENT_LINE', 'INSTRUCTION_STEP')),
 xn AS (SELECT *, sum(s) OVER (PARTITION BY page_num, label ORDER BY mid_y, mid_x, word_idx) AS line_id FROM xs),
 xl AS (SELECT page_num, label, CASE label WHEN 'TITLE' THEN 'ttl' WHEN 'INGREDIENT_LINE' THEN 'ing' ELSE 'ins' END || '_' || lpad(CAST(CAST(line_id AS BIGINT) + 1 AS VARCHAR), 4, '0') AS line, line_id, regexp_replace(trim(regexp_replace(string_agg(word, ' ' ORDER BY x0, word_idx), '\s+', ' ', 'g')), '\s+([.,;:])', '\1', 'g') AS line_text,
   round(round(avg(conf), 6) / 100, 6) AS line_conf, count(*) AS n_words, min(x0) AS bx0, min(y0) AS by0, max(x1) AS bx1, max(y1) AS by1 FROM xn GROUP BY page_num, label, line_id),
-r0 AS (SELECT page_num, coalesce(arg_min(line_text, line_id) FILTER (label = 'TITLE'), '') AS title, coalesce(list(line_text ORDER BY line_id) FILTER (label = 'INGREDIENT_LINE'), []) AS ingredients, coalesce(list(line_text ORDER BY line_id) FILTER (label = 'INSTRUCTION_STEP'), []) AS st,
-  coalesce(arg_min(line_conf, line_id) FILTER (label = 'TITLE'), 0) AS conf_title, round(coalesce(avg(line_conf) FILTER (label = 'INGREDIENT_LINE'), 0), 9) AS conf_ingredients, round(coalesce(avg(line_conf) FILTER (label = 'INSTRUCTION_STEP'), 0), 9) AS conf_instructions FROM xl WHERE line_text <> '' GROUP BY page_num),
+""" + title_chain("label = 'TITLE'") + r""",
+rl AS (SELECT page_num, coalesce(list(line_text ORDER BY line_id) FILTER (label = 'INGREDIENT_LINE'), []) AS ingredients, coalesce(list(line_text ORDER BY line_id) FILTER (label = 'INSTRUCTION_STEP'), []) AS st,
+  round(coalesce(avg(line_conf) FILTER (label = 'INGREDIENT_LINE'), 0), 9) AS conf_ingredients, round(coalesce(avg(line_conf) FILTER (label = 'INSTRUCTION_STEP'), 0), 9) AS conf_instructions FROM xl WHERE line_text <> '' GROUP BY page_num),
+r0 AS (SELECT page_num, coalesce(title, '') AS title, xt.by AS title_by, coalesce(ingredients, []) AS ingredients, coalesce(st, []) AS st, coalesce(round(conf, 6), 0) AS conf_title, coalesce(conf_ingredients, 0) AS conf_ingredients, coalesce(conf_instructions, 0) AS conf_instructions
+  FROM (SELECT DISTINCT page_num FROM tok) LEFT JOIN rl USING (page_num) LEFT JOIN xt USING (page_num)),
 rc AS (SELECT * EXCLUDE (st), CASE WHEN len(st) > 1 AND len(list_filter(st, lambda x: NOT regexp_matches(x, '[.!]\s*$'))) / len(st) > 0.5 THEN [array_to_string(st, ' ')] ELSE st END AS instructions FROM r0),
-rw AS (SELECT *, CASE WHEN title <> '' THEN 1.0::DOUBLE ELSE 0 END AS wt, CASE WHEN len(ingredients) > 0 THEN 1.5::DOUBLE ELSE 0 END AS wi, CASE WHEN len(instructions) > 0 THEN 1.5::DOUBLE ELSE 0 END AS ws FROM rc),
+rw AS (SELECT *, CASE WHEN title_by IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS wt, CASE WHEN len(ingredients) > 0 THEN 1.5::DOUBLE ELSE 0 END AS wi, CASE WHEN len(instructions) > 0 THEN 1.5::DOUBLE ELSE 0 END AS ws FROM rc),
 ss AS (SELECT *, CASE WHEN trim(title) = '' THEN 'missing' WHEN conf_title < 0.85 THEN 'needs-review' ELSE 'high-confidence' END AS title_status, CASE WHEN len(ingredients) = 0 THEN 'missing' WHEN len(ingredients) < 3 OR conf_ingredients < 0.80 THEN 'needs-review' ELSE 'high-confidence' END AS ingredients_status,
   CASE WHEN len(instructions) = 0 THEN 'missing' WHEN len(instructions) < 2 OR conf_instructions < 0.80 THEN 'needs-review' ELSE 'high-confidence' END AS instructions_status FROM rw)
 """
 
 
 def _recipes(spark, sf):
-    return extraction.extract_recipe(extraction.lines_for_label(_words(spark, sf)))
+    return extraction.extract_recipe(_words(spark, sf))
 
 
 @query(XL + "SELECT page_num, line, line_text, line_conf, n_words, bx0, by0, bx1, by1 FROM xl WHERE line_text <> ''")
@@ -34,7 +38,7 @@ def lines_for_label(spark, sf):
     return extraction.lines_for_label(_words(spark, sf)).drop("label", "line_id")
 
 
-@query(XL + "SELECT page_num, title, array_to_string(ingredients, '|') AS ingredients, array_to_string(instructions, '|') AS instructions, conf_title, conf_ingredients, conf_instructions, round(coalesce((wt * conf_title + wi * conf_ingredients + ws * conf_instructions) / nullif(wt + wi + ws, 0), 0), 9) AS conf_overall FROM rw")
+@query(XL + "SELECT page_num, title, title_by, array_to_string(ingredients, '|') AS ingredients, array_to_string(instructions, '|') AS instructions, conf_title, conf_ingredients, conf_instructions, round(coalesce((wt * conf_title + wi * conf_ingredients + ws * conf_instructions) / nullif(wt + wi + ws, 0), 0), 9) AS conf_overall FROM rw")
 def extract_recipe(spark, sf):
     return _recipes(spark, sf).withColumns({"ingredients": F.array_join("ingredients", "|"), "instructions": F.array_join("instructions", "|")})
 

@@ -110,13 +110,19 @@ def extract_title_heuristic(spark, sf):
     return titles.extract_title_heuristic(_words(spark, sf))
 
 
-@query(TOK + "," + _HEURISTIC + f""",
-lab AS (SELECT *, (y0 + y1) / 2 AS mid, count(*) FILTER (y0 < 350) OVER (PARTITION BY page_num) AS up FROM tok WHERE label = 'INSTRUCTION_STEP' AND page_num % 3 > 0 OR label = 'TITLE' AND page_num % 3 = 0),
+def title_chain(labelled: str) -> str:
+    """SQL for extract_title: xt, a title for each page, from the words of tok that a condition calls labelled, or from ht."""
+    return _HEURISTIC + f""",
+lab AS (SELECT *, (y0 + y1) / 2 AS mid, count(*) FILTER (y0 < 350) OVER (PARTITION BY page_num) AS up FROM tok WHERE {labelled}),
 kept AS (SELECT *, first_value(mid) OVER (PARTITION BY page_num ORDER BY word_idx) AS mid1 FROM lab WHERE y0 < 350 OR up = 0),
-line AS (SELECT *, row_number() OVER (PARTITION BY page_num ORDER BY x0, word_idx) AS nth, coalesce(bool_or(word LIKE '%.') OVER (PARTITION BY page_num ORDER BY x0, word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM kept WHERE abs(mid - mid1) <= 12),
-mt AS (SELECT page_num, any_value(up) AS up, {_clean("string_agg(word, ' ' ORDER BY x0, word_idx)")} AS title, count(*) AS n_tokens, min(x0) AS tx0, min(y0) AS ty0, max(x1) AS tx1, max(y1) AS ty1, avg(conf) / 100 AS conf FROM line WHERE NOT over AND nth <= 8 GROUP BY page_num)
-SELECT page_num, title, n_tokens, tx0, ty0, tx1, ty1, conf, 'model' AS by FROM mt WHERE NOT ((up = 0 OR up >= 8) AND page_num IN (SELECT page_num FROM ht))
-UNION ALL SELECT page_num, title, n_tokens, tx0, ty0, tx1, ty1, conf, 'heuristic' FROM ht WHERE page_num NOT IN (SELECT page_num FROM mt WHERE NOT (up = 0 OR up >= 8))""")
+on_line AS (SELECT *, row_number() OVER (PARTITION BY page_num ORDER BY x0, word_idx) AS nth, coalesce(bool_or(word LIKE '%.') OVER (PARTITION BY page_num ORDER BY x0, word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM kept WHERE abs(mid - mid1) <= 12),
+mt AS (SELECT page_num, any_value(up) AS up, {_clean("string_agg(word, ' ' ORDER BY x0, word_idx)")} AS title, count(*) AS n_tokens, min(x0) AS tx0, min(y0) AS ty0, max(x1) AS tx1, max(y1) AS ty1, avg(conf) / 100 AS conf FROM on_line WHERE NOT over AND nth <= 8 GROUP BY page_num),
+xt AS (SELECT page_num, title, n_tokens, tx0, ty0, tx1, ty1, conf, 'model' AS by FROM mt WHERE NOT ((up = 0 OR up >= 8) AND page_num IN (SELECT page_num FROM ht))
+ UNION ALL SELECT page_num, title, n_tokens, tx0, ty0, tx1, ty1, conf, 'heuristic' FROM ht WHERE page_num NOT IN (SELECT page_num FROM mt WHERE NOT (up = 0 OR up >= 8)))
+"""
+
+
+@query(TOK + "," + title_chain("label = 'INSTRUCTION_STEP' AND page_num % 3 > 0 OR label = 'TITLE' AND page_num % 3 = 0") + "SELECT * FROM xt")
 def extract_title(spark, sf):
     """Title labels of every third page; elsewhere steps stand for titles, so that crowded and low ones occur."""
     c = F.col
