@@ -116,13 +116,21 @@ def minutes(text: Column, default: int = 45) -> Column:
     return F.when(total == 0, default).otherwise(total)
 
 
+#: Punctuation at the end of a word, which a correction leaves alone.
+END_PUNCTUATION = "[.,;:!?]+$"
+
+
 def corrected(text: Column, words: dict[str, str]) -> Column:
     """Each word of a text looked up without the punctuation that it ends in, which stays; words are joined by single spaces.
     An empty text stays as it is."""
-    table = F.create_map(*(F.lit(x) for kv in words.items() for x in kv))
+    return corrected_by(text, F.create_map(*(F.lit(x) for kv in words.items() for x in kv)))
+
+
+def corrected_by(text: Column, table: Column) -> Column:
+    """corrected by a map column."""
 
     def one(word: Column) -> Column:
-        bare = F.regexp_replace(word, "[.,;:!?]+$", "")
+        bare = F.regexp_replace(word, END_PUNCTUATION, "")
         return F.coalesce(F.concat(F.try_element_at(table, bare), F.substr(word, F.char_length(bare) + 1)), word)
 
     parts = F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -156,15 +156,21 @@ def label_ingredient_block(words: DataFrame, predicates: DataFrame, least: int =
     return words.join(in_block, ["page_num", "line_id"], "left").withColumn("new_label", F.when(hit, "INGREDIENT_LINE").otherwise(F.col("label"))).drop("inside")
 
 
-def label_instruction_lines(words: DataFrame, predicates: DataFrame, least: int = 3) -> DataFrame:
-    """Lines after a page's last ingredient word, and lines that begin with a verb, become INSTRUCTION_STEP, as new_label.
-
-    Unlabelled words change; titles too, on lines after the ingredients. A page without ingredients has no such lines.
-    """
+def instruction_marks(words: DataFrame, predicates: DataFrame, least: int = 3) -> DataFrame:
+    """label_instruction_lines with marked: is the word on a line that the heuristic picks?"""
     last = words.groupBy("page_num").agg(F.max(F.when(F.col("label") == "INGREDIENT_LINE", F.col("word_idx"))).alias("last_ingredient"))
     starts = words.groupBy("page_num", "line_id").agg(F.min("word_idx").alias("line_start"))
     line = predicates.join(starts, ["page_num", "line_id"]).join(last, "page_num").where(F.char_length("line_text") >= least)
     after = F.coalesce(F.col("line_start") > F.col("last_ingredient"), F.lit(False))
     marks = line.select("page_num", "line_id", after.alias("after"), "step_line").where("after OR step_line")
     change = (F.col("label") == "O") | (F.col("after") & (F.col("label") == "TITLE"))
-    return words.join(marks, ["page_num", "line_id"], "left").withColumn("new_label", F.when(F.coalesce(change & F.col("step_line").isNotNull(), F.lit(False)), "INSTRUCTION_STEP").otherwise(F.col("label"))).drop("after", "step_line")
+    both = words.join(marks, ["page_num", "line_id"], "left").withColumn("marked", F.col("step_line").isNotNull())
+    return both.withColumn("new_label", F.when(F.coalesce(change & F.col("marked"), F.lit(False)), "INSTRUCTION_STEP").otherwise(F.col("label"))).drop("after", "step_line")
+
+
+def label_instruction_lines(words: DataFrame, predicates: DataFrame, least: int = 3) -> DataFrame:
+    """Lines after a page's last ingredient word, and lines that begin with a verb, become INSTRUCTION_STEP, as new_label.
+
+    Unlabelled words change; titles too, on lines after the ingredients. A page without ingredients has no such lines.
+    """
+    return instruction_marks(words, predicates, least).drop("marked")
