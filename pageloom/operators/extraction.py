@@ -63,6 +63,18 @@ def section_status(recipes: DataFrame) -> DataFrame:
     return out.withColumn("ready", (c("title_status") == "high-confidence") & (c("ingredients_status") == "high-confidence") & (c("instructions_status") == "high-confidence"))
 
 
+def confidence_chain(recipes: DataFrame, fields: list[str], tokens: DataFrame, default: float = 0.85) -> DataFrame:
+    """recipes with overall_confidence and confidence_from: the mean of the fields that have a confidence ("fields"), else the mean
+    confidence of the page's tokens (page_num, conf of 0 to 1; null: 0; "tokens"), else the default ("default")."""
+    c = F.col
+    known = F.array_compact(F.array(*(c(x).cast("double") for x in fields)))
+    of_fields = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0))
+    mean = tokens.groupBy(c("page_num").alias("_page")).agg(F.avg(F.coalesce("conf", F.lit(0.0))).alias("_mean"))
+    both = recipes.join(mean, c("page_num") == c("_page"), "left")
+    source = F.when(F.size(known) > 0, "fields").when(c("_mean").isNotNull(), "tokens").otherwise("default")
+    return both.withColumns({"overall_confidence": F.round(F.coalesce(of_fields, "_mean", F.lit(default)), 9), "confidence_from": source}).drop("_page", "_mean")
+
+
 def recipe_to_markdown(recipes: DataFrame) -> DataFrame:
     none = F.array(F.lit("(not detected)"))
     some = lambda x: F.when(F.coalesce(F.size(x), F.lit(0)) > 0, F.col(x)).otherwise(none)

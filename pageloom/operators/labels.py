@@ -102,6 +102,14 @@ def words_to_word_level(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 
+def words_to_first_piece(tokens: DataFrame) -> DataFrame:
+    """Of several predictions for a word (page_num, word_idx, pos, ...) the first by pos, and of equal ones the most confident:
+    the other mode of words_to_word_level. A grouped minimum, combined before the rows are shuffled."""
+    rest = [x for x in tokens.columns if x not in ("page_num", "word_idx")]
+    first = F.min_by(F.struct(*rest), F.struct("pos", (-F.col("conf")).alias("c"), *(x for x in rest if x not in ("pos", "conf"))))
+    return tokens.groupBy("page_num", "word_idx").agg(first.alias("first_piece")).select("page_num", "word_idx", *(F.col("first_piece")[x].alias(x) for x in rest))
+
+
 def collapse_check(words: DataFrame, limit: float = 0.9) -> DataFrame:
     """By page: the share of the most frequent predicted label, and whether it exceeds the limit."""
     n = words.groupBy("page_num", "label_pred").agg(F.count("*").alias("n"))

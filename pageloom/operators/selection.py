@@ -24,8 +24,13 @@ def recipe_like(text: Column) -> Column:
     return ~low.rlike(NEGATIVE) & (low.rlike(FRACTION) | low.rlike(UNIT)) & low.rlike(VERB)
 
 
+# Fixed value: the version of the rules of the score.
+SCORE_VERSION = 3
+
+
 def score_prediction(words: DataFrame, texts: DataFrame, label: str = "label_pred") -> DataFrame:
-    """By page: confidence that it is a recipe from counts of predicted labels, and whether it is one (its text must read like one)."""
+    """By page: confidence that it is a recipe from counts of predicted labels, and whether it is one (its text must read like one);
+    the counts, the score's parts and the version of its rules."""
     c, n = F.col, lambda *x: F.count_if(F.col(label).isin(*x))
     page = words.groupBy("page_num").agg(
         F.count("*").alias("n"), F.count_if(c(label) != "O").alias("k"), n("INGREDIENT_LINE").alias("ingredient"), n("INSTRUCTION_STEP").alias("instruction"),
@@ -39,9 +44,36 @@ def score_prediction(words: DataFrame, texts: DataFrame, label: str = "label_pre
     return out.select(
         "page_num", F.bround("s", 4).alias("recipe_confidence"), (~reject & recipe_like(c("text")) & (c("s") >= 0.35)).alias("is_recipe_page"), F.coalesce(F.trim("best_title"), F.lit("")).alias("best_title"),
         F.bround(F.coalesce("mean", F.lit(0.0)), 4).alias("avg_token_confidence"), F.bround(c("k") / c("n"), 4).alias("recipe_token_ratio"),
+        *(c(k).alias(f"{k}_tokens") for k in ("ingredient", "instruction", "title")), F.bround(part("ingredient", 25.0), 4).alias("ingredient_score"),
+        F.bround(part("instruction", 30.0), 4).alias("instruction_score"), F.bround(part("title", 40.0), 4).alias("title_penalty"), F.lit(SCORE_VERSION).alias("score_version"),
     )
 
 
+def featured(scored: DataFrame, n: int = 10) -> DataFrame:
+    """(rank, page_num, recipe_confidence, mode, status, default_page): the n recipe pages of the highest confidence, or, where
+    there are none, the first n pages with a confidence of 0 ("fallback_any", "degraded"). The default page is the first. No pages
+    give no rows."""
+    c = F.col
+    tier = c("is_recipe_page").cast("int")
+    top = scored.select("page_num", "recipe_confidence", F.coalesce(tier, F.lit(0)).alias("tier")).withColumn("order", F.when(c("tier") == 1, -c("recipe_confidence")).otherwise(0.0))
+    best = top.orderBy(F.desc("tier"), "order", "page_num").limit(n)
+    w = Window.orderBy(F.desc("tier"), "order", "page_num")  # over n rows
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = best.withColumns({"rank": F.row_number().over(w), "best": F.max("tier").over(every), "default_page": F.first("page_num").over(every)}).where("tier = best")
+    found = c("tier") == 1
+    return ranked.select("rank", "page_num", F.when(found, c("recipe_confidence")).otherwise(0.0).alias("recipe_confidence"),
+                         F.when(found, "curated_recipe").otherwise("fallback_any").alias("mode"), F.when(found, "ok").otherwise("degraded").alias("status"), "default_page")
+
+
+def best_pages_by_label(words: DataFrame, labels: list[str], n: int = 5, label: str = "label_pred") -> DataFrame:
+    """(label, rank, page_num, n): for each of the labels the n pages that hold most of it; the smaller page number wins ties, and
+    pages without it fill up. Spark drops all but n rows a label and task before the rows meet (a group limit)."""
+    page = words.groupBy("page_num").agg(*(F.count_if(F.col(label) == x).alias(f"n{k}") for k, x in enumerate(labels)))
+    rows = page.select("page_num", F.inline(F.array(*(F.struct(F.lit(x).alias("label"), F.col(f"n{k}").alias("n")) for k, x in enumerate(labels)))))
+    w = Window.partitionBy("label").orderBy(F.desc("n"), "page_num")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("label", "rank", "page_num", "n")
+
+
 def limits_by_round(limits: dict[str, float] = LIMITS, rounds: int = 5) -> list[dict[str, float]]:
     out = [dict(limits)]
     for _ in range(rounds - 1):

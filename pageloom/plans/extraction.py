@@ -53,6 +53,18 @@ def overall_confidence(spark, sf):
     return _recipes(spark, sf).select("page_num", F.round((F.col("conf_title") + F.col("conf_ingredients") + F.col("conf_instructions")) / 3, 9).alias("mean_conf"))
 
 
+@query(XL + """, oc AS (SELECT doc_id AS page_num, CASE WHEN doc_id % 3 = 0 THEN conf_title END AS a, CASE WHEN doc_id % 3 < 2 THEN conf_ingredients END AS b FROM documents LEFT JOIN rw ON page_num = doc_id),
+om AS (SELECT page_num, avg(conf / 100) AS m FROM tok WHERE page_num % 5 > 0 GROUP BY page_num)
+SELECT page_num, round(coalesce((coalesce(a, 0) + coalesce(b, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT, 0), m, 0.85), 9) AS overall_confidence, CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN 'fields' WHEN m IS NOT NULL THEN 'tokens' ELSE 'default' END AS confidence_from FROM oc LEFT JOIN om USING (page_num)""")
+def overall_confidence_chain(spark, sf):
+    """Fields without a confidence on some pages, words left out on others."""
+    c = F.col
+    pages = spark.read.parquet(f"{sf}/documents.parquet").select(c("doc_id").alias("page_num"))
+    some = _recipes(spark, sf).select("page_num", F.when(c("page_num") % 3 == 0, c("conf_title")).alias("a"), F.when(c("page_num") % 3 < 2, c("conf_ingredients")).alias("b"))
+    words = _words(spark, sf).where("page_num % 5 > 0").select("page_num", (c("conf") / 100).alias("conf"))
+    return extraction.confidence_chain(pages.join(some, "page_num", "left"), ["a", "b"], words).select("page_num", "overall_confidence", "confidence_from")
+
+
 @query(XL + """SELECT page_num, '# ' || coalesce(nullif(trim(title), ''), 'Recipe') || chr(10) || chr(10) || '## Ingredients' || chr(10) || CASE WHEN len(ingredients) > 0 THEN array_to_string(list_transform(ingredients, lambda x: '- ' || x), chr(10)) ELSE '- (not detected)' END
  || chr(10) || chr(10) || '## Instructions' || chr(10) || CASE WHEN len(instructions) > 0 THEN array_to_string(list_transform(instructions, lambda x, i: i || '. ' || x), chr(10)) ELSE '1. (not detected)' END AS markdown FROM rw""")
 def recipe_to_markdown(spark, sf):

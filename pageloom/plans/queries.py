@@ -270,6 +270,12 @@ def words_to_word_level(spark, sf):
     return labels.words_to_word_level(t)
 
 
+@query(TOK + ", d AS (SELECT page_num, word_idx // 3 AS w, word_idx AS pos, label_pred, conf FROM tok), r AS (SELECT *, row_number() OVER (PARTITION BY page_num, w ORDER BY pos) AS k FROM d) SELECT page_num, w AS word_idx, pos, label_pred, conf FROM r WHERE k = 1")
+def words_to_first_piece(spark, sf):
+    t = _words(spark, sf).select("page_num", F.floor(F.col("word_idx") / 3).alias("word_idx"), F.col("word_idx").alias("pos"), "label_pred", "conf")
+    return labels.words_to_first_piece(t)
+
+
 @query("SELECT doc_id AS page_num FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def gate_candidates(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id", "left_semi").withColumnRenamed("doc_id", "page_num")

@@ -35,7 +35,8 @@ SCORED = TOK + f""", sp0 AS (SELECT page_num, count(*) AS n, count(*) FILTER (la
   avg(conf / 100) FILTER (label_pred <> 'O') AS mean, arg_max(word, conf * 100000 - word_idx) FILTER (label_pred = 'TITLE') AS bt FROM tok GROUP BY page_num),
 sp1 AS (SELECT sp0.*, text, ti > 50 OR ing < 5 OR ins < 10 AS rej FROM sp0 JOIN page USING (page_num)),
 sp AS (SELECT *, CASE WHEN rej THEN 0.0::DOUBLE ELSE 0.45::DOUBLE * least(1.0::DOUBLE, ing / 25.0::DOUBLE) + 0.45::DOUBLE * least(1.0::DOUBLE, ins / 30.0::DOUBLE) + 0.10::DOUBLE * (1.0::DOUBLE - least(1.0::DOUBLE, ti / 40.0::DOUBLE)) END AS s FROM sp1),
-pred AS (SELECT page_num, round_even(s, 4) AS recipe_confidence, NOT rej AND {LIKE} AND s >= 0.35 AS is_recipe_page, coalesce(trim(bt), '') AS best_title, round_even(coalesce(mean, 0), 4) AS avg_token_confidence, round_even(k / n, 4) AS recipe_token_ratio FROM sp)
+pred AS (SELECT page_num, round_even(s, 4) AS recipe_confidence, NOT rej AND {LIKE} AND s >= 0.35 AS is_recipe_page, coalesce(trim(bt), '') AS best_title, round_even(coalesce(mean, 0), 4) AS avg_token_confidence, round_even(k / n, 4) AS recipe_token_ratio, ing AS ingredient_tokens, ins AS instruction_tokens, ti AS title_tokens,
+  round_even(least(1.0::DOUBLE, ing / 25.0::DOUBLE), 4) AS ingredient_score, round_even(least(1.0::DOUBLE, ins / 30.0::DOUBLE), 4) AS instruction_score, round_even(least(1.0::DOUBLE, ti / 40.0::DOUBLE), 4) AS title_penalty, {selection.SCORE_VERSION} AS score_version FROM sp)
 """
 
 
@@ -54,6 +55,28 @@ def featured_pages(spark, sf):
     return _scored(spark, sf).orderBy(F.desc("is_recipe_page"), F.desc("recipe_confidence"), "page_num").limit(10).select("page_num", "recipe_confidence")
 
 
+_FEATURED = """fb AS (SELECT count(*) FILTER (is_recipe_page) AS recipes FROM ps), fr AS (SELECT page_num, CASE WHEN is_recipe_page THEN recipe_confidence ELSE 0 END AS recipe_confidence, is_recipe_page FROM ps, fb WHERE is_recipe_page OR recipes = 0),
+fk AS (SELECT *, row_number() OVER (ORDER BY recipe_confidence DESC, page_num) AS rank FROM fr)
+SELECT rank::INT AS rank, page_num, recipe_confidence, CASE WHEN is_recipe_page THEN 'curated_recipe' ELSE 'fallback_any' END AS mode, CASE WHEN is_recipe_page THEN 'ok' ELSE 'degraded' END AS status, (SELECT page_num FROM fk WHERE rank = 1) AS default_page FROM fk WHERE rank <= 10"""
+
+
+@query(SCORED + ", ps AS (SELECT * FROM pred), " + _FEATURED)
+def featured_status(spark, sf):
+    return selection.featured(_scored(spark, sf))
+
+
+@query(SCORED + ", ps AS (SELECT * FROM pred WHERE NOT is_recipe_page), " + _FEATURED)
+def featured_fallback(spark, sf):
+    """Without the recipe pages."""
+    return selection.featured(_scored(spark, sf).where("NOT is_recipe_page"))
+
+
+@query(TOK + """, bl AS (SELECT page_num, l.label, count(*) FILTER (tok.label_pred = l.label) AS n FROM tok, (SELECT unnest(['INGREDIENT_LINE', 'INSTRUCTION_STEP', 'TITLE']) AS label) l GROUP BY ALL),
+bk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, page_num) AS rank FROM bl) SELECT label, rank::INT AS rank, page_num, n FROM bk WHERE rank <= 5""")
+def best_pages_by_label(spark, sf):
+    return selection.best_pages_by_label(_words(spark, sf), ["INGREDIENT_LINE", "INSTRUCTION_STEP", "TITLE"])
+
+
 @query(TOK + f"SELECT min(page_num) AS first_page FROM page WHERE page_num >= 69 AND {LIKE}")
 def first_recipe_page(spark, sf):
     return _pages(spark, sf).where((F.col("page_num") >= 69) & selection.recipe_like(F.col("text"))).agg(F.min("page_num").alias("first_page"))

@@ -3,18 +3,18 @@
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
-from pageloom.operators import extraction, heuristics, rules, vocabularies
+from pageloom.operators import extraction, heuristics, labels, rules, selection, vocabularies
 
 WORDS = "page_num long, line_id long, word_idx int, word string, label string, x0 int, y0 int, x1 int, y1 int, conf int, height int"
 
 
-def _page(spark, page, lines, labels=None, height=1000, top=300):
+def _page(spark, page, lines, tags=None, height=1000, top=300):
     """Lines of words, each line 40 below the one before."""
     rows, k = [], 0
     for n, line in enumerate(lines):
         for x, w in enumerate(line.split()):
             y = top + 40 * n
-            rows.append((page, n, k, w, labels[k] if labels else "O", 60 * x, y, 60 * x + 50, y + 20, 90, height))
+            rows.append((page, n, k, w, tags[k] if tags else "O", 60 * x, y, 60 * x + 50, y + 20, 90, height))
             k += 1
     return spark.createDataFrame(rows, WORDS)
 
@@ -102,3 +102,34 @@ def test_recipes_take_the_title_chain(spark):
     assert (got[1].ingredients, got[1].instructions, got[1].conf_overall) == (["1 cup sugar"], ["Bake well."], 0.9)
     assert (got[3].ingredients, got[3].conf_overall, got[5].conf_overall) == ([], 0.5, 0.0)
     assert extraction.extract_recipe(words.limit(0)).count() == 0
+
+
+def test_confidence_chain(spark):
+    recipes = spark.createDataFrame([(1, 0.5, None), (2, None, None), (3, None, None), (4, 0.4, 0.8)], "page_num long, a double, b double")
+    tokens = spark.createDataFrame([(2, 0.2), (2, None), (4, 0.1)], "page_num long, conf double")
+    got = {r.page_num: (r.overall_confidence, r.confidence_from) for r in extraction.confidence_chain(recipes, ["a", "b"], tokens).collect()}
+    assert got == {1: (0.5, "fields"), 2: (0.1, "tokens"), 3: (0.85, "default"), 4: (0.6, "fields")}
+
+
+def test_featured_pages_fall_back(spark):
+    rows = [(1, 0.2, False), (2, 0.5, True), (3, 0.9, True), (4, 0.9, True), (5, 0.99, None)]
+    scored = spark.createDataFrame(rows, "page_num long, recipe_confidence double, is_recipe_page boolean")
+    show = lambda df: [(r["rank"], r.page_num, r.recipe_confidence, r.status, r.default_page) for r in df.orderBy("rank").collect()]
+    assert show(selection.featured(scored)) == [(1, 3, 0.9, "ok", 3), (2, 4, 0.9, "ok", 3), (3, 2, 0.5, "ok", 3)]
+    assert show(selection.featured(scored.where("page_num IN (1, 5)"))) == [(1, 1, 0.0, "degraded", 1), (2, 5, 0.0, "degraded", 1)]
+    assert show(selection.featured(scored.limit(0))) == []
+
+
+def test_best_pages_are_cut_before_the_shuffle(spark):
+    words = spark.createDataFrame([(p, "A" if k < p % 7 else "B") for p in range(40) for k in range(7)], "page_num long, label_pred string")
+    best = selection.best_pages_by_label(words, ["A", "C"], 3)
+    assert "WindowGroupLimit" in best._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.label, r["rank"], r.page_num, r.n) for r in best.collect())
+    assert got == [("A", 1, 6, 6), ("A", 2, 13, 6), ("A", 3, 20, 6), ("C", 1, 0, 0), ("C", 2, 1, 0), ("C", 3, 2, 0)]
+
+
+def test_first_pieces(spark):
+    rows = [(1, 0, 1, "a", 5), (1, 0, 0, "b", 1), (1, 0, 0, "c", 3), (1, None, 2, None, None), (2, 0, 4, "d", None)]
+    got = labels.words_to_first_piece(spark.createDataFrame(rows, "page_num long, word_idx long, pos long, label_pred string, conf int"))
+    assert got.columns == ["page_num", "word_idx", "pos", "label_pred", "conf"]
+    assert {(r.page_num, r.word_idx): (r.pos, r.label_pred, r.conf) for r in got.collect()} == {(1, 0): (0, "c", 3), (1, None): (2, None, None), (2, 0): (4, "d", None)}
