@@ -238,3 +238,27 @@ def metric_report(confusion: DataFrame) -> DataFrame:
     weighted = [F.sum(c(m) * c("support")) / F.sum("support") for m in names]
     whole = per.agg((F.sum("tp") / F.sum("support")).alias("accuracy"), *[F.avg(m).alias(f"macro_{m}") for m in names], *[w.alias(f"weighted_{m}") for w, m in zip(weighted, names, strict=True)])
     return by_label.unionByName(whole.select(F.lit("all").alias("label"), tidy([(m, c(m)) for m in whole.columns])))
+
+
+def upgrade_recipes(records: DataFrame, text: str = "value") -> DataFrame:
+    """Recipe records of older and newer shapes, JSON objects in a text column, in one shape: the other columns, readable, title,
+    ingredients, instructions, servings, yield, prep_time, cook_time and conf_title, conf_ingredients, conf_instructions, conf_overall.
+
+    The texts are parsed once, as variants, and fields are taken by path, as records of several shapes have no schema in common.
+    Newer names (prepTime, cookTime) go before older ones. A missing title is "", missing lists are empty, a missing confidence (or
+    one that is no object) is 0.9 throughout; a confidence without one of its fields leaves that null. Numbers become texts. Texts
+    that hold no JSON object, and null texts, have readable false and nothing else.
+    """
+    others = [x for x in records.columns if x != text]
+    parsed = records.select(*others, F.try_parse_json(text).alias("_record"))
+    v, got = F.col("_record"), lambda path, kind: F.try_variant_get("_record", path, kind)
+    shape = lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))
+    readable, sure = shape(v), shape(got("$.confidence", "variant"))
+    when = lambda x: F.when(readable, x)
+    many = lambda k: when(F.coalesce(got(f"$.{k}", "array<string>"), F.array().cast("array<string>"))).alias(k)
+    time = lambda new, old: when(F.coalesce(got(f"$.{new}", "string"), got(f"$.{old}", "string"))).alias(old)
+    conf = lambda k: when(F.when(sure, got(f"$.confidence.{k}", "double")).otherwise(0.9)).alias(f"conf_{k}")
+    return parsed.select(
+        *others, readable.alias("readable"), when(F.coalesce(got("$.title", "string"), F.lit(""))).alias("title"), many("ingredients"), many("instructions"),
+        *(when(got(f"$.{k}", "string")).alias(k) for k in ("servings", "yield")), time("prepTime", "prep_time"), time("cookTime", "cook_time"), *map(conf, ("title", "ingredients", "instructions", "overall")),
+    )

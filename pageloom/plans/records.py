@@ -333,3 +333,18 @@ def materialize_pages(spark, sf):
     sinks.write(_recipes(spark, sf).join(first.select("page_num"), "page_num", "left_semi"), f"{path}/recipes")
     both = spark.read.parquet(f"{path}/predictions").join(spark.read.parquet(f"{path}/recipes"), "page_num", "left")
     return both.select("page_num", "recipe_confidence", F.coalesce("title", F.lit("")).alias("title"))
+
+
+@query(XL + """, k AS (SELECT *, page_num % 4 AS k FROM rw)
+SELECT page_num, k < 3 AS readable, CASE k WHEN 2 THEN '' WHEN 3 THEN NULL ELSE title END AS title, CASE WHEN k < 3 THEN array_to_string(ingredients, '|') END AS ingredients, CASE k WHEN 2 THEN '' WHEN 3 THEN NULL ELSE array_to_string(instructions, '|') END AS instructions,
+ CASE k WHEN 0 THEN len(ingredients)::VARCHAR END AS servings, CASE k WHEN 0 THEN '5 min' WHEN 1 THEN '6 min' END AS prep_time, CASE k WHEN 0 THEN conf_title WHEN 3 THEN NULL ELSE 0.9 END AS conf_title, CASE WHEN k IN (1, 2) THEN 0.9 END AS conf_overall FROM k""")
+def upgrade_recipes(spark, sf):
+    """Records of four shapes in one text file, written and read back: newer, older, older with fields left out, and no JSON."""
+    r, kind, place = _recipes(spark, sf), c("page_num") % 4, sinks.shared_folder(spark)
+    newer = F.struct("page_num", "title", "ingredients", "instructions", F.size("ingredients").alias("servings"), F.lit("5 min").alias("prepTime"), F.struct(c("conf_title").alias("title")).alias("confidence"))
+    older = F.struct("page_num", "title", "ingredients", "instructions", F.lit("6 min").alias("prep_time"))
+    shapes = F.when(kind == 0, F.to_json(newer)).when(kind == 1, F.to_json(older)).when(kind == 2, F.to_json(F.struct("page_num", "ingredients"))).otherwise("not a record")
+    r.select(F.concat(c("page_num").cast("string"), F.lit("\t"), shapes).alias("value")).write.text(f"{place}/shapes")
+    lines = spark.read.text(f"{place}/shapes").select(F.substring_index("value", "\t", 1).cast("long").alias("page_num"), F.regexp_extract("value", r"\t(.*)$", 1).alias("value"))
+    joined = {k: F.array_join(k, "|") for k in ("ingredients", "instructions")}
+    return records.upgrade_recipes(lines).withColumns(joined).select("page_num", "readable", "title", "ingredients", "instructions", "servings", "prep_time", "conf_title", "conf_overall")

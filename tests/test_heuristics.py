@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
-from pageloom.operators import extraction, heuristics, labels, rules, selection, vocabularies
+from pageloom.operators import extraction, heuristics, labels, records, rules, selection, vocabularies
 
 WORDS = "page_num long, line_id long, word_idx int, word string, label string, x0 int, y0 int, x1 int, y1 int, conf int, height int"
 
@@ -133,3 +133,15 @@ def test_first_pieces(spark):
     got = labels.words_to_first_piece(spark.createDataFrame(rows, "page_num long, word_idx long, pos long, label_pred string, conf int"))
     assert got.columns == ["page_num", "word_idx", "pos", "label_pred", "conf"]
     assert {(r.page_num, r.word_idx): (r.pos, r.label_pred, r.conf) for r in got.collect()} == {(1, 0): (0, "c", 3), (1, None): (2, None, None), (2, 0): (4, "d", None)}
+
+
+def test_records_of_several_shapes(spark):
+    texts = [
+        '{"title": "A", "ingredients": ["x", "y"], "instructions": null, "servings": 4, "prepTime": "5", "prep_time": "6", "confidence": {"title": 0.5}}',
+        '{"prep_time": 6, "confidence": 3, "ingredients": "none"}', "[1]", "{", None, "",
+    ]
+    got = records.upgrade_recipes(spark.createDataFrame([(k, t, "t") for k, t in enumerate(texts)], "id int, value string, source string")).orderBy("id").collect()
+    a, b = got[0], got[1]
+    assert (a.source, a.title, a.ingredients, a.instructions, a.servings, a.prep_time, a.conf_title, a.conf_overall) == ("t", "A", ["x", "y"], [], "4", "5", 0.5, None)
+    assert (b.title, b.ingredients, b.servings, b.prep_time, b.conf_title, b.conf_overall) == ("", [], None, "6", 0.9, 0.9)
+    assert [(r.readable, r.title, r.ingredients, r.conf_title) for r in got[2:]] == [(False, None, None, None)] * 4
