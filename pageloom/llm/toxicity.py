@@ -12,12 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bounded
+from .common import bound_batches, bounded, by_key
 
 #: Hashed features; bytes of a word that make its prefix feature.
 DIM, PREFIX = 1 << 22, 6
-#: Most confirmed toxic and unlabelled documents that the steps of the risk read (defaults of train's arguments).
-POSITIVES, UNLABELLED, MODELS = 6000, 18000, 3
+#: Most confirmed toxic documents that the steps of the risk read; unlabelled documents of a part, about; classifiers
+#: (defaults of train's arguments).
+POSITIVES, UNLABELLED, MODELS = 6000, 6000, 3
+#: Weights are summed in whole numbers of this part of one, so that sums don't depend on their order.
+UNIT = 1 << 32
 #: A feature is in so many confirmed documents at least, and so many times more frequent there.
 LEAST, RATIO = 5, 4
 #: Confirmed ids that are broadcast, at most (8 bytes each); more are joined by a shuffle.
@@ -71,18 +74,22 @@ def chunks(texts: pd.Series, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
 Pairs = tuple[np.ndarray, np.ndarray, int]
 
 
-def risk_and_gradient(w: np.ndarray, b: float, positive: Pairs, unlabelled: Pairs, prior: float) -> tuple[float, float, np.ndarray]:
+def risk_and_gradient(
+    w: np.ndarray, b: float, positive: Pairs, unlabelled: Pairs, prior: float, counts: np.ndarray | None = None
+) -> tuple[float, float, np.ndarray]:
     """(risk, bracket, direction) of a logistic classifier (weights, bias) over documents given as (row, feature, documents).
+    An unlabelled row stands for as many equal documents as counts says (1 without it).
 
     risk is prior * E+[l(+)] + max(0, bracket) with bracket = Eu[l(-)] - prior * E+[l(-)]. direction is the gradient of the
     risk in (weights, bias); where the bracket is negative it is the gradient of -bracket, as the non-negative estimator
     asks for, to bring it back above zero.
     """
     (ip, jp, n_p), (iu, ju, n_u) = positive, unlabelled
+    share = np.full(n_u, 1 / n_u) if counts is None else counts / counts.sum()
     zp, zu = np.bincount(ip, weights=w[jp], minlength=n_p) + b, np.bincount(iu, weights=w[ju], minlength=n_u) + b
     sp, su = (1 / (1 + np.exp(-np.clip(z, -40, 40))) for z in (zp, zu))
-    bracket = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-    dp, du = -prior * sp / n_p, su / n_u  # of the bracket
+    bracket = share @ np.logaddexp(0, zu) - prior * np.logaddexp(0, zp).mean()
+    dp, du = -prior * sp / n_p, su * share  # of the bracket
     if bracket >= 0:
         dp = dp + prior * (sp - 1) / n_p
     else:
@@ -95,13 +102,16 @@ def _pairs(rows: list[np.ndarray]) -> Pairs:
     return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.uint32)]).astype(np.int64), len(rows)
 
 
-def fit_nnpu(rows_p: list[np.ndarray], rows_u: list[np.ndarray], n: int, prior: float, rounds: int = 300, rate: float = 0.1, decay: float = 3e-4) -> tuple[np.ndarray, float]:
-    """(weights of n features, bias) that make the non-negative PU risk small, by Adam steps; a row is its features' numbers."""
+def fit_nnpu(
+    rows_p: list[np.ndarray], rows_u: list[np.ndarray], n: int, prior: float, counts: np.ndarray | None = None, rounds: int = 300, rate: float = 0.1, decay: float = 3e-4
+) -> tuple[np.ndarray, float]:
+    """(weights of n features, bias) that make the non-negative PU risk small, by Adam steps; a row is its features' numbers,
+    and an unlabelled one stands for `counts` documents."""
     positive, unlabelled = _pairs(rows_p), _pairs(rows_u)
     w, b = np.zeros(n), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, rounds + 1):
-        grad = risk_and_gradient(w, b, positive, unlabelled, prior)[2] + np.append(decay * w, 0.0)
+        grad = risk_and_gradient(w, b, positive, unlabelled, prior, counts)[2] + np.append(decay * w, 0.0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
@@ -146,27 +156,74 @@ def _frequencies(texts: DataFrame, run) -> tuple[np.ndarray, np.ndarray]:
     return f[order], n[order]
 
 
+def _listed(texts: pa.Array, slot: np.ndarray, n: int) -> Iterator[tuple[int, int, pa.Array]]:
+    """Ranges of texts with their features among n known ones: sorted places as unsigned 32-bit integers, in bytes."""
+    for lo, hi in chunks(texts.to_pandas()):
+        row, f = features(texts[lo:hi].to_pylist())
+        at = slot[f]
+        row, at = row[at < n], at[at < n]
+        edges = np.searchsorted(row, np.arange(hi - lo + 1))
+        yield lo, hi, pa.array([np.sort(at[a:e]).astype("<u4").tobytes() for a, e in pairwise(edges)], pa.binary())
+
+
 def _sample(docs: DataFrame, most: int, total: int, names: np.ndarray, salt: int) -> list[np.ndarray]:
     """The features, as places in names, of the `most` documents whose ids have the smallest hashes: the same documents in the
     same order however they are dealt to tasks."""
+    h = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = _slots(names)
+        for b in batches:
+            for lo, hi, kept in _listed(b.column(3), slot, len(names)):
+                yield pa.RecordBatch.from_arrays([*(b.column(k)[lo:hi] for k in range(3)), kept], ["h", "doc_id", "t", "f"])
+
+    def first(share: float) -> list[np.ndarray]:
+        rows = docs.where(h <= int(share * (1 << 30))).select(h.alias("h"), F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+        kept = rows.mapInArrow(run, "h long, doc_id string, t long, f binary").orderBy("h", "doc_id", "t").limit(most).select("f").collect()
+        return [np.frombuffer(r.f, "<u4") for r in kept]
+
     share = min(1.0, 1.2 * most / max(total, 1) + 1e-6)
-    h = F.xxhash64("doc_id", F.lit(salt))
-    picked = docs.where(F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30)))
+    found = first(share)
+    return found if share == 1 or len(found) == most else first(1.0)
+
+
+def _dealt(docs: DataFrame, names: np.ndarray, parts: int, seed: int) -> DataFrame:
+    """(part, f, n): each different list f of features with the number of its documents, shared out evenly among the parts.
+
+    Equal lists are counted before anything is shuffled. A list of fewer documents than parts gives one to each of as many
+    parts, beginning at one that its hash says; so a list that many documents have weighs the same in all parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = _slots(names)
         for b in batches:
-            for lo, hi in chunks(b.column(3).to_pandas()):
-                row, f = features(b.column(3)[lo:hi].to_pylist())
-                at = slot[f]
-                row, at = row[at < len(names)], at[at < len(names)]
-                edges = np.searchsorted(row, np.arange(hi - lo + 1))
-                kept = [np.sort(at[a:e]).astype("<u4").tobytes() for a, e in pairwise(edges)]
-                yield pa.RecordBatch.from_arrays([*(b.column(k)[lo:hi] for k in range(3)), pa.array(kept, pa.binary())], ["h", "doc_id", "t", "f"])
+            for _, _, kept in _listed(b.column(0), slot, len(names)):
+                yield pa.RecordBatch.from_arrays([kept], ["f"])
+
+    n, c = F.lit(parts).cast("long"), F.col("c")
+    lists = docs.select("text").mapInArrow(run, "f binary").groupBy("f").agg(F.count("*").alias("c"))
+    spread = lists.select("f", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.least(c, n) - 1)).alias("k"))
+    part = F.pmod(F.pmod(F.xxhash64("f", F.lit(seed)), n) + F.col("k"), n)
+    return spread.select(part.alias("part"), "f", (F.floor(c / n) + (F.col("k") < c % n).cast("long")).alias("n"))
+
+
+def _fitted(dealt: DataFrame, rows_p: list[np.ndarray], n: int, prior: float, models: int, tasks: int) -> list[tuple[np.ndarray, float]]:
+    """A classifier for each remainder of the parts' numbers by `models`: the mean of the weights of its parts, each of which
+    is fitted in a task that holds that part and the confirmed documents. At most (n + 1) * models rows reach the driver."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, met = np.zeros((models, n + 1), np.int64), np.zeros(models, np.int64)
+        for (part,), rows in by_key(frames, ["part"]):
+            w, b = fit_nnpu(rows_p, [np.frombuffer(f, "<u4") for f in rows["f"]], n, prior, rows["n"].to_numpy())
+            total[part % models] += np.rint(np.append(w, b) * UNIT).astype(np.int64)
+            met[part % models] += 1
+        for m in met.nonzero()[0]:
+            yield pd.DataFrame({"model": int(m), "at": np.arange(n + 1), "w": total[m], "parts": met[m]})
 
-    rows = picked.select(F.pmod(h, F.lit(1 << 30)).alias("h"), F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    first = rows.mapInArrow(run, "h long, doc_id string, t long, f binary").orderBy("h", "doc_id", "t").limit(most).select("f").collect()
-    return [np.frombuffer(r.f, "<u4") for r in first]
+    sums = dealt.repartition(tasks, "part").sortWithinPartitions("part", "f").mapInPandas(run, "model int, at int, w long, parts long")
+    rows = sums.groupBy("model", "at").agg(F.sum("w").alias("w"), F.sum("parts").alias("parts")).toPandas().sort_values(["model", "at"])
+    means = [(g["w"] / UNIT / g["parts"]).to_numpy() for _, g in rows.groupby("model")]
+    return [(w[:-1], float(w[-1])) for w in means]
 
 
 def train(
@@ -176,10 +233,12 @@ def train(
     in any row; all of docs is the unlabelled side. The class prior is the share of toxic among the labelled ones.
 
     Features, counted over all confirmed and all unlabelled documents, are those that LEAST confirmed documents or more have,
-    and that are over RATIO times more frequent there. The steps of the risk read at most `positives` and `unlabelled`
-    documents, the latter shared out among the models: those whose ids have the smallest hashes. Rows with equal ids are
-    told apart by their texts, so the result does not depend on how rows are dealt. Without a positive there is one model,
-    which gives the prior alone.
+    and that are over RATIO times more frequent there. All unlabelled documents take part in the risk: they are dealt to parts
+    of about `unlabelled` documents, `models` parts at least; the steps are taken in each part, beside the same confirmed
+    documents, and each classifier is the mean of every so manyth part. Of the confirmed documents the steps read at most
+    `positives`, those whose ids have the smallest hashes. Rows with equal ids are told apart by their texts, and weights are
+    added up in whole numbers, so the result does not depend on how rows are dealt to tasks. Without a positive there is one
+    model, which gives the prior alone.
     """
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n_toxic, n_known = known.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
@@ -197,10 +256,10 @@ def train(
     in_u = np.zeros(len(names), np.int64)
     in_u[np.searchsorted(names, seen)] = count
     names = names[(in_p + 0.1) / (n_p + 1) > RATIO * (in_u + 0.1) / (n_u + 1)]
-    rows_p, rows_u = _sample(confirmed, positives, n_p, names, 3), _sample(docs, unlabelled, n_u, names, 7)
-    order = np.random.default_rng(seed).permutation(len(rows_u))
-    parts = [[rows_u[i] for i in order[k::models]] for k in range(models)]
-    return names, [fit_nnpu(rows_p, part or rows_u, len(names), prior) for part in parts]
+    rows_p = _sample(confirmed, positives, n_p, names, 3)
+    parts = max(models, -(-n_u // unlabelled))
+    tasks = min(parts, 8 * docs.sparkSession.sparkContext.defaultParallelism)
+    return names, _fitted(_dealt(docs, names, parts, seed), rows_p, len(names), prior, models, tasks)
 
 
 def score(docs: DataFrame, names: np.ndarray, models: list[tuple[np.ndarray, float]]) -> DataFrame:

@@ -663,6 +663,42 @@ def test_nnpu_risk_and_gradient():
     assert signs == {True, False}
 
 
+def test_nnpu_takes_every_unlabelled_document(spark):
+    """Lists are dealt whole and evenly; a row that stands for n documents weighs as n rows do; parts give one classifier each."""
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = base.unionByName(spark.range(500).select(F.col("id").alias("doc_id"), F.lit("same words here").alias("text")))
+    names = toxicity._frequencies(docs, toxicity._counted)[0][::40]
+    rows = toxicity._dealt(docs.repartition(5), names, 7, 1).collect()
+    lists = Counter()
+    slot = {f: i for i, f in enumerate(names.tolist())}
+    for r in docs.collect():
+        at = sorted(slot[f] for f in toxicity.features([r.text])[1].tolist() if f in slot)
+        lists[np.array(at, "<u4").tobytes()] += 1
+    got = Counter()
+    for r in rows:
+        got[bytes(r.f)] += r.n
+    assert got == lists and all(r.n > 0 for r in rows) and {r.part for r in rows} <= set(range(7))
+    by_list = {}
+    for r in rows:
+        by_list.setdefault(bytes(r.f), []).append(r.n)
+    assert all(max(n) - min(n) <= 1 and len(n) == min(7, sum(n)) for n in by_list.values())
+    r = np.random.default_rng(5)
+    rows_p, rows_u = ([np.nonzero(r.random(6) < 0.4)[0] for _ in range(n)] for n in (7, 11))
+    w, b, counts = r.normal(0, 1, 6), 0.2, np.arange(1, 12)
+    many = [x for x, n in zip(rows_u, counts, strict=True) for _ in range(n)]
+    one = toxicity.risk_and_gradient(w, b, toxicity._pairs(rows_p), toxicity._pairs(rows_u), 0.3, counts)
+    each = toxicity.risk_and_gradient(w, b, toxicity._pairs(rows_p), toxicity._pairs(many), 0.3)
+    assert one[:2] == pytest.approx(each[:2]) and one[2] == pytest.approx(each[2])
+    dealt = toxicity._dealt(docs, names, 6, 1)
+    models = toxicity._fitted(dealt, rows_p, len(names), 0.3, 3, 4)
+    for m, (w, b) in enumerate(models):
+        alone = []
+        for part in (m, m + 3):
+            mine = sorted((bytes(x.f), x.n) for x in dealt.where(F.col("part") == part).collect())
+            alone.append(toxicity.fit_nnpu(rows_p, [np.frombuffer(f, "<u4") for f, _ in mine], len(names), 0.3, np.array([n for _, n in mine])))
+        assert w == pytest.approx((alone[0][0] + alone[1][0]) / 2, abs=1e-6) and b == pytest.approx((alone[0][1] + alone[1][1]) / 2, abs=1e-6)
+
+
 BIG = 2**60 + 1
 
 
