@@ -53,20 +53,29 @@ ANCHORED = {
 }
 
 
+#: Starts that a fold gathers before it sets them aside, so that a step never copies all starts before it.
+BLOCK = 64
+
+
 def _line_starts(at: Column, tolerance: Column, smooth: bool) -> Column:
     """Places (from 1) of an array of positions where a line begins: where one is off the line's mark by more than the
     tolerance. The mark is the line's first position; with smooth, the mean of itself and each position in turn, across lines.
+
+    Arrays can't grow in place, so starts are gathered in blocks: a step copies a block at most, or one reference a block.
     """
-    first = F.struct(F.lit(0).alias("i"), F.lit(None).cast("double").alias("mark"), F.array().cast("array<int>").alias("starts"))
+    empty = F.array().cast("array<int>")
+    first = F.struct(F.lit(0).alias("i"), F.lit(None).cast("double").alias("mark"), F.array().cast("array<array<int>>").alias("full"), empty.alias("starts"))
 
     def step(state: Column, y: Column) -> Column:
         new = state["mark"].isNull() | (F.abs(y - state["mark"]) > tolerance)
         before = F.coalesce(state["mark"], y)
         mark = (before + y) / 2 if smooth else F.when(new, y).otherwise(before)
-        starts = F.when(new, F.concat(state["starts"], F.array(state["i"] + 1))).otherwise(state["starts"])
-        return F.struct((state["i"] + 1).alias("i"), mark.alias("mark"), starts.alias("starts"))
+        here, set_aside = F.array(state["i"] + 1), new & (F.size(state["starts"]) >= BLOCK)
+        full = F.when(set_aside, F.concat(state["full"], F.array(state["starts"]))).otherwise(state["full"])
+        starts = F.when(set_aside, here).when(new, F.concat(state["starts"], here)).otherwise(state["starts"])
+        return F.struct((state["i"] + 1).alias("i"), mark.alias("mark"), full.alias("full"), starts.alias("starts"))
 
-    return F.aggregate(at, first, step, lambda state: state["starts"])
+    return F.aggregate(at, first, step, lambda state: F.flatten(F.concat(state["full"], F.array(state["starts"]))))
 
 
 def group_lines(words: DataFrame, mode: str = "gap", key: tuple[str, ...] = ("page_num",), relative: float = 0.015) -> DataFrame:
@@ -94,5 +103,6 @@ def group_lines(words: DataFrame, mode: str = "gap", key: tuple[str, ...] = ("pa
         tolerance = F.lit(fixed)
     folded = pages.select(*key, "r", _line_starts(F.transform("r", lambda x: x["at"]), tolerance, mode == "smoothed").alias("s"))
     end = lambda k: F.coalesce(F.get("s", k + 1), F.size("r") + 1)
-    cut = F.transform("s", lambda start, k: F.transform(F.slice("r", start, end(k) - start), lambda x: F.struct(x["w"].alias("word_idx"), k.cast("long").alias("line_id"))))
-    return folded.select(*key, F.inline(F.flatten(cut)))
+    ids = F.flatten(F.transform("s", lambda start, k: F.array_repeat(k.cast("long"), end(k) - start)))  # slices would copy the page
+    zipped = folded.select(*key, F.col("r.w").alias("word_idx"), ids.alias("line_id"))
+    return zipped.select(*key, F.inline(F.arrays_zip("word_idx", "line_id")))

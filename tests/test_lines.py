@@ -58,3 +58,22 @@ def test_line_queries_hold_every_word(spark, mode):
     words = entry.queries()["scan_pages_parquet"](spark, SF).select("page_num", "word_idx")
     got = entry.queries()["lines_" + mode](spark, SF)
     assert got.count() == words.count() == got.join(words, ["page_num", "word_idx"]).where(F.col("line_id") >= 0).count()
+
+
+@pytest.mark.parametrize("mode", ["anchor_center", "smoothed"])
+def test_long_page_with_a_line_a_word(spark, mode):
+    """More lines than a block of the fold holds, many times over; a page's words all keep their own line."""
+    n = 20_020
+    i = F.col("id").cast("int")
+    words = spark.range(n).select(
+        F.lit(1).alias("page_num"), i.alias("word_idx"), F.lit(0).alias("x0"), (i * 30).alias("y0"), F.lit(5).alias("x1"), (i * 30 + 10).alias("y1")
+    )
+    assert lines.group_lines(words, mode).where("line_id <> word_idx or line_id is null").count() == 0
+    assert lines.group_lines(words, mode).count() == n
+
+
+def test_group_lines_of_nothing(spark):
+    none = spark.createDataFrame([], "page_num int, word_idx int, x0 int, y0 int, x1 int, y1 int, height int")
+    for mode in ("gap", *lines.ANCHORED):
+        got = lines.group_lines(none, mode)
+        assert got.columns == ["page_num", "word_idx", "line_id"] and got.count() == 0
