@@ -28,12 +28,14 @@ def stream_ingest_pages(spark, sf):
 
 @query(FEATURES + f"SELECT page_num, {SCORE} AS score, page_num IN (SELECT doc_id FROM labels) AS reused FROM feat3")
 def incremental_rescore(spark, sf):
-    """Stored are the pages that have labels; those marked toxic at an old version, and once more at the current one."""
+    """Stored in buckets are the pages that have labels; those marked toxic at an old version, and once more at the current one."""
     docs, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").distinct()
     labelled = marks.select("doc_id").distinct()
-    at = lambda rows, v: _scores(docs.join(rows, "doc_id", "left_semi")).withColumn("version", F.lit(v))
-    stored = at(labelled, 3).unionByName(at(marks.where("toxic = 1").select("doc_id"), 2))
-    done = ingest.rescore(docs.withColumnRenamed("doc_id", "page_num"), stored, lambda p: _scores(p.withColumnRenamed("page_num", "doc_id")), 3)
+    place = sinks.shared_folder(spark)
+    table = f"results_{place.rsplit('-', 1)[1]}"
+    for rows, version in ((marks.where("toxic = 1").select("doc_id"), 2), (labelled, 3)):
+        ingest.save_results(_scores(docs.join(rows, "doc_id", "left_semi")), table, version, path=place)
+    done = ingest.rescore(docs.withColumnRenamed("doc_id", "page_num"), spark.table(table), lambda p: _scores(p.withColumnRenamed("page_num", "doc_id")), 3)
     return done.select("page_num", "score", "reused")
 
 
