@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.functions import text as T
+
 from .labels import rank_pages_blended
 from .structure import LIMITS, filter_structural
 
@@ -21,7 +23,7 @@ RELAX = {"avg_token_conf": (-0.05, 0.50), "tokens": (-10, 50), "o_ratio": (0.02,
 def recipe_like(text: Column) -> Column:
     """Does a text hold a fraction or a unit, and a cooking verb, and read unlike a table of contents? False for empty texts."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return ~low.rlike(NEGATIVE) & (low.rlike(FRACTION) | low.rlike(UNIT)) & low.rlike(VERB)
+    return ~low.rlike(NEGATIVE) & (low.rlike(T.word_edges(FRACTION)) | low.rlike(T.word_edges(UNIT))) & low.rlike(T.word_edges(VERB))
 
 
 # Fixed value: the version of the rules of the score.
