@@ -103,7 +103,7 @@ def page_summary(words: DataFrame) -> DataFrame:
 
 def titles(words: DataFrame, label: str = "TITLE") -> DataFrame:
     """The text of each page's title words, in order."""
-    rows = F.array_sort(F.collect_list(F.struct("word_idx", "word")))
+    rows = F.sort_array(F.collect_list(F.struct("word_idx", "word")))
     return words.where(F.col("label") == label).groupBy("page_num").agg(F.array_join(F.transform(rows, lambda x: x["word"]), " ").alias("title"), F.count("*").alias("n_words"))
 
 

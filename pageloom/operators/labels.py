@@ -132,7 +132,7 @@ def collapse_runs(rounds: DataFrame, limit: float = 0.9, patience: int = 2) -> D
 def group_tokens(words: DataFrame, label: str = "label_pred") -> DataFrame:
     """(page_num, grouped): for each page a map from label to its words (word_idx, word, conf) in order. Pages without words
     have no row."""
-    tokens = F.array_sort(F.collect_list(F.struct("word_idx", "word", "conf")))
+    tokens = F.sort_array(F.collect_list(F.struct("word_idx", "word", "conf")))
     by_label = words.groupBy("page_num", F.col(label).alias("label")).agg(tokens.alias("tokens"))
     return by_label.groupBy("page_num").agg(F.map_from_entries(F.collect_list(F.struct("label", "tokens"))).alias("grouped"))
 

@@ -208,7 +208,7 @@ def lines_to_display(lines: DataFrame, words: DataFrame) -> DataFrame:
     """Lines of kinds_of_lines as display tokens; a line without text gets it from its words."""
     c = F.col
     bare = lines.where(F.coalesce("line_text", F.lit("")) == "").select("page_num", "line_id", F.posexplode("token_ids").alias("pos", "word_idx"))
-    text = bare.join(words.select("page_num", "word_idx", "word"), ["page_num", "word_idx"]).groupBy("page_num", "line_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
+    text = bare.join(words.select("page_num", "word_idx", "word"), ["page_num", "word_idx"]).groupBy("page_num", "line_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("w"))
     made = text.select("page_num", "line_id", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("made"))
     both = lines.join(made, ["page_num", "line_id"], "left")
     shown = F.coalesce("made", "line_text")
