@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -68,6 +67,19 @@ def lexicon(words: DataFrame, least: int = 5, label: str = "label") -> DataFrame
     return top.select("word", F.col("b.label").alias("label"), (-F.col("b.n") / F.col("total")).alias("confidence"))
 
 
+def lookup(names: pa.Array, labels: pa.Array, confidences: pa.Array) -> Model:
+    """A model that looks words up. Their places are hashed once, so that a batch costs its own words alone, whatever the size of
+    the lexicon; unknown and null words are O with confidence 0."""
+    place = {w: i for i, w in enumerate(names.to_pylist())}
+
+    def model(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
+        coded = batch.column(0).dictionary_encode()
+        at = pa.array([place.get(w) for w in coded.dictionary.to_pylist()], pa.int64()).take(coded.indices)
+        return labels.take(at).fill_null("O"), confidences.take(at).fill_null(np.float64(0))
+
+    return model
+
+
 def lexicon_labeler(table: DataFrame, most: int = LEXICON, where: Column | None = None) -> Callable[[DataFrame], DataFrame]:
     """A labeller that looks words up in a lexicon (word, label, confidence); others are O with confidence 0. A lexicon of at most
     `most` words is a model that every worker loads once; a larger one is joined by a shuffle on the word. Words that don't meet
@@ -86,13 +98,7 @@ def lexicon_labeler(table: DataFrame, most: int = LEXICON, where: Column | None
     shipped = table.sparkSession.sparkContext.broadcast(tuple(held[x].combine_chunks() for x in ("word", "label", "confidence")))
 
     def load() -> Model:
-        names, labels, confidences = shipped.value
-
-        def model(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
-            at = pc.index_in(batch.column(0), value_set=names)
-            return labels.take(at).fill_null("O"), confidences.take(at).fill_null(np.float64(0))
-
-        return model
+        return lookup(*shipped.value)
 
     name = f"lexicon-{uuid.uuid4().hex}"
     return lambda words: label_with(words.withColumn("_key", F.lower("word")), name, load, ["_key"], where).drop("_key")
