@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bounded, by_key, cut, fresh, stored
+from .common import bound_batches, bounded, by_key, cut, fresh, released, stored
 from .toxicity import chunks
 
 #: Characters in a gram, bits of a character's code, codes around a text. Code points from OWN on share OWN codes by a hash.
@@ -88,7 +88,7 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     count as often as they are there; no rows give an empty model.
     """
     bound_batches(trusted.sparkSession)
-    counts = cut(trusted.select("lang", "text").mapInPandas(_counted(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = cut(trusted.select("lang", "text").mapInPandas(released(_counted(order)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     level, levels = counts, [counts.withColumn("k", F.lit(order))]
     for k in range(order - 1, 0, -1):
         level = level.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram")).agg(F.count("*").alias("n"))
@@ -312,22 +312,22 @@ def scored(docs: DataFrame, model: DataFrame, nll: str = "nll", n: str = "n", or
     docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK)))
     at_text, at_lang = docs.columns.index("text"), docs.columns.index("lang")
     shards = max(SHARDS, total // SHARD_BYTES)
-    found = stored(docs.select("lang", "text").mapInArrow(_block_grams(order, shards), "shard int, block long, lang string, grams binary"), "grams")
+    found = stored(docs.select("lang", "text").mapInArrow(released(_block_grams(order, shards)), "shard int, block long, lang string, grams binary"), "grams")
     dealt = found.select("shard", "lang", "grams").repartition("shard").sortWithinPartitions("shard", "lang")
-    known = shares(dealt.mapInPandas(_different, "shard int, lang string, gram long"), model, order)
+    known = shares(dealt.mapInPandas(released(_different), "shard int, lang string, gram long"), model, order)
     blank = lambda kind, name: F.lit(None).cast(kind).alias(name)
     both = known.select("shard", "lang", "gram", "p", blank("long", "block"), blank("binary", "grams")).unionByName(
         found.select("shard", "lang", blank("long", "gram"), blank("double", "p"), "block", "grams")
     )
-    priced = both.repartition("shard").sortWithinPartitions("shard", F.col("grams").isNotNull(), "lang", "gram").mapInArrow(_priced, "block long, lang string, grams binary, costs binary")
-    packed = docs.mapInArrow(_packed(at_text), "block long, rows binary").select("block", blank("string", "lang"), blank("binary", "grams"), blank("binary", "costs"), "rows")
+    priced = both.repartition("shard").sortWithinPartitions("shard", F.col("grams").isNotNull(), "lang", "gram").mapInArrow(released(_priced), "block long, lang string, grams binary, costs binary")
+    packed = docs.mapInArrow(released(_packed(at_text)), "block long, rows binary").select("block", blank("string", "lang"), blank("binary", "grams"), blank("binary", "costs"), "rows")
     # packed comes first, so its tasks have the numbers that they had as the grams were counted
     rows = packed.unionByName(priced.withColumn("rows", F.lit(None).cast("binary")))
     dealt = rows.repartition("block").sortWithinPartitions("block", F.col("rows").isNotNull())
     schema = docs.select("*", F.lit(0.0).alias(nll), F.lit(0).cast("long").alias(n)).schema
     for f in schema.fields:
         f.nullable = True
-    return dealt.mapInArrow(_summed(order, at_lang, at_text, [*docs.columns, nll, n]), schema)
+    return dealt.mapInArrow(released(_summed(order, at_lang, at_text, [*docs.columns, nll, n])), schema)
 
 
 def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:

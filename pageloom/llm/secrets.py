@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, released
 
 # Fixed values of the contract.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -148,7 +148,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     numbers, letters alone) has none, and counting sequences at its front are left out of it."""
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(released(_scan), f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
 
 
 def redacted(text: str | None, mask: str) -> str | None:
@@ -174,7 +174,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             text = pa.array([redacted(t, mask) for t in b.column(at).to_pylist()], b.schema.field(at).type)
             yield b.set_column(at, b.schema.field(at), text)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(released(run), docs.schema)
     if "n_chars" not in docs.columns:
         return out
     counted = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bounded, by_key, components, content_key, cut, fresh, stored
+from .common import bound_batches, bounded, by_key, components, content_key, cut, fresh, released, stored
 
 BITS, SEED = 64, 42
 #: Fingerprints in one tree; a shard with more is cut into parts, and each pair of parts is searched.
@@ -147,7 +147,7 @@ def _simhash_rows(docs: DataFrame, radius: int, words: int, tree: int) -> DataFr
     """(doc_id, t1, t2, fp, root, component_id) for each row of docs; root names the group."""
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = cut(_keyed(docs).mapInArrow(_fingerprints(words), f"doc_id {kind}, t1 long, t2 long, fp long"))
+    prints = cut(_keyed(docs).mapInArrow(released(_fingerprints(words)), f"doc_id {kind}, t1 long, t2 long, fp long"))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     keyed = nodes.select("fp", _keys(radius))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -158,7 +158,7 @@ def _simhash_rows(docs: DataFrame, radius: int, words: int, tree: int) -> DataFr
         .select("key", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
         .select("key", "fp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     )
-    edges = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_links(radius), "a long, b long")
+    edges = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(released(_links(radius)), "a long, b long")
     roots = components(edges)
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -382,7 +382,7 @@ def _similar_rows(docs: DataFrame, words: int, similarity: float, radius: int, t
     """(doc_id, t1, t2, root, component_id) for each row of docs; root names the group."""
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = stored(_keyed(docs).mapInArrow(_prints(words), f"doc_id {kind}, t1 long, t2 long, text string, {PRINTS}"), "prints")
+    prints = stored(_keyed(docs).mapInArrow(released(_prints(words)), f"doc_id {kind}, t1 long, t2 long, text string, {PRINTS}"), "prints")
     classes = cut(prints.groupBy("set_id").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first_id")))
     nodes = prints.join(classes.select("uid"), "uid", "left_semi")
     keyed = nodes.select("uid", F.explode("bands").alias("key"))
@@ -390,12 +390,12 @@ def _similar_rows(docs: DataFrame, words: int, similarity: float, radius: int, t
     shards = keyed.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1").groupBy("n", "x1", "x2").agg(F.min("key").alias("key"))
     least = similarity - 0.15
     tasks = _dealt(keyed.join(shards.select("key", F.ceil(F.col("n") / tree).cast("int").alias("parts")), "key"), nodes.select("uid", "fp", "low"))
-    asked = cut(tasks.mapInPandas(_candidates(radius, least), "key long, a long, b long"))
+    asked = cut(tasks.mapInPandas(released(_candidates(radius, least)), "key long, a long, b long"))
     pairs = asked.select("a", "b").distinct()
     ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
     texts = prints.select("uid", "text").join(ends, "uid", "left_semi")
     left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(_alike(words, similarity), "a long, b long")
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(released(_alike(words, similarity)), "a long, b long")
     roots = components(links)
     at = lambda c: F.coalesce(f"root_{c}", c)
     apart = asked.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left").where(at("a") != at("b"))
@@ -403,11 +403,11 @@ def _similar_rows(docs: DataFrame, words: int, similarity: float, radius: int, t
     named = classes.join(roots, classes.uid == roots.node, "left").select("uid", "set_id", "first_id", F.coalesce("root", "uid").alias("root"))
     if not again.isEmpty():
         open_ = cut(keyed.join(again, "key"))
-        held = prints.select("uid", "text").join(open_.select("uid").distinct(), "uid", "left_semi").mapInPandas(_sets(words), "uid long, hashes binary")
+        held = prints.select("uid", "text").join(open_.select("uid").distinct(), "uid", "left_semi").mapInPandas(released(_sets(words)), "uid long, hashes binary")
         whole = cut(held.join(nodes.select("uid", "fp", "low"), "uid").join(named.select("uid", "root"), "uid"))
         bytes_ = open_.join(whole.select("uid", F.octet_length("hashes").alias("size")), "uid").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
         parts = bytes_.select("key", F.greatest(F.ceil(F.col("n") / tree), F.ceil(F.col("size") / PART_BYTES)).cast("int").alias("parts"))
-        more = components(_dealt(open_.join(parts, "key"), whole).mapInPandas(_exact(radius, least, similarity), "a long, b long"))
+        more = components(_dealt(open_.join(parts, "key"), whole).mapInPandas(released(_exact(radius, least, similarity)), "a long, b long"))
         named = named.join(more.toDF("root", "top"), "root", "left").select("set_id", "first_id", F.coalesce("top", "root").alias("root"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return prints.select("doc_id", "t1", "t2", "set_id").join(named.join(ids, "root"), "set_id").select("doc_id", "t1", "t2", "root", "component_id")

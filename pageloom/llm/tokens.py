@@ -15,12 +15,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bounded, table_path
+from .common import bound_batches, bounded, release, table_path
 
 #: Word stems whose ids a worker keeps, at most; then it starts anew.
 KEPT_STEMS = 1_000_000
+#: Stems that go through the library at once.
+STEMS = 4096
 #: Characters of the texts that are encoded at once.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 #: Rows of a table of block or file starts that are broadcast, at most (about 24 bytes each); more are joined by a shuffle.
 HELD_STARTS = 1_000_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -128,13 +130,17 @@ class Encoder:
         starts, lengths, ids = self.starts, self.lengths, self.ids
         if len(new):
             gc.disable()  # many small lists that live for a moment
-            got = self._new(new.to_pylist())
+            numbers, ends = [], []
+            for part in range(0, len(new), STEMS):  # what the library returns is many times larger than the ids
+                got = self._new(new[part : part + STEMS].to_pylist())
+                ends.append(np.fromiter(map(len, got), np.int64, len(got)))
+                numbers.append(np.fromiter(chain.from_iterable(got), np.uint32, int(ends[-1].sum())))
             gc.enable()
-            n = np.fromiter(map(len, got), np.int64, len(got))
+            n = np.concatenate(ends)
             slot[slot < 0] = len(starts) + np.arange(len(new))
             starts = np.concatenate([starts, len(ids) + np.cumsum(n) - n])
             lengths = np.concatenate([lengths, n])
-            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))])
+            ids = np.concatenate([ids, *numbers])
             if len(self.names) < KEPT_STEMS:  # else what is new serves these texts only
                 self.names = pa.concat_arrays([self.names, new])
                 self.starts, self.lengths, self.ids = starts, lengths, ids
@@ -205,6 +211,7 @@ def _chunks(batch: pa.RecordBatch, path: str, kind: str, end_id: int) -> Iterato
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
     for lo, hi in pairwise(np.unique([0, *np.nonzero(np.diff(size // CHUNK))[0] + 1, len(size)]).tolist()):
         yield batch.column(0)[lo:hi], *encode(batch.column(1)[lo:hi], path, kind, end_id)
+        release()
 
 
 def _slices(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
