@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rules import instruction_marks
+from .rules import label_instruction_run  # noqa: F401 (a run like the others)
 
 
 def applied(words: DataFrame, dry_run: bool = False) -> DataFrame:
@@ -21,14 +21,6 @@ def change_counters(words: DataFrame) -> DataFrame:
     return line.groupBy("page_num").agg(F.sum("n").alias("tokens_added"), F.count_if(F.col("n") > 0).alias("lines_labelled"))
 
 
-def label_instruction_run(words: DataFrame, predicates: DataFrame, ingredients: int = 5, least: int = 3) -> DataFrame:
-    """label_instruction_lines on pages with at least so many ingredient words; the words of other pages keep their labels.
-    gated says which pages were too poor, marked which words are on lines that the heuristic picks."""
-    n = words.groupBy("page_num").agg((F.count_if(F.col("label") == "INGREDIENT_LINE") < ingredients).alias("gated"))
-    found = instruction_marks(words, predicates, least).join(n, "page_num")
-    return found.withColumns({"new_label": F.when(F.col("gated"), F.col("label")).otherwise(F.col("new_label")), "marked": F.col("marked") & ~F.col("gated")})
-
-
 def instruction_counters(run: DataFrame) -> DataFrame:
     """(page_num, gated, tokens_added, lines_labelled) of label_instruction_run. As the counter of lines goes, it starts with the
     first picked line on which a label changes, and counts every picked line from there on."""

@@ -21,13 +21,11 @@ _REPORT = "SELECT count(*) AS pages, count(*) FILTER (tokens_added > 0) AS pages
 
 
 def _block(spark, sf):
-    words, found = _lines(spark, sf)
-    return heuristics.change_counters(rules.label_ingredient_block(words, rules.quantity_predicates(found)))
+    return heuristics.change_counters(rules.block_words(rules.quantity_predicates(_lines(spark, sf, "label"))))
 
 
 def _steps(spark, sf):
-    words, found = _lines(spark, sf)
-    return heuristics.label_instruction_run(words, rules.quantity_predicates(found))
+    return rules.step_words(rules.quantity_predicates(_lines(spark, sf, "label")), ingredients=5)
 
 
 @query(_BLOCK + "SELECT page_num, tokens_added, lines_labelled FROM cnt")
