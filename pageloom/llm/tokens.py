@@ -21,8 +21,9 @@ from .common import bound_batches, bounded, release, table_path
 KEPT_STEMS = 1_000_000
 #: Stems that go through the library at once.
 STEMS = 4096
-#: Characters of the texts that are encoded at once.
-CHUNK = 2 << 20
+#: Characters of the texts that are encoded at once. All stems known are hashed anew for each chunk, so writing files, where workers
+#: hold little else, takes larger ones.
+CHUNK, FILE_CHUNK = 2 << 20, 8 << 20
 #: Rows of a table of block or file starts that are broadcast, at most (about 24 bytes each); more are joined by a shuffle.
 HELD_STARTS = 1_000_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -206,10 +207,10 @@ def encode(texts: pa.Array, path: str, kind: str, end_id: int) -> tuple[np.ndarr
     return out, n + 1
 
 
-def _chunks(batch: pa.RecordBatch, path: str, kind: str, end_id: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(doc_ids, ids, lengths) of some rows of a batch (doc_id, text) after others; texts of about CHUNK bytes at once."""
+def _chunks(batch: pa.RecordBatch, path: str, kind: str, end_id: int, chunk: int = CHUNK) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids, lengths) of some rows of a batch (doc_id, text) after others; texts of about `chunk` bytes at once."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
-    for lo, hi in pairwise(np.unique([0, *np.nonzero(np.diff(size // CHUNK))[0] + 1, len(size)]).tolist()):
+    for lo, hi in pairwise(np.unique([0, *np.nonzero(np.diff(size // chunk))[0] + 1, len(size)]).tolist()):
         yield batch.column(0)[lo:hi], *encode(batch.column(1)[lo:hi], path, kind, end_id)
         release()
 
@@ -283,7 +284,7 @@ def _blocks(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([*row, *(pa.array([x], pa.binary()) for x in (names, control, data))], _BLOCK_NAMES)
 
         for batch in batches:
-            for chunk in _chunks(batch, path, "bytes", end_id):
+            for chunk in _chunks(batch, path, "bytes", end_id, FILE_CHUNK):
                 held.append(chunk)
                 size += len(chunk[1])
                 if size >= BLOCK:
