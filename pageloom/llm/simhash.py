@@ -378,6 +378,11 @@ def _dealt(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
+def _texts_of(prints: DataFrame, uids: DataFrame, most: int = 2 * HELD_KEYS) -> DataFrame:
+    """(uid, text) of the uids (8 bytes each, up to `most` are broadcast): the other texts are read past and not shuffled."""
+    return prints.select("uid", "text").join(bounded(uids, most), "uid", "left_semi")
+
+
 def _similar_rows(docs: DataFrame, words: int, similarity: float, radius: int, tree: int) -> DataFrame:
     """(doc_id, t1, t2, root, component_id) for each row of docs; root names the group."""
     bound_batches(docs.sparkSession)
@@ -393,7 +398,7 @@ def _similar_rows(docs: DataFrame, words: int, similarity: float, radius: int, t
     asked = cut(tasks.mapInPandas(released(_candidates(radius, least)), "key long, a long, b long"))
     pairs = asked.select("a", "b").distinct()
     ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    texts = prints.select("uid", "text").join(ends, "uid", "left_semi")
+    texts = _texts_of(prints, ends)
     left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(released(_alike(words, similarity)), "a long, b long")
     roots = components(links)
@@ -403,7 +408,7 @@ def _similar_rows(docs: DataFrame, words: int, similarity: float, radius: int, t
     named = classes.join(roots, classes.uid == roots.node, "left").select("uid", "set_id", "first_id", F.coalesce("root", "uid").alias("root"))
     if not again.isEmpty():
         open_ = cut(keyed.join(again, "key"))
-        held = prints.select("uid", "text").join(open_.select("uid").distinct(), "uid", "left_semi").mapInPandas(released(_sets(words)), "uid long, hashes binary")
+        held = _texts_of(prints, open_.select("uid").distinct()).mapInPandas(released(_sets(words)), "uid long, hashes binary")
         whole = cut(held.join(nodes.select("uid", "fp", "low"), "uid").join(named.select("uid", "root"), "uid"))
         bytes_ = open_.join(whole.select("uid", F.octet_length("hashes").alias("size")), "uid").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
         parts = bytes_.select("key", F.greatest(F.ceil(F.col("n") / tree), F.ceil(F.col("size") / PART_BYTES)).cast("int").alias("parts"))
